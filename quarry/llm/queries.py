@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op8_byte_bpe
 from .media import op7_media_columns
 from .mixing import op4_mix_sources
+from .near import op9_ngram_join
 from .quality import op5_quality_classifier
 from .token_counts import OP1_SQL, op1_token_counts
 from .topk import OP10_SQL, op10_top_k
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_url_filter": op6_url_filter,
     "op7_media_columns": op7_media_columns,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_ngram_join": op9_ngram_join,
     "op10_top_k": op10_top_k,
 }
 
