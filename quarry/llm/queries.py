@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op8_byte_bpe
+from .lm import op3_lm_score
 from .media import op7_media_columns
 from .mixing import op4_mix_sources
 from .near import op9_ngram_join
@@ -15,6 +16,7 @@ from .url_filter import OP6_SQL, op6_url_filter
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
+    "op3_lm_score": op3_lm_score,
     "op4_mix_sources": op4_mix_sources,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_url_filter": op6_url_filter,
