@@ -198,21 +198,22 @@ def decoded(spark: SparkSession, ids: Column, ranks: dict[bytes, int]) -> Column
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def round_trip(spark: SparkSession, text: Column, ranks: dict[bytes, int], pattern: str) -> Column:
+def round_trip(spark: SparkSession, text: Column, ranks: dict[bytes, int], pattern: str, ids: bool = False) -> Column:
     """A struct of the number of ids, their digest (little-endian unsigned 32-bit) and
-    the digest of the bytes they decode to; the ids themselves stay in the worker."""
+    the digest of the bytes they decode to; the ids themselves with ``ids`` only."""
     shared = spark.sparkContext.broadcast(ranks)
 
-    @F.pandas_udf(DIGESTS)
+    @F.pandas_udf(DIGESTS + (", ids array<int>" if ids else ""))
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder = _coder(shared.value, pattern)
         for batch in batches:
             rows = []
             for text in batch:
                 packed = coder.packed(text or "")
-                ids = np.frombuffer(packed, "<u4").tolist()
-                rows.append((len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+                found = np.frombuffer(packed, "<u4")
+                row = (len(found), hashlib.sha256(packed).hexdigest(), hashlib.sha256(coder.decode(found.tolist())).hexdigest())
+                rows.append((*row, found.astype(np.int32)) if ids else row)
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 3 + ids])
 
     return digest(text)
 
