@@ -1 +1 @@
-
+"""Readers of document files."""
