@@ -85,8 +85,7 @@ def vector_batch(spark, sf_dir):
 
 
 def vector_topk(spark, sf_dir):
-    asked = batch(spark, sf_dir).where("query_id = 0")
-    return vector(asked, stored_vectors(spark, sf_dir), 50)
+    return vector(batch(spark, sf_dir), stored_vectors(spark, sf_dir), 50)
 
 
 def vector_filtered(spark, sf_dir):
