@@ -107,7 +107,9 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup = TokenRollup(spark, new_folder(spark, "token-rollup"))
     load = docs.select(none.alias("before"), of(old).alias("after"))
     revise = docs.where(newer).select(of(old).alias("before"), of(new).alias("after"))
-    remove = docs.join(toxic, "doc_id", "left_semi").select(F.when(newer, of(new)).otherwise(of(old)).alias("before"), none.alias("after"))
+    # counted before the join, so that numbers are shuffled and not texts
+    counted = docs.select("doc_id", F.when(newer, of(new)).otherwise(of(old)).alias("before"))
+    remove = counted.join(toxic, "doc_id", "left_semi").select("before", none.alias("after"))
     for batch_id, changes in (("load", load), ("revise", revise), ("remove", remove), ("load", load), ("revise", revise)):
         rollup.commit(batch_id, changes)
     return rollup.totals()
