@@ -65,8 +65,10 @@ def mix_sources(docs: DataFrame, *, weights: list[float] = (1.0, 2.0, 3.0), cap:
     ``taken`` counts words over all epochs; ``taken div size`` is the number of
     whole copies and ``part`` the words of the one copy that the budget cuts.
     """
+    # 63 bits, so that keys and their ranges have one order
+    key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col), F.coalesce(F.length(text_col), F.lit(-1))), 1)
     sized = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col), F.coalesce(F.length(text_col), F.lit(-1))).alias("key"), *keep
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key"), *keep
     )
     # the narrow columns are written once, so that sums and targets read no text
     narrow = written(sized.select("source", "size", "key"), "mix-sizes")
@@ -75,7 +77,7 @@ def mix_sources(docs: DataFrame, *, weights: list[float] = (1.0, 2.0, 3.0), cap:
     targets = source_targets(by_source.select("source", "source_size"), list(weights), cap).join(by_source.select(F.col("source").alias("r_source"), ranges.alias("ranges")), F.col("source").eqNullSafe(F.col("r_source"))).drop("r_source").withColumnRenamed("source", "t_source")
 
     def dealt(rows: DataFrame) -> DataFrame:
-        unit = F.shiftrightunsigned("key", 11) / F.lit(float(1 << 53))
+        unit = F.shiftright("key", 10) / F.lit(float(1 << 53))
         return rows.join(targets, rows["source"].eqNullSafe(targets["t_source"])).withColumn("bin", F.floor(unit * F.col("ranges")).cast("long"))
 
     earlier = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)

@@ -36,6 +36,7 @@ THRESHOLD = 0.3
 #: Kinds of bytes, in order; what is in none is of the last kind.
 KINDS = [b" ", b"\n", b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:?", b"!", b"'\"()-", b"|", bytes(range(0xC0, 0x100)), bytes(range(0x80, 0xC0))]
 N_KINDS = len(KINDS) + 1
+N_FEATURES = N_KINDS**2 + 4
 _KIND_OF = np.full(256, N_KINDS - 1, np.uint8)
 for _i, _bytes in enumerate(KINDS):
     _KIND_OF[list(_bytes)] = _i
@@ -70,7 +71,7 @@ def feature_rows(texts: DataFrame) -> np.ndarray:
         return pd.Series([features(x) for x in batch])
 
     rows = texts.select(make("text").alias("f")).toPandas().f
-    return np.array(rows.tolist(), np.float32).reshape(len(rows), -1)
+    return np.array(rows.tolist(), np.float32).reshape(len(rows), N_FEATURES)
 
 
 class Network:

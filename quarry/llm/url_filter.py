@@ -72,7 +72,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", id_
         pairs = expressions.join(F.broadcast(best_rules), "short")
     else:
         salted = expressions.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)))
-        spread = best_rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        spread = best_rules.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         pairs = salted.join(spread, ["short", "salt"])
     confirmed = pairs.where(F.col("digest") == F.col("r_digest"))
     won = confirmed.groupBy(F.col("host").alias("w_host"), F.col("path").alias("w_path")).agg(F.max(F.struct(F.length("rule"), F.length("rule_host"), "rule", "verdict")).alias("won"))
