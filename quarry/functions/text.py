@@ -22,21 +22,24 @@ GUARDED_LENGTH = 24
 USABLE_CHARS = 40
 GARBAGE_LENGTH = 6
 
-_LATIN = r"[A-Za-z0-9_-]+"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def tokenize(text: Column) -> Column:
     """array<string>: runs of ASCII letters, digits, ``_`` and ``-``, lower-cased, and
     every Han character, followed by the pair it makes with a Han character right
     before it; anything else separates.  Null and blank texts give no tokens."""
-    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"{_LATIN}|[{HAN}]+"), F.lit(0))
-    latin = lambda run: run.rlike(r"^[A-Za-z0-9_-]")
+    # only A-Z is lower-cased, before the match: other letters that lower to ASCII stay out
+    t = F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower())
+    runs = F.regexp_extract_all(t, F.lit(rf"[a-z0-9_-]+|[{HAN}]+"), F.lit(0))
+    latin = lambda run: run.rlike(r"^[a-z0-9_-]")
 
     def han(run: Column) -> Column:
         at = lambda i: F.when(i == 1, F.array(F.substring(run, 1, 1))).otherwise(F.array(run.substr(i, F.lit(1)), run.substr(i - 1, F.lit(2))))
         return F.flatten(F.transform(F.sequence(F.lit(1), F.length(run)), at))
 
-    return F.flatten(F.transform(runs, lambda run: F.when(latin(run), F.array(F.lower(run))).otherwise(han(run))))
+    mixed = F.flatten(F.transform(runs, lambda run: F.when(latin(run), F.array(run)).otherwise(han(run))))
+    return F.when(t.rlike(f"[{HAN}]"), mixed).otherwise(runs)
 
 
 def collapse_space(text: Column) -> Column:

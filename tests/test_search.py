@@ -21,6 +21,14 @@ def test_bm25(spark):
     }
 
 
+def test_saved_index(spark, tmp_path):
+    from quarry.operators.index import load_index, save_index
+
+    save_index(build_index(corpus(spark)), str(tmp_path))
+    asked = spark.createDataFrame([(1, "b")], "query_id long, text string")
+    assert scores(bm25(asked, load_index(spark, str(tmp_path)))) == {(1, "d1"): 0.754913}
+
+
 def test_filter_keeps_scores(spark):
     asked = spark.createDataFrame([(1, "a b", "y")], "query_id long, text string, document_id string")
     assert scores(bm25(asked, build_index(corpus(spark)))) == {(1, "d2"): 0.237342}
