@@ -1,4 +1,4 @@
-"""Brings this package to the Python workers of a session's executors."""
+"""What a session needs around a plan: this package on its workers, a shared folder."""
 
 from __future__ import annotations
 
@@ -26,3 +26,16 @@ def ship(spark: SparkSession) -> None:
             out.write(source, source.relative_to(top.parent))
     context.addPyFile(str(path))
     _shipped.add(context.applicationId)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors share, for intermediate tables.
+
+    It is the one named by ``spark.checkpoint.dir``; where that is unset, a temporary
+    folder in local mode and the warehouse on a cluster.  Sets nothing on the session."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
+        return "file://" + tempfile.mkdtemp(prefix="quarry-")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"

@@ -117,3 +117,8 @@ def upstream_error(status: Column, body: Column) -> Column:
     """A code and at most 240 characters of the body for a failed call."""
     snippet = F.left(trim_space(F.coalesce(body, F.lit(""))), F.lit(240))
     return F.when(status == 429, "429: busy or rate-limited").when(status == 401, "401: key not valid").otherwise(F.concat(status.cast("string"), F.lit(": "), snippet))
+
+
+def public_config(model: Column) -> Column:
+    """What clients may know of the generator: its name, and how it can be asked to think."""
+    return F.struct(model.alias("model"), F.lit(True).alias("thinking_supported"), F.array(*[F.lit(x) for x in EFFORTS]).alias("reasoning_efforts"))

@@ -35,3 +35,8 @@ def manifest(settings: DataFrame, asked: DataFrame, files: DataFrame | None = No
         "request_id", text("latest_version").alias("latest_version"), text("min_supported_version").alias("min_supported_version"), text("url").alias("package_url"), text("sha256").alias("sha256"),
         (ok & F.coalesce(F.col("force_update"), F.lit(False))).alias("force_update"), text("release_notes").alias("release_notes"), given("platform", DEFAULT_PLATFORM).alias("platform"), given("channel", CHANNEL).alias("channel"),
     )
+
+
+def newest(files: DataFrame, extension: str = ".zip") -> DataFrame:
+    """The path of the latest file with an extension (path, modificationTime)."""
+    return files.where(F.lower("path").endswith(extension)).agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"))

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..deploy import ship
 from .index import ranked
 
-#: Queries that meet the chunks in one pass.
-BLOCK = 4096
+#: Queries that meet the chunks in one pass, and those of a batch at most.
+BLOCK, MOST_QUERIES = 4096, 65_536
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -37,11 +37,14 @@ def vector(queries: DataFrame, chunks: DataFrame, k: int = 50) -> DataFrame:
 
     The query set meets all chunks in blocks of ``BLOCK``: a block's vectors go to the
     workers as one matrix, a batch of chunks answers with its ``k`` best for each query,
-    so what is shuffled doesn't grow with the corpus beyond k for each batch."""
+    so what is shuffled doesn't grow with the corpus beyond k for each batch.  The vectors
+    of a batch pass the driver: more than ``MOST_QUERIES`` are an error, to be split."""
     spark = queries.sparkSession
     ship(spark)
     wanted = F.coalesce(F.col("document_id"), F.lit("")) if "document_id" in queries.columns else F.lit("")
-    asked = queries.where("embedding is not null").select("query_id", wanted.alias("wanted"), "embedding").toPandas()
+    asked = queries.where("embedding is not null").select("query_id", wanted.alias("wanted"), "embedding").limit(MOST_QUERIES + 1).toPandas()
+    if len(asked) > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries in a batch")
     usable = chunks.where("embedding is not null").select("chunk_id", F.coalesce("document_id", F.lit("")).alias("document_id"), "embedding")
     id_type, chunk_type = queries.schema["query_id"].dataType.simpleString(), chunks.schema["chunk_id"].dataType.simpleString()
     schema = f"query_id {id_type}, chunk_id {chunk_type}, score double"

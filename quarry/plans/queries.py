@@ -6,11 +6,12 @@ of ``benchmark`` for a batch of queries, and ``embeddings`` for the vectors of b
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..deploy import shared_folder
 from ..functions import completions, lexicon, requests
 from ..functions import text as T
 from ..operators import answer, catalog, chunking, cleaning, index, ingest, manifest, search
@@ -315,7 +316,7 @@ def stream_ingest(spark, sf_dir):
     """All documents as files that arrive in a folder, ingested by a stream; the chunks."""
     from ..streaming.ingestion import ingest_stream
 
-    work = tempfile.mkdtemp(prefix="quarry-") if spark.sparkContext.master.startswith("local[") else f"{spark.conf.get('spark.sql.warehouse.dir')}/_stream"
+    work = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     incoming = f"{work}/incoming"
     _files(spark, sf_dir).withColumn("path", F.col("file_name")).write.mode("overwrite").parquet(incoming)
     store = ingest.Store(spark, f"{work}/store")

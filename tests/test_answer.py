@@ -89,3 +89,11 @@ def test_stream_ingest(spark, small):
     got = QUERIES["stream_ingest"](spark, small)
     docs = spark.read.parquet(f"{small}/documents.parquet")
     assert got.count() == docs.select(F.sha2("text", 256)).distinct().count() == got.select("content_hash").distinct().count()
+
+
+def test_newest_package(spark):
+    from quarry.operators.manifest import newest
+
+    files = spark.createDataFrame([("a.zip", "2024-01-01"), ("b.ZIP", "2024-02-01"), ("c.txt", "2024-03-01")], "path string, modificationTime string")
+    assert newest(files).first().path == "b.ZIP"
+    assert newest(files.limit(0)).first().path is None
