@@ -22,6 +22,8 @@ where two of them meet with a chance of about one in a million.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import io
 import math
 from collections.abc import Iterator
@@ -39,7 +41,7 @@ from .storage import table, written
 
 ORDER, DELETED, Q, BITS = 2, 8, 4, 40
 BLOCK_CHARS = 500_000, 16_000_000
-REMEMBERED, EM_ROUNDS = 500_000, 100
+REMEMBERED, EM_ROUNDS = 100_000, 100
 START, END, SEED = 0x5BD1E995_9E3779B9, 0x2545F491_4F6CDD1D, 77
 
 
@@ -109,6 +111,11 @@ def _short(h: np.ndarray, parts: int, level: int) -> np.ndarray:
     return h if level == 1 else h >> np.uint64(max(0, 64 - BITS - math.ceil(math.log2(max(2, parts)))))
 
 
+def _is_new(rising: np.ndarray) -> np.ndarray:
+    """Whether each of some rising numbers is another than the one before."""
+    return np.diff(rising, prepend=~rising[:1]) != 0
+
+
 def _planes(values: np.ndarray) -> bytes:
     """Rising numbers as differences, their bytes by significance, as many as are used."""
     steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
@@ -141,29 +148,33 @@ def _from_counts(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{chr(data[0])}", offset=1).astype(np.int64)
 
 
-def _pack(id_type: pa.DataType):
-    """(block, id, trains, text) -> a compressed Arrow table for each block and batch."""
+def _trim() -> None:
+    """Gives freed memory back, so that workers that wait for a task are small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        squeeze = zstandard.ZstdCompressor(level=1)
-        for pdf in batches:
-            blocks, blobs = [], []
-            for block, rows in pdf.groupby("block", sort=False):
-                t = pa.table({"id": pa.array(rows.id, id_type, from_pandas=True), "trains": pa.array(rows.trains), "text": pa.array(rows.text, pa.string(), from_pandas=True)})
-                out = io.BytesIO()
-                with pa.ipc.new_stream(out, t.schema) as stream:
-                    stream.write_table(t)
-                blocks.append(block)
-                blobs.append(squeeze.compress(out.getvalue()))
-            yield pd.DataFrame({"block": blocks, "docs": blobs})
 
-    return pack
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, id, trains, text) -> a compressed Arrow table for each block and batch."""
+    squeeze = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        of = batch.column("block").to_numpy()
+        order = np.argsort(of, kind="stable")
+        rows = batch.select(["id", "trains", "text"]).take(pa.array(order))
+        found, starts = np.unique(of[order], return_index=True)
+        blobs = []
+        for a, b in zip(starts, [*starts[1:], len(of)], strict=True):
+            out = io.BytesIO()
+            with pa.ipc.new_stream(out, rows.schema) as stream:
+                stream.write_batch(rows.slice(a, b - a))
+            blobs.append(squeeze.compress(out.getvalue()))
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(blobs, pa.binary())], ["block", "docs"])
+    _trim()
 
 
 def _documents(blobs: pd.Series) -> pa.Table:
-    tables = [pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(x)).read_all() for x in blobs]
-    # an order that doesn't depend on which batch came first
-    return pa.concat_tables(tables)
+    return pa.concat_tables([pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(x)).read_all() for x in blobs])
 
 
 LISTS = "part int, block long, level int, grams binary, counts binary"
@@ -186,19 +197,20 @@ def _list(order: int, parts: int):
                 if mine.stop > mine.start:
                     # hashes that agree when shortened are one entry
                     short = _short(found[mine], parts, level)
-                    first = np.flatnonzero(np.diff(short, prepend=~short[:1]))
+                    first = np.flatnonzero(_is_new(short))
                     rows.append((part, key[0], level, _planes(short[first]), _counts(np.add.reduceat(counts[mine], first))))
         return pd.DataFrame(rows, columns=["part", "block", "level", "grams", "counts"])
 
     return make
 
 
-COUNTED = "part int, block long, level int, grams binary, counts binary, retained binary, known long, total long, retained_total long"
+COUNTED = "part int, block long, level int, counts binary, retained binary, known long, total long, retained_total long"
 
 
 def _count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Corpus counts of a hash range's n-grams, returned to each block in its order, and
-    a row of sums under block -1: distinct known words and their counts."""
+    """Corpus counts of a hash range's n-grams, returned to each block in its list's order
+    (which it can make again), and a row of sums under block -1: distinct known words and
+    their counts."""
     lists = [_from_planes(x) for x in pdf.grams]
     counts = [_from_counts(x) for x in pdf.counts]
     deleted = pdf.block.to_numpy() % DELETED == 0
@@ -209,13 +221,13 @@ def _count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     kept = np.bincount(place, np.where(np.repeat(deleted, sizes), 0, each), len(found)).astype(np.int64)
     ends = np.cumsum(sizes)
     mine = [place[e - s : e] for s, e in zip(sizes, ends, strict=True)]
-    out = pdf[["part", "block", "level", "grams"]].copy()
+    out = pdf[["part", "block", "level"]].copy()
     out["counts"] = [_counts(every[x]) for x in mine]
     out["retained"] = [_counts(kept[x]) if d else None for x, d in zip(mine, deleted, strict=True)]
     out["known"] = out["total"] = out["retained_total"] = 0
     if key[1] == 1:
         words = found != np.uint64(START)
-        out.loc[len(out)] = [key[0], -1, 1, b"", b"", None, int((every[words] > 0).sum()), int(every[words].sum()), int(kept[words].sum())]
+        out.loc[len(out)] = [key[0], -1, 1, b"", None, int((every[words] > 0).sum()), int(every[words].sum()), int(kept[words].sum())]
     return out
 
 
@@ -227,16 +239,13 @@ class _Counted:
         self.counts = []
         for level, grams in enumerate(self.block.levels, 1):
             rows = back[back.level == level].sort_values("part")
-            known = [(_from_planes(g), _from_counts(c)) for g, c in zip(rows.grams, rows[column], strict=True)]
-            part = _range_of(grams, parts)
-            order_of = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order_of], rows.part.to_numpy())
-            ends = np.searchsorted(part[order_of], rows.part.to_numpy(), "right")
-            out = np.zeros(len(grams), np.int64)
-            for (names, counts), a, b in zip(known, cuts, ends, strict=True):
-                at = order_of[a:b]
-                out[at] = counts[np.searchsorted(names, _short(grams[at], parts, level))]
-            self.counts.append(out)
+            found, place = np.unique(grams, return_inverse=True)
+            part = _range_of(found, parts)
+            starts, stops = np.searchsorted(part, rows.part.to_numpy()), np.searchsorted(part, rows.part.to_numpy(), "right")
+            out = np.zeros(len(found), np.int64)
+            for data, a, b in zip(rows[column], starts, stops, strict=True):
+                out[a:b] = _from_counts(data)[np.cumsum(_is_new(_short(found[a:b], parts, level))) - 1]
+            self.counts.append(out[place.ravel()])
         self.events = np.flatnonzero(~self.block.is_start)
 
     def estimates(self, total: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -342,14 +351,13 @@ def lm_scores(docs: DataFrame, trains, *, order: int = ORDER, id_col: str = "doc
     blocks = max(2 * DELETED, -(-chars // block_chars))
     parts = max(16, blocks // 2)
     dealt = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).alias("block"), "id", "trains", "text")
-    pack = _pack(_arrow_type(rows.schema["id"].dataType))
-    packed = lambda d: d.mapInPandas(pack, "block long, docs binary")
+    packed = lambda d: d.mapInArrow(_pack, "block long, docs binary")
     lists = packed(dealt).groupBy("block").applyInPandas(_list(order, parts), LISTS)
     counted = written(lists.groupBy("part", "level").applyInPandas(_count, COUNTED), "lm-counts")
     known, total, retained = counted.where("block = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("known", "total", "retained_total")]).first()
-    back = counted.where("block >= 0").select("part", "block", "level", "grams", "counts")
+    back = counted.where("block >= 0").select("part", "block", "level", "counts")
     held = F.col("block") % DELETED == 0
-    kept = counted.where("block >= 0").where(held).select("part", "block", "level", "grams", "retained")
+    kept = counted.where("block >= 0").where(held).select("part", "block", "level", "retained")
     histogram = packed(dealt.where(held)).groupBy("block").cogroup(kept.groupBy("block")).applyInPandas(_histogram(order, parts, retained), "cell long, n long")
     cells = histogram.groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toPandas()
     weights = mixture_weights(cells.cell.to_numpy(np.int64), cells.n.to_numpy(np.int64), order)
@@ -358,12 +366,6 @@ def lm_scores(docs: DataFrame, trains, *, order: int = ORDER, id_col: str = "doc
     return packed(dealt).groupBy("block").cogroup(back.groupBy("block")).applyInPandas(score, schema).withColumnRenamed("id", "doc_id")
 
 
-def _arrow_type(data_type) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(data_type)
-
-
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = lm_scores(docs, fold(F.col("doc_id")) != 1)
