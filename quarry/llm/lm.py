@@ -191,14 +191,12 @@ def _list(order: int, parts: int):
         for level, grams in enumerate(block.levels, 1):
             found, place = np.unique(grams, return_inverse=True)
             counts = np.bincount(place.ravel(), trains, len(found)).astype(np.int64)
-            cuts = np.searchsorted(_range_of(found, parts), np.arange(parts + 1))
-            for part in range(parts):
-                mine = slice(cuts[part], cuts[part + 1])
-                if mine.stop > mine.start:
-                    # hashes that agree when shortened are one entry
-                    short = _short(found[mine], parts, level)
-                    first = np.flatnonzero(_is_new(short))
-                    rows.append((part, key[0], level, _planes(short[first]), _counts(np.add.reduceat(counts[mine], first))))
+            present, starts = np.unique(_range_of(found, parts), return_index=True)
+            for part, a, b in zip(present, starts, [*starts[1:], len(found)], strict=True):
+                # hashes that agree when shortened are one entry
+                short = _short(found[a:b], parts, level)
+                first = np.flatnonzero(_is_new(short))
+                rows.append((part, key[0], level, _planes(short[first]), _counts(np.add.reduceat(counts[a:b], first))))
         return pd.DataFrame(rows, columns=["part", "block", "level", "grams", "counts"])
 
     return make

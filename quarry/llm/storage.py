@@ -7,22 +7,11 @@ taken: the warehouse on a cluster, a temporary folder in local mode.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..deploy import ship
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables (sets none on the session)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
-        return "file://" + tempfile.mkdtemp(prefix="quarry-")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+from ..deploy import shared_folder, ship
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
