@@ -37,7 +37,7 @@ from .storage import table, written
 
 EXAMPLES, CHI_SQUARE, LEAST_TEXTS = 12000, 30.0, 3
 BEGINNINGS = range(4, 9)
-NEIGHBOURS, POWER, BLOCK, SHOWN = 15, 4, 32, 3
+NEIGHBOURS, POWER, BLOCK, FIRST_BLOCKS, SHOWN = 15, 4, 32, 8, 3
 #: At this score and above a document is toxic.
 THRESHOLD = 0.5
 REMEMBERED = 200_000
@@ -83,32 +83,40 @@ class BlockMaxIndex:
         self.postings = {}
         for t, entries in by_term.items():
             places, weights = np.array([p for p, _ in entries]), np.array([w for _, w in entries])
-            blocks, starts = np.unique(places // BLOCK, return_index=True)
-            self.postings[t] = places, weights, blocks, np.append(starts, len(places)), np.maximum.reduceat(weights, starts)
+            of_block = places // BLOCK
+            blocks, starts = np.unique(of_block, return_index=True)
+            self.postings[t] = of_block, places % BLOCK, weights, blocks, np.maximum.reduceat(weights, starts)
 
     def nearest(self, vector: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest entries with a positive cosine."""
         parts = [(w, *self.postings[t]) for t, w in vector.items() if t in self.postings]
         bound = np.zeros(self.blocks)
-        for q, _, _, blocks, _, most in parts:
+        for q, _, _, _, blocks, most in parts:
             bound[blocks] += q * most
-        order = np.lexsort((np.arange(self.blocks), -bound))
-        order = order[bound[order] > 0]
-        places, scores, at, step = np.zeros(0, int), np.zeros(0), 0, 2
-        while at < len(order) and (len(scores) < k or bound[order[at]] >= scores[-1] - 1e-12):
+        order = np.flatnonzero(bound)
+        order = order[np.argsort(-bound[order], kind="stable")]
+        places, scores, at, step = np.zeros(0, int), np.zeros(0), 0, FIRST_BLOCKS
+        slot = np.full(self.blocks, -1)
+        while at < len(order) and (len(scores) < k or bound[order[at]] >= scores[-1] - 1e-9):
             chunk = order[at : at + step]
+            if len(scores) == k:
+                chunk = chunk[bound[chunk] >= scores[-1] - 1e-9]
+            slot[chunk] = np.arange(len(chunk))
             found = np.zeros((len(chunk), BLOCK))
-            for q, where, weights, blocks, starts, _ in parts:
-                slot = np.searchsorted(blocks, chunk)
-                for row, s in enumerate(slot):
-                    if s < len(blocks) and blocks[s] == chunk[row]:
-                        mine = slice(starts[s], starts[s + 1])
-                        found[row, where[mine] - chunk[row] * BLOCK] += q * weights[mine]
+            for q, of_block, column, weights, _, _ in parts:
+                row = slot[of_block]
+                mine = row >= 0
+                found[row[mine], column[mine]] += q * weights[mine]
+            slot[chunk] = -1
             row, col = np.nonzero(found)
             places = np.concatenate([places, chunk[row] * BLOCK + col])
-            scores = np.concatenate([scores, found[row, col]])
-            best = np.lexsort((places, -np.round(scores, 12)))[:k]
-            places, scores, at, step = places[best], scores[best], at + step, min(64, step * 2)
+            scores = np.concatenate([scores, np.round(found[row, col], 12)])
+            if len(scores) > k:
+                least = np.partition(scores, -k)[-k]
+                some = scores >= least
+                places, scores = places[some], scores[some]
+            best = np.lexsort((places, -scores))[:k]
+            places, scores, at, step = places[best], scores[best], at + step, step * 4
         return places, scores
 
 
@@ -140,17 +148,22 @@ class ToxicityModel:
         total, positive = len(examples), float(examples.label.sum()) if len(examples) else 0.0
         self.share = positive / max(1, total)
         self.zero = (zero[1] + self.share) / (zero[0] + 1)
-        self.index = BlockMaxIndex([dict(k) for k in keys], np.array([entries[k][0] for k in keys], float), np.array([entries[k][1] for k in keys]), np.array([entries[k][2] for k in keys], dtype=np.int64))
-        x, y, w = [self.zero], [self.zero], [1.0]
-        for place, key in enumerate(keys):
-            near = self.index.nearest(dict(key), NEIGHBOURS)
-            n, p = self.index.counts[place], self.index.positives[place]
-            for label, weight in ((1, p), (0, n - p)):
-                if weight > 0:
-                    x.append(self._vote(*near, leave=(place, label)))
-                    y.append(label)
-                    w.append(weight)
-        self.steps = isotonic(np.array(x), np.array(y, float), np.array(w))
+        self.vectors = [dict(k) for k in keys]
+        self.index = BlockMaxIndex(self.vectors, np.array([entries[k][0] for k in keys], float), np.array([entries[k][1] for k in keys]), np.array([entries[k][2] for k in keys], dtype=np.int64))
+        self.calibrate(pd.DataFrame({"vote": [], "label": [], "weight": []}))
+
+    def left_out(self, place: int) -> list[tuple[float, int, float]]:
+        """(vote, label, weight) of an entry's toxic and other examples, each as if it were
+        not in the index."""
+        vector = self.vectors[place]
+        near = self.index.nearest(vector, NEIGHBOURS)
+        n, p = self.index.counts[place], self.index.positives[place]
+        return [(self._vote(*near, leave=(place, label)), label, float(weight)) for label, weight in ((1, p), (0, n - p)) if weight > 0]
+
+    def calibrate(self, votes: pd.DataFrame) -> None:
+        """Learns what votes mean; texts without a term are one more point."""
+        x, y, w = (np.append(votes[c].to_numpy(float), v) for c, v in (("vote", self.zero), ("label", self.zero), ("weight", 1.0)))
+        self.steps = isotonic(x, y, w)
 
     def _vote(self, places: np.ndarray, cosines: np.ndarray, leave: tuple[int, int] | None = None) -> float:
         n, p = self.index.counts[places].copy(), self.index.positives[places].copy()
@@ -224,7 +237,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, examples: int = EXAMPLES
 
     found = sample.mapInPandas(vectors, "id long, label double, vector array<struct<t int, w double>>").toPandas()
     found["vector"] = [{x["t"]: x["w"] for x in v} for v in found.vector]
-    return ToxicityModel(idf, found)
+    model = ToxicityModel(idf, found)
+    judged = sample.sparkSession.sparkContext.broadcast(model)
+
+    def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([v for place in pdf.id for v in judged.value.left_out(place)], columns=["vote", "label", "weight"])
+
+    places = sample.sparkSession.range(0, model.index.n, numPartitions=max(1, min(64, model.index.n // 64)))
+    model.calibrate(places.mapInPandas(votes, "vote double, label int, weight double").toPandas())
+    return model
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
