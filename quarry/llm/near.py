@@ -175,7 +175,8 @@ def jaccard_join(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, r
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     signed = written(signatures(source, n, bands, rows), "near-signatures")
     classes = written(
-        signed.where("sid is not null").groupBy("sid").agg(F.min("id").alias("rep"), F.min(F.struct("id", "th"))["th"].alias("th"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")),
+        # the row that stands for a class: the least id, with its own text; null ids last
+        signed.where("sid is not null").groupBy("sid").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("r"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")).select("sid", F.col("r.id").alias("rep"), F.col("r.th").alias("th"), "copies", "n_grams", "bands"),
         "near-classes",
     )
     dealt = classes.select("sid", F.explode("bands").alias("band"))

@@ -79,6 +79,7 @@ def test_odd_rows(spark):
     rows = [
         (1, None), (2, ""), (3, None), (4, "   "), (5, "   "), (6, "%%%"), (7, "a b"), (8, "A, b!"), (9, "a b c"), (10, long), (11, long + " tail"), (12, long), (None, "n u l l s here"), (None, "n u l l s here"),
         (13, "n u l l s here"), (None, "alone text of no id at all"), (14, "same same same same same same same"), (14, "same same same same same same same"), (14, "another text under the id"), (15, "same " * 400),
+        (None, "p q r s t u v w x y z " * 2), (16, "P Q R S T U V W X Y Z " * 2), (17, "p q r s t u v w x y z " * 2 + "tail"),
     ]
     check(spark, rows)
 
