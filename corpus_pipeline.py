@@ -40,7 +40,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document of the mix as token ids, with digests of them and of what they
     decode to: doc_id, source, n_tokens, ids_sha256, decoded_sha256, ids."""
     ranks, pattern = bpe.vocabulary()
-    return docs.select("doc_id", "source", bpe.round_trip(spark, F.col("text"), ranks, pattern, ids=True).alias("t")).select("doc_id", "source", "t.*")
+    return bpe.encoded_rows(docs, ranks, pattern, keep=["doc_id", "source"])
 
 
 STAGES = [
