@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .storage import table
 
 #: Bits of a bitmap word (as a power of two); pre-tokens whose ids a worker remembers, and their greatest length.
-WORD_SHIFT, REMEMBERED, REMEMBERED_LENGTH = 8, 600_000, 64
+WORD_SHIFT, REMEMBERED, REMEMBERED_LENGTH = 8, 250_000, 64
 WORD_MASK = (1 << WORD_SHIFT) - 1
 
 
@@ -198,26 +198,50 @@ def decoded(spark: SparkSession, ids: Column, ranks: dict[bytes, int]) -> Column
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def round_trip(spark: SparkSession, text: Column, ranks: dict[bytes, int], pattern: str, ids: bool = False) -> Column:
+def round_trip(spark: SparkSession, text: Column, ranks: dict[bytes, int], pattern: str) -> Column:
     """A struct of the number of ids, their digest (little-endian unsigned 32-bit) and
-    the digest of the bytes they decode to; the ids themselves with ``ids`` only."""
+    the digest of the bytes they decode to; the ids themselves stay in the worker."""
     shared = spark.sparkContext.broadcast(ranks)
 
-    @F.pandas_udf(DIGESTS + (", ids array<int>" if ids else ""))
+    @F.pandas_udf(DIGESTS)
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder = _coder(shared.value, pattern)
         for batch in batches:
             rows = []
             for text in batch:
                 packed = coder.packed(text or "")
-                found = np.frombuffer(packed, "<u4")
-                row = (len(found), hashlib.sha256(packed).hexdigest(), hashlib.sha256(coder.decode(found.tolist())).hexdigest())
-                rows.append((*row, found.astype(np.int32)) if ids else row)
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 3 + ids])
+                ids = np.frombuffer(packed, "<u4").tolist()
+                rows.append((len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()))
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return digest(text)
 
 
+ENCODED = DIGESTS + ", ids array<int>"
+#: Rows that go back to the JVM at once with their ids.
+ROWS_BACK = 256
+
+
+def encoded_rows(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text_col: str = "text", keep: list[str]) -> DataFrame:
+    """The columns ``keep``, and those of ``round_trip`` with the ids.  Rows go back in
+    small batches, so that neither side holds the ids of a whole Arrow batch."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coder = _coder(shared.value, pattern)
+        for pdf in batches:
+            for start in range(0, len(pdf), ROWS_BACK):
+                part = pdf.iloc[start : start + ROWS_BACK]
+                packed = [coder.packed(x or "") for x in part["_text"]]
+                ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in packed]
+                back = [hashlib.sha256(coder.decode(x.tolist())).hexdigest() for x in ids]
+                yield part.drop(columns="_text").assign(n_tokens=[len(x) for x in ids], ids_sha256=[hashlib.sha256(x).hexdigest() for x in packed], decoded_sha256=back, ids=ids)
+
+    kept = docs.select(*keep, F.col(text_col).alias("_text"))
+    schema = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep)
+    return kept.mapInPandas(encode, f"{schema}, {ENCODED}")
+
+
 def vocabulary(path: str | None = None) -> tuple[dict[bytes, int], str]:
     """Ranks and pattern; ``path`` defaults to the public 50k byte-level vocabulary."""
     import public_tokenizers

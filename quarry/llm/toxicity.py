@@ -40,7 +40,8 @@ BEGINNINGS = range(4, 9)
 NEIGHBOURS, POWER, BLOCK, FIRST_BLOCKS, SHOWN = 15, 4, 32, 8, 3
 #: At this score and above a document is toxic.
 THRESHOLD = 0.5
-REMEMBERED = 200_000
+#: Words, answers, and the terms of a vector whose answer a worker remembers.
+REMEMBERED, REMEMBERED_ANSWERS, REMEMBERED_TERMS = 50_000, 10_000, 8
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -194,15 +195,17 @@ class ToxicityModel:
         """Score, and the nearest examples: id, cosine and share of toxic labels."""
         vector = self.vector(text)
         key = tuple(sorted(vector.items()))
-        if key not in self._answers:
-            if len(self._answers) >= REMEMBERED // 4:
-                self._answers.clear()
-            places, cosines = self.index.nearest(vector, NEIGHBOURS)
-            vote = self._vote(places, cosines) if len(places) else self.zero
-            fitted = float(np.interp(vote, *self.steps))
-            shown = [{"doc_id": int(self.index.ids[p]), "cosine": min(1.0, float(c)), "toxic": float(self.index.positives[p] / self.index.counts[p])} for p, c in zip(places[:SHOWN], cosines, strict=False)]
-            self._answers[key] = min(1.0, max(0.0, 0.98 * fitted + 0.02 * vote)), shown  # the vote orders what the steps make equal
-        return self._answers[key]
+        known = self._answers.get(key)
+        if known is not None:
+            return known
+        places, cosines = self.index.nearest(vector, NEIGHBOURS)
+        vote = self._vote(places, cosines) if len(places) else self.zero
+        fitted = float(np.interp(vote, *self.steps))
+        shown = [{"doc_id": int(self.index.ids[p]), "cosine": min(1.0, float(c)), "toxic": float(self.index.positives[p] / self.index.counts[p])} for p, c in zip(places[:SHOWN], cosines, strict=False)]
+        answer = min(1.0, max(0.0, 0.98 * fitted + 0.02 * vote)), shown  # the vote orders what the steps make equal
+        if len(key) <= REMEMBERED_TERMS and len(self._answers) < REMEMBERED_ANSWERS:
+            self._answers[key] = answer  # short vectors come again, long ones rarely do
+        return answer
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_known": {}, "_answers": {}}
