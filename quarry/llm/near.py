@@ -38,7 +38,7 @@ from .storage import table, written
 N, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 5
 #: Classes and n-grams of a tile; ids that are broadcast at most; columns multiplied at once.
 TILE, TILE_GRAMS, BROADCAST_IDS, COLUMNS = 128, 1_000_000, 200_000, 8192
-SEED, REMEMBERED = 20240, 500_000
+SEED, REMEMBERED = 20240, 100_000
 
 _WORD = re.compile(r"\w+")
 
@@ -190,7 +190,8 @@ def jaccard_join(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, r
     links = found.groupBy("sid").agg(F.sum("links").alias("links"))
     placed = classes.select("sid", "rep", "copies").join(joined, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     named = placed.groupBy("component").agg(F.min("rep").alias("class_id"))
-    result = placed.join(named, "component").join(links, "sid", "left").select("sid", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    # written, so that the last join reads both sides as they are dealt and a class with very many copies can be split
+    result = written(placed.join(named, "component").join(links, "sid", "left").select("sid", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links")), "near-classes-named")
     out = signed.select("id", "th", "sid").join(result, "sid", "left")
     copies = F.coalesce(F.col("copies") - 1, F.lit(0))
     alone = F.col("sid").isNull()
