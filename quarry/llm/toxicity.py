@@ -1,8 +1,11 @@
 """Toxicity (operator 2): the nearest labelled examples by exact TF-IDF cosine.
 
 Terms are words and their beginnings (so that inflected forms meet), as far as their
-presence in examples depends on the label (chi-square); a text without such a term is
-the zero vector.  Examples with equal vectors are one entry that counts its labels.
+presence in examples depends on the label (chi-square).  How much it must depend is
+learned: each fold of the examples is judged by the others, which alone choose and weigh
+the terms, and the loosest of ``CUTS`` is taken whose errors are within one standard
+error of the fewest.  A text without such a term is the zero vector.  Examples with
+equal vectors are one entry that counts its labels.
 
 Entries stand in an inverted index whose order puts like entries together.  Each
 term has, for every block of entries that it occurs in, the largest weight there; the
@@ -10,8 +13,8 @@ sums of those bounds order the blocks, and blocks are scored in full until no bo
 left exceeds the k-th cosine so far.  The neighbours found are exact.
 
 Neighbours vote with their labels, weighted by a power of the cosine.  Votes are turned
-into probabilities by isotonic regression over the votes that each example's
-neighbours, itself left out, give on it.  The nearest examples are the evidence.
+into probabilities by isotonic regression over the votes that the other folds gave on
+each example.  The nearest examples are the evidence.
 
 The examples are about ``EXAMPLES`` labelled documents (a documented bound, which also
 bounds the index that is broadcast); every whole text is scored.
@@ -25,7 +28,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,7 +38,9 @@ from pyspark.sql import functions as F
 from .samples import fold, labelled
 from .storage import table, written
 
-EXAMPLES, CHI_SQUARE, LEAST_TEXTS = 12000, 30.0, 3
+EXAMPLES, LEAST_TEXTS, FOLDS = 12000, 3, 8
+#: Values of chi-square that a term may be asked for, loosest first.
+CUTS = (6.0, 8.0, 10.0, 14.0, 20.0, 30.0)
 BEGINNINGS = range(4, 9)
 NEIGHBOURS, POWER, BLOCK, FIRST_BLOCKS, SHOWN = 15, 4, 32, 8, 3
 #: At this score and above a document is toxic.
@@ -56,12 +61,12 @@ def terms_of(word: str) -> list[str]:
 
 
 def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    seen: dict[str, list[float]] = defaultdict(lambda: [0, 0.0])
-    out = lambda: pd.DataFrame([(t, n, p) for t, (n, p) in seen.items()], columns=["term", "n", "positive"])
+    seen: dict[tuple[str, int], list[float]] = defaultdict(lambda: [0, 0.0])
+    out = lambda: pd.DataFrame([(t, f, n, p) for (t, f), (n, p) in seen.items()], columns=["term", "fold", "n", "positive"])
     for pdf in batches:
-        for text, label in zip(pdf.text, pdf.label, strict=True):
+        for text, label, part in zip(pdf.text, pdf.label, pdf.fold, strict=True):
             for term in {t for w in set(words(text)) for t in terms_of(w)}:
-                entry = seen[term]
+                entry = seen[term, part]
                 entry[0] += 1
                 entry[1] += label
         if len(seen) > 500_000:
@@ -70,6 +75,11 @@ def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield out()
 
 
+def _dependence(n, positive, texts: float, share: float):
+    """The two sides of chi-square >= cut: left >= cut * right.  Of columns or arrays."""
+    return (positive - n * share) ** 2, n * (share * (1 - share)) * (texts - n + 0.5) / texts
+
+
 class BlockMaxIndex:
     """Entries of unit vectors with counts of examples and of toxic ones.  Entry 0.. are
     in lexical order of their terms, which puts entries with like terms into a block."""
@@ -77,13 +87,15 @@ class BlockMaxIndex:
     def __init__(self, vectors: list[dict[int, float]], counts: np.ndarray, positives: np.ndarray, ids: np.ndarray) -> None:
         self.counts, self.positives, self.ids = counts, positives, ids
         self.n, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
-        by_term: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        for place, vector in enumerate(vectors):
-            for t, w in vector.items():
-                by_term[t].append((place, w))
+        sizes = np.array([len(v) for v in vectors], int)
+        of_entry = np.repeat(np.arange(self.n), sizes)
+        terms = np.fromiter((t for v in vectors for t in v), np.int64, int(sizes.sum()))
+        all_weights = np.fromiter((w for v in vectors for w in v.values()), float, int(sizes.sum()))
+        order = np.argsort(terms, kind="stable")
+        names, first = np.unique(terms[order], return_index=True)
         self.postings = {}
-        for t, entries in by_term.items():
-            places, weights = np.array([p for p, _ in entries]), np.array([w for _, w in entries])
+        for t, at in zip(names.tolist(), np.split(order, first[1:]) if len(names) else [], strict=True):
+            places, weights = of_entry[at], all_weights[at]
             of_block = places // BLOCK
             blocks, starts = np.unique(of_block, return_index=True)
             self.postings[t] = of_block, places % BLOCK, weights, blocks, np.maximum.reduceat(weights, starts)
@@ -141,7 +153,7 @@ class ToxicityModel:
         self._answers: dict[tuple, tuple[float, list]] = {}
         entries: dict[tuple, list] = {}
         for row in examples.sort_values("id").itertuples():
-            e = entries.setdefault(tuple(sorted(row.vector.items())), [0, 0.0, row.id])
+            e = entries.setdefault(tuple(sorted(row.vector.items())), [0, 0.0, row.id, row.vector])
             e[0] += 1
             e[1] += row.label
         zero = entries.pop((), [0, 0.0, None])
@@ -149,7 +161,7 @@ class ToxicityModel:
         total, positive = len(examples), float(examples.label.sum()) if len(examples) else 0.0
         self.share = positive / max(1, total)
         self.zero = (zero[1] + self.share) / (zero[0] + 1)
-        self.vectors = [dict(k) for k in keys]
+        self.vectors = [entries[k][3] for k in keys]
         self.index = BlockMaxIndex(self.vectors, np.array([entries[k][0] for k in keys], float), np.array([entries[k][1] for k in keys]), np.array([entries[k][2] for k in keys], dtype=np.int64))
         self.calibrate(pd.DataFrame({"vote": [], "label": [], "weight": []}))
 
@@ -177,6 +189,12 @@ class ToxicityModel:
 
     def vector(self, text: str | None) -> dict[int, float]:
         """The unit TF-IDF vector: (1 + log tf) * idf over the terms of the index."""
+        weights = {t: (1 + np.log(n)) * idf for (t, idf), n in self.counts(text).items()}
+        norm = np.sqrt(sum(w * w for w in weights.values()))
+        return {t: round(float(w / norm), 9) for t, w in weights.items()}
+
+    def counts(self, text: str | None) -> dict[tuple[int, float], int]:
+        """How often each term of the index, (number, idf), is in a text."""
         known, tf = self._known, defaultdict(int)
         for word, n in Counter(words(text)).items():
             hits = known.get(word)
@@ -187,9 +205,11 @@ class ToxicityModel:
                 known[word] = hits
             for hit in hits:
                 tf[hit] += n
-        weights = {t: (1 + np.log(n)) * idf for (t, idf), n in tf.items()}
-        norm = np.sqrt(sum(w * w for w in weights.values()))
-        return {t: round(float(w / norm), 9) for t, w in weights.items()}
+        return tf
+
+    def vote(self, vector: dict[int, float]) -> float:
+        places, cosines = self.index.nearest(vector, NEIGHBOURS)
+        return self._vote(places, cosines) if len(places) else self.zero
 
     def answer(self, text: str | None) -> tuple[float, list]:
         """Score, and the nearest examples: id, cosine and share of toxic labels."""
@@ -222,33 +242,94 @@ class ToxicityModel:
         return score(text)
 
 
+class Examples:
+    """The examples as counts of the terms that some cut may take."""
+
+    def __init__(self, rows: pd.DataFrame, terms: list[str], n: np.ndarray, positive: np.ndarray) -> None:
+        """``rows``: id, label, fold, and the numbers and counts of its terms (int32 bytes);
+        ``n``, ``positive``: texts and toxic texts with a term, by term and fold."""
+        self.ids, self.labels, self.folds = rows.id.to_numpy(np.int64), rows.label.to_numpy(float), rows.fold.to_numpy(int)
+        self.texts = [(np.frombuffer(t, np.int32), np.frombuffer(c, np.int32)) for t, c in zip(rows.terms, rows.times, strict=True)]
+        self.terms, self.n, self.positive = terms, n, positive
+
+    def model(self, cut: float, without: int | None = None) -> tuple[ToxicityModel, Callable[[int], dict[int, float]]]:
+        """A model of the examples that aren't in the fold ``without``, and what gives the
+        vector of any of them."""
+        mine = self.folds != (-1 if without is None else without)
+        others = np.arange(FOLDS) != (-1 if without is None else without)
+        n, positive, texts = self.n[:, others].sum(axis=1), self.positive[:, others].sum(axis=1), max(1, int(mine.sum()))
+        left, right = _dependence(n, positive, texts, float(self.labels[mine].sum()) / texts)
+        telling = (n >= LEAST_TEXTS) & (right > 0) & (left >= cut * right)
+        idf = np.log((1 + texts) / (1 + n)) + 1
+
+        def vector(i: int) -> dict[int, float]:
+            t, c = self.texts[i]
+            some = telling[t]
+            w = (1 + np.log(c[some])) * idf[t[some]]
+            return dict(zip(t[some].tolist(), np.round(w / np.sqrt((w * w).sum()), 9).tolist(), strict=True))
+
+        rows = pd.DataFrame({"id": self.ids[mine], "label": self.labels[mine], "vector": [vector(i) for i in np.flatnonzero(mine)]})
+        return ToxicityModel({self.terms[i]: (int(i), float(idf[i])) for i in np.flatnonzero(telling)}, rows), vector
+
+    def votes(self, cut: float, part: int) -> pd.DataFrame:
+        """The votes of the other folds on the examples of one."""
+        model, vector = self.model(cut, part)
+        own = np.flatnonzero(self.folds == part)
+        return pd.DataFrame({"vote": [model.vote(vector(i)) for i in own], "label": self.labels[own], "weight": 1.0})
+
+
+def loosest(votes: pd.DataFrame) -> float:
+    """The loosest cut whose errors are within one standard error of the fewest."""
+    errors = {}
+    for cut in CUTS:
+        v = votes[votes["cut"] == cut]
+        steps = isotonic(*(v[c].to_numpy(float) for c in ("vote", "label", "weight")))
+        errors[cut] = int(((np.interp(v.vote, *steps) >= THRESHOLD) != (v.label >= THRESHOLD)).sum()) if len(v) else 0
+    fewest = min(errors.values())
+    return next(c for c in CUTS if errors[c] <= fewest + np.sqrt(fewest))
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, examples: int = EXAMPLES) -> ToxicityModel:
-    sample = written(labelled(docs, labels, "toxic", most=examples), "toxicity-examples")
-    n, positive = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
-    counts = sample.select("text", "label").mapInPandas(_term_counts, "term string, n long, positive double").groupBy("term").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive"))
-    p = positive / max(1, n)
-    expected = F.col("n") * F.lit(p)
-    spread = expected * F.lit(1 - p) * (F.lit(float(max(1, n))) - F.col("n") + 0.5) / F.lit(float(max(1, n)))
-    telling = counts.where((F.col("n") >= LEAST_TEXTS) & ((F.col("positive") - expected) ** 2 >= CHI_SQUARE * spread) & F.lit(0 < p < 1)).orderBy("term").collect()
-    idf = {r.term: (i, float(np.log((1 + n) / (1 + r.n)) + 1)) for i, r in enumerate(telling)}
-    shared = sample.sparkSession.sparkContext.broadcast(idf)
-
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    spark = docs.sparkSession
+    part = F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(FOLDS)).cast("int")
+    sample = written(labelled(docs, labels, "toxic", most=examples).withColumn("fold", part), "toxicity-examples")
+    sizes = {r.fold: (r.n, r.positive) for r in sample.groupBy("fold").agg(F.count("*").alias("n"), F.sum("label").alias("positive")).collect()}
+    counted = sample.select("text", "label", "fold").mapInPandas(_term_counts, "term string, fold int, n long, positive double").groupBy("term")
+    of = lambda c, k: F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0))
+    counts = counted.agg(F.array(*[of("n", k) for k in range(FOLDS)]).alias("n"), F.array(*[of("positive", k) for k in range(FOLDS)]).alias("positive"))
+    some = F.lit(False)  # the loosest cut takes the term, with all folds or without one
+    for without in (None, *range(FOLDS)):
+        folds = [k for k in range(FOLDS) if k != without]
+        texts, toxic = (sum(sizes.get(k, (0, 0))[i] for k in folds) for i in (0, 1))
+        if 0 < toxic < texts:
+            n, positive = (sum((F.col(c)[k] for k in folds), F.lit(0)) for c in ("n", "positive"))
+            left, right = _dependence(n, positive, float(texts), float(toxic / texts))
+            some |= (n >= LEAST_TEXTS) & (left >= (1 - 1e-9) * CUTS[0] * right)
+    telling = counts.where(some).orderBy("term").collect()
+    numbers = {r.term: (i, 1.0) for i, r in enumerate(telling)}
+    shared = spark.sparkContext.broadcast(numbers)
+
+    def term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         maker = ToxicityModel(shared.value, pd.DataFrame({"id": [], "label": [], "vector": []}))
         for pdf in batches:
-            yield pdf[["id", "label"]].assign(vector=[list(maker.vector(x).items()) for x in pdf.text])
+            found = [sorted((t, n) for (t, _), n in maker.counts(x).items()) for x in pdf.text]
+            terms, times = ([np.array([x[i] for x in f], np.int32).tobytes() for f in found] for i in (0, 1))
+            yield pdf[["id", "label", "fold"]].assign(terms=terms, times=times)
 
-    found = sample.mapInPandas(vectors, "id long, label double, vector array<struct<t int, w double>>").toPandas()
-    found["vector"] = [{x["t"]: x["w"] for x in v} for v in found.vector]
-    model = ToxicityModel(idf, found)
-    judged = sample.sparkSession.sparkContext.broadcast(model)
+    rows = sample.mapInPandas(term_counts, "id long, label double, fold int, terms binary, times binary").toPandas().sort_values("id", ignore_index=True)
+    of_terms = lambda c: np.array([r[c] for r in telling], float).reshape(-1, FOLDS)
+    known = Examples(rows, [r.term for r in telling], of_terms("n"), of_terms("positive"))
+    judged = spark.sparkContext.broadcast(known)
 
     def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame([v for place in pdf.id for v in judged.value.left_out(place)], columns=["vote", "label", "weight"])
+            for i in pdf.id:
+                yield judged.value.votes(CUTS[i // FOLDS], i % FOLDS).assign(cut=CUTS[i // FOLDS])
 
-    places = sample.sparkSession.range(0, model.index.n, numPartitions=max(1, min(64, model.index.n // 64)))
-    model.calibrate(places.mapInPandas(votes, "vote double, label int, weight double").toPandas())
+    given = spark.range(0, len(CUTS) * FOLDS, numPartitions=len(CUTS) * FOLDS).mapInPandas(votes, "vote double, label double, weight double, cut double").toPandas()
+    cut = loosest(given)
+    model = known.model(cut)[0]
+    model.calibrate(given[given["cut"] == cut])
     return model
 
 

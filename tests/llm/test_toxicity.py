@@ -83,3 +83,18 @@ def test_little_to_learn_and_odd_rows(spark, labels):
     assert len(got) == 6 and all(0 <= r.s <= 1 for r in got)
     none = toxicity.fit_toxicity(docs.limit(0), spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert none.answer("x")[0] == 0
+
+
+def test_words_of_few_toxic_examples_count(spark):
+    """Each toxic word stands in five toxic examples of 200 (chi-square about 20)."""
+    text = lambda i: f"plain w{chr(97 + i % 23)}{chr(97 + i % 19)} text" + (f" {'abcdefgh'[i % 8] * 7}" if i < 40 else "")
+    docs = spark.createDataFrame([(i, f"{text(i)} {i}") for i in range(200)], "doc_id long, text string")
+    model = toxicity.fit_toxicity(docs, spark.createDataFrame([(i, int(i < 40)) for i in range(200)], "doc_id long, toxic int"))
+    assert all(model.answer(f"new {c * 7} words")[0] >= 0.5 for c in "abcdefgh")
+    assert model.answer("new words")[0] < 0.5
+
+
+def test_loosest_cut_within_an_error_of_the_fewest():
+    judged = lambda cut, wrong: pd.DataFrame({"vote": [0.0] * 50 + [1.0] * 50, "label": [0.0] * (50 - wrong) + [1.0] * wrong + [1.0] * 50, "weight": 1.0, "cut": cut})
+    wrong = dict(zip(toxicity.CUTS, [20, 15, 12, 9, 10, 9], strict=True))
+    assert toxicity.loosest(pd.concat([judged(*x) for x in wrong.items()])) == toxicity.CUTS[2]
