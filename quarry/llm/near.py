@@ -161,11 +161,12 @@ def _meet(threshold: float):
 
 
 def jaccard_join(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, th (xxhash64 of its text), class_id, n_links, n_copies.
+    """One row per document: doc_id, th (xxhash64 of its text), class_id, n_links, n_copies,
+    and keep_th: with class_id, the th of the row that stands for the class.
 
     ``n_links``: other rows with Jaccard similarity >= ``threshold`` to it (``n_copies``
     of them have the very same set); ``class_id``: the least doc_id connected to it by
-    such links, its own if there is none.
+    such links, its own if there is none.  keep_th is null where the n-gram set is empty.
 
     Null ids are possible: such rows have class and links as others, and class_id null
     if no row connected to them has an id.  Rows that repeat an id are rows of their
@@ -188,14 +189,14 @@ def jaccard_join(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, r
     found = written(_met(source, members, n, threshold), "near-links")
     joined = components(found.select(F.col("sid").alias("u"), F.col("other").alias("v"))).select(F.col("node").alias("sid"), "component")
     links = found.groupBy("sid").agg(F.sum("links").alias("links"))
-    placed = classes.select("sid", "rep", "copies").join(joined, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    named = placed.groupBy("component").agg(F.min("rep").alias("class_id"))
+    placed = classes.select("sid", "rep", "th", "copies").join(joined, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    named = placed.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "th")).alias("k")).select("component", F.col("k.rep").alias("class_id"), F.col("k.th").alias("keep_th"))
     # written, so that the last join reads both sides as they are dealt and a class with very many copies can be split
-    result = written(placed.join(named, "component").join(links, "sid", "left").select("sid", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links")), "near-classes-named")
+    result = written(placed.join(named, "component").join(links, "sid", "left").select("sid", "class_id", "keep_th", "copies", F.coalesce("links", F.lit(0)).alias("links")), "near-classes-named")
     out = signed.select("id", "th", "sid").join(result, "sid", "left")
     copies = F.coalesce(F.col("copies") - 1, F.lit(0))
     alone = F.col("sid").isNull()
-    return out.select(F.col("id").alias("doc_id"), "th", F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), (copies + F.coalesce("links", F.lit(0))).alias("n_links"), copies.alias("n_copies"))
+    return out.select(F.col("id").alias("doc_id"), "th", F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), (copies + F.coalesce("links", F.lit(0))).alias("n_links"), copies.alias("n_copies"), "keep_th")
 
 
 def _met(source: DataFrame, members: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -216,13 +217,15 @@ def _met(source: DataFrame, members: DataFrame, n: int, threshold: float) -> Dat
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The documents whose id is their class's, with all columns; rows that repeat such
-    an id with the same text stay once."""
-    kept = jaccard_join(docs, **options).where(F.col("class_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th")).distinct()
+    """One document of each class, with all columns: the row of the least id and text hash
+    (null ids last), once if it is repeated.  Documents with an empty n-gram set are
+    similar to nothing, and all stay."""
+    kept = jaccard_join(docs, **options).where("keep_th is not null").select(F.col("class_id").alias("j_id"), F.col("keep_th").alias("j_th")).distinct()
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = packed.withColumn("k_id", F.col("row.doc_id")).withColumn("k_th", F.xxhash64("row.text"))
-    joined = rows.join(kept.withColumnsRenamed({"k_id": "j_id", "k_th": "j_th"}), F.col("k_id").eqNullSafe(F.col("j_id")) & (F.col("k_th") == F.col("j_th")))
-    return joined.dropDuplicates(["k_id", "k_th"]).select("row.*")
+    empty = F.coalesce(F.col("row.text"), F.lit("")) == ""
+    joined = rows.where(~empty).join(kept, F.col("k_id").eqNullSafe(F.col("j_id")) & (F.col("k_th") == F.col("j_th")))
+    return joined.dropDuplicates(["k_id", "k_th"]).select("row.*").unionByName(rows.where(empty).select("row.*"))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,3 +146,13 @@ def test_whole_table(spark, small):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     got = {r.doc_id: (r.class_id, r.n_links) for r in op9_ngram_join(spark, small).collect()}
     assert got == {d: b for (d, _), b in zip(docs, brute(docs), strict=True)}
+
+
+def test_one_row_of_each_class_stays_without_or_with_repeated_ids(spark):
+    base = [f"q{i}" for i in range(40)]
+    near, far = " ".join(base), " ".join(base + ["r1", "r2"])
+    for ids in ((None, None), (7, 7)):
+        docs = spark.createDataFrame([(ids[0], near), (ids[1], far)], "doc_id long, text string")
+        assert deduplicated(docs).count() == 1
+    nothing = [(None, None), (None, None), (None, ""), (None, ""), (3, ""), (3, "")]
+    assert sorted([tuple(r) for r in deduplicated(spark.createDataFrame(nothing, "doc_id long, text string")).collect()], key=str) == sorted(nothing, key=str)
