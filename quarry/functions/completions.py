@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,8 +11,6 @@ from .text import trim_space
 # Finish reasons that clients know, the last payload of a stream.
 KNOWN_REASONS = ["stop", "length", "tool_calls", "function_call", "content_filter"]
 DONE = "[DONE]"
-#: How deep text parts may nest in each other.
-DEPTH = 2
 
 
 def event_payload(line: Column) -> Column:
@@ -27,24 +26,36 @@ def _string(v: Column, path: str) -> Column:
     return F.when(F.schema_of_variant(raw) == "STRING", F.try_variant_get(v, path, "string"))
 
 
-def _text(v: Column, depth: int) -> Column:
+def _text(v: Column) -> Column:
     """Text of a JSON value: a string, the parts of an array, or an object's text, content
-    and (not inside arrays) reasoning_content."""
-    kind = F.schema_of_variant(v)
-    plain = F.when(kind == "STRING", F.variant_get(v, "$", "string"))
-    if depth == 0:
-        return F.coalesce(plain, F.lit(""))
-    member = lambda x, name: _text(F.try_variant_get(x, f"$.{name}", "variant"), depth - 1)
-    part = lambda x: F.when(F.schema_of_variant(x) == "STRING", F.variant_get(x, "$", "string")).when(F.schema_of_variant(x).startswith("OBJECT"), F.concat(member(x, "text"), member(x, "content"))).otherwise("")
-    parts = F.array_join(F.transform(F.try_variant_get(v, "$", "array<variant>"), part), "")
-    members = F.concat(member(v, "text"), member(v, "content"), member(v, "reasoning_content"))
-    return F.when(kind == "STRING", plain).when(kind.startswith("ARRAY"), F.coalesce(parts, F.lit(""))).when(kind.startswith("OBJECT"), members).otherwise("")
+    and (not inside arrays) reasoning_content, however deep they nest."""
+
+    @F.pandas_udf("string")
+    def text(values: pd.Series) -> pd.Series:
+        import json
+
+        def of(value: str | None) -> str:
+            out, waiting = [], [json.loads(value)] if value else []
+            while waiting:  # a stack, so that depth is not bounded by Python's
+                x = waiting.pop()
+                if isinstance(x, str):
+                    out.append(x)
+                elif isinstance(x, dict):
+                    waiting += [x.get("reasoning_content"), x.get("content"), x.get("text")]
+                elif isinstance(x, list):
+                    for part in reversed(x):
+                        waiting += [part] if isinstance(part, str) else [part.get("content"), part.get("text")] if isinstance(part, dict) else []
+            return "".join(out).encode("utf-8", "replace").decode()
+
+        return values.map(of, na_action=None)
+
+    return F.coalesce(text(F.to_json(v)), F.lit(""))
 
 
 def _first(payload: Column, places: list[list[str]]) -> Column:
     """The first place whose members together have any text."""
     v = F.try_parse_json(payload)
-    found = [F.concat(*[_text(F.try_variant_get(v, p, "variant"), DEPTH) for p in paths]) for paths in places]
+    found = [F.concat(*[_text(F.try_variant_get(v, p, "variant")) for p in paths]) for paths in places]
     return F.coalesce(F.get(F.filter(F.array(*found), lambda x: x != ""), F.lit(0)), F.lit(""))
 
 

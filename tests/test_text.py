@@ -70,3 +70,11 @@ def test_nested_content(spark):
     payload = '{"choices":[{"delta":{"content":[{"text":"a"},"b",{"content":"c"},5]}}]}'
     assert one(spark, completions.content_text(F.lit(payload))) == "abc"
     assert one(spark, completions.content_text(F.lit("[1]"))) == ""
+
+
+def test_deeply_nested_content(spark):
+    for depth in (3, 5, 40):
+        inner = '"x"'
+        for _ in range(depth):
+            inner = f'[{{"text":{inner},"content":"y"}}]'
+        assert one(spark, completions.content_text(F.lit(f'{{"content":{inner}}}'))) == "x" + "y" * depth
