@@ -6,9 +6,13 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Bytes of a table that may be dealt to all cores before it is worked on.
+SMALL = 256 << 20
 
 _shipped: set[str] = set()
+_folders: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -28,6 +32,13 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def spread(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """A table that is small, and so may stand in fewer row groups than there are cores,
+    dealt to all of them.  Larger ones, by Spark's estimate, stay as they are stored."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= most else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A folder that the driver and all executors share, for intermediate tables.
 
@@ -37,5 +48,5 @@ def shared_folder(spark: SparkSession) -> str:
     if found:
         return found.rstrip("/")
     if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
-        return "file://" + tempfile.mkdtemp(prefix="quarry-")
+        return _folders.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.gettempdir() + f"/quarry-{spark.sparkContext.applicationId}")
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"

@@ -11,6 +11,7 @@ from ..functions import requests
 from ..functions.lexicon import expand_query
 from ..functions.text import tokenize, trim_space
 from ..schema import UNKNOWN
+from ..storage import written
 from .index import Index, bm25, build_index, index_text, ranked
 from .vector import vector
 
@@ -31,19 +32,31 @@ def rrf(lists: list[tuple[str | None, DataFrame]], k: int = RRF_K) -> DataFrame:
     """query_id, rnk, chunk_id, score and each list's own score, by reciprocal-rank fusion.
 
     ``lists``: (name, ranked); a name other than None keeps that list's score as
-    ``<name>_score``.  Any number of lists is fused by one union and one aggregation;
-    the first list that has a value gives it."""
+    ``<name>_score``; of lists with one name the first that has a value gives it.  Where
+    all lists have document_id and text, hits without a chunk_id are told apart by these,
+    and the two stay as columns.
+
+    Lists are joined, not united: each is summed by hit first, so a join meets one row of
+    each, and what follows finds the rows dealt as the lists were."""
     names = list(dict.fromkeys(name for name, _ in lists if name))
-    rows = None
-    for no, (name, hits) in enumerate(lists):
-        own = [F.when(F.lit(n == name), F.col("score")).alias(f"{n}_score") for n in names]
-        part = hits.select("query_id", "chunk_id", "rnk", F.lit(no).alias("list_no"), *own)
-        rows = part if rows is None else rows.unionByName(part)
+    told = all({"document_id", "text"} <= set(hits.columns) for _, hits in lists)
     one = F.lit(1.0) / (F.lit(float(max(1, k))) + F.col("rnk"))
-    kept = [F.min_by(f"{n}_score", F.when(F.col(f"{n}_score").isNotNull(), F.col("list_no"))).alias(f"{n}_score") for n in names]
-    fused = rows.groupBy("query_id", "chunk_id").agg(F.round(F.sum(one), 9).alias("score"), *kept)
-    by_score = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("chunk_id"))
-    return fused.withColumn("rnk", F.row_number().over(by_score)).select("query_id", "rnk", "chunk_id", "score", *[f"{n}_score" for n in names])
+    fused = None
+    for no, (_, hits) in enumerate(lists):
+        key = F.col("chunk_id")
+        if told:
+            key = F.coalesce(key.cast("string"), F.concat_ws("\n", F.col("document_id"), F.col("text")))
+        rest = [F.min_by(c, "rnk").alias(f"{c}_{no}") for c in ("chunk_id", *(("document_id", "text") if told else ()))]
+        part = hits.groupBy("query_id", key.alias("key")).agg(F.sum(one).alias(f"part_{no}"), F.min_by("score", "rnk").alias(f"own_{no}"), *rest)
+        fused = part if fused is None else fused.join(part, ["query_id", "key"], "full_outer")
+    each = range(len(lists))
+    score = F.round(sum((F.coalesce(f"part_{no}", F.lit(0.0)) for no in each), F.lit(0.0)), 9).alias("score")
+    first = lambda c, of=each: F.coalesce(*[f"{c}_{no}" for no in of])
+    own = [first("own", [no for no in each if lists[no][0] == n]).alias(f"{n}_score") for n in names]
+    told_by = [first(c).alias(c) for c in (("document_id", "text") if told else ())]
+    rows = fused.select("query_id", "key", first("chunk_id").alias("chunk_id"), score, *own, *told_by)
+    by_score = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("key"))
+    return rows.withColumn("rnk", F.row_number().over(by_score)).select("query_id", "rnk", "chunk_id", "score", *[f"{n}_score" for n in names], *(["document_id", "text"] if told else []))
 
 
 def coverage(query: Column, passage: Column) -> Column:
@@ -58,20 +71,30 @@ def has_phrase(query: Column, passage: Column) -> Column:
     return (F.length(q) >= 2) & F.contains(F.lower(passage), F.lower(q))
 
 
-def rerank_features(queries: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The hits with their features: vec, kw (BM25 as share of the query's best), coverage,
-    phrase, and the weighted ``score``.  Scores that a list lacks are 0."""
-    pairs = hits.drop("score", "rnk").join(queries.select("query_id", F.col("text").alias("query_text")), "query_id").join(chunks.select("chunk_id", F.col("content").alias("passage")), "chunk_id")
+def _features(rows: DataFrame) -> DataFrame:
+    """Adds vec, kw, coverage, phrase and the weighted ``rerank_score`` to candidates with
+    query_text, passage, vector_score and bm25_score."""
     best = F.max("bm25_score").over(Window.partitionBy("query_id"))
     most = F.when(best > 0, best).otherwise(1.0)
     out = (
-        pairs.withColumn("vec", F.coalesce("vector_score", F.lit(0.0)))
+        rows.withColumn("vec", F.coalesce("vector_score", F.lit(0.0)))
         .withColumn("kw", F.least(F.lit(1.0), F.coalesce("bm25_score", F.lit(0.0)) / most))
         .withColumn("coverage", coverage(F.col("query_text"), F.col("passage")))
         .withColumn("phrase", F.when(has_phrase(F.col("query_text"), F.col("passage")), 1.0).otherwise(0.0))
     )
     score = F.lit(W_VECTOR) * F.col("vec") + F.lit(W_BM25) * F.col("kw") + F.lit(W_COVERAGE) * F.col("coverage") + F.lit(W_PHRASE) * F.col("phrase")
-    return out.withColumn("score", F.round(score, 6)).drop("query_text", "passage")
+    return out.withColumn("rerank_score", F.round(score, 6))
+
+
+def rerank_features(queries: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The hits with their features: vec, kw (BM25 as share of the query's best), coverage,
+    phrase, and the weighted ``score``.  Scores that a list lacks are 0.
+
+    The hits are written first: they are the small side of the join with the corpus, and
+    Spark then sees that they are."""
+    few = written(hits.drop("score", "rnk").join(queries.select("query_id", F.col("text").alias("query_text")), "query_id"), "rerank-hits")
+    pairs = few.join(chunks.select("chunk_id", F.col("content").alias("passage")), "chunk_id")
+    return _features(pairs).withColumnRenamed("rerank_score", "score").drop("query_text", "passage")
 
 
 def rerank(queries: DataFrame, hits: DataFrame, chunks: DataFrame, k: int = 50) -> DataFrame:
@@ -96,30 +119,37 @@ def search(queries: DataFrame, chunks: DataFrame, index: Index | None = None, op
     ``queries``: query_id, text, embedding (of the expanded text) and, as wanted,
     document_id, mode, top_k.  ``vector`` ranks by cosine; ``hybrid`` fuses cosine and
     BM25 candidates; ``rerank`` scores the fused candidates by features of the text as
-    it was asked.  Attributes are joined after ranking, for hits of either list."""
-    asked = prepared(queries, options)
-    limits = asked.select("query_id", "top_k", "fetch", "mode")
-    cut = lambda hits, column: hits.join(limits, "query_id").where(F.col("rnk") <= F.col(column))
-    index = index or build_index(chunks, text=index_text(F.col("content"), F.col("entities") if "entities" in chunks.columns else None))
-    near = cut(vector(asked, chunks), "fetch").select("query_id", "rnk", "chunk_id", "score")
-    words = cut(bm25(asked.withColumn("text", F.col("expanded")), index), "fetch").select("query_id", "rnk", "chunk_id", "score")
-    fused = cut(rrf([("vector", near), ("bm25", words)], options.rrf_k), "fetch").select("query_id", "rnk", "chunk_id", "score", "vector_score", "bm25_score")
-    again = rerank(asked, fused, chunks)
-    plain = near.select("query_id", "rnk", "chunk_id", "score", F.col("score").alias("vector_score"), F.lit(None).cast("double").alias("bm25_score"))
-    of = lambda hits, mode: cut(hits, "top_k").where(F.col("mode") == mode).drop("top_k", "fetch")
-    hits = of(plain, "vector").unionByName(of(fused, "hybrid")).unionByName(of(again, "rerank"))
-    return with_attributes(hits, chunks)
-
-
-def with_attributes(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Joins text, context, page, parent and entities: context null if empty, page only
-    above 0, parent null if empty or the chunk itself."""
+    it was asked.
+
+    All modes share one table of candidates, written once: those of ``vector`` are fused
+    from one list, which keeps its order.  It meets the corpus in one join, for the
+    passages and the attributes of hits of either list, and is ranked once more by the
+    score of the query's mode."""
+    asked = written(prepared(queries, options), "search-queries")
+    cut = lambda hits: hits.join(asked.select("query_id", "fetch"), "query_id").where(F.col("rnk") <= F.col("fetch")).drop("fetch")
+    index = index or build_index(chunks, text=index_text(F.col("content"), F.col("entities") if "entities" in chunks.columns else None), keep=True)
+    worded = asked.where("mode <> 'vector'").select("query_id", "document_id", F.col("expanded").alias("text"))
+    fused = cut(rrf([("vector", cut(vector(asked, chunks))), ("bm25", cut(bm25(worded, index)))], options.rrf_k))
+    candidates = written(fused.withColumnRenamed("score", "rrf_score").drop("rnk").join(asked.select("query_id", "mode", "top_k", F.col("text").alias("query_text")), "query_id"), "search-candidates")
+    found = _features(candidates.join(attributes(chunks), "chunk_id").withColumn("passage", F.col("text")))
+    score = F.when(F.col("mode") == "vector", F.col("vector_score")).when(F.col("mode") == "hybrid", F.col("rrf_score")).otherwise(F.col("rerank_score"))
+    hits = ranked(found.withColumn("score", score), F.col("top_k"))
+    own = [c for c in attributes(chunks).columns if c != "chunk_id"]
+    return hits.select("chunk_id", "query_id", "rnk", "score", "vector_score", "bm25_score", "mode", *own)
+
+
+def attributes(chunks: DataFrame) -> DataFrame:
+    """What results show of a chunk, by chunk_id: text, context, page, parent and entities;
+    context null if empty, page only above 0, parent null if empty or the chunk itself."""
     col = lambda name, kind: F.col(name).cast(kind) if name in chunks.columns else F.lit(None).cast(kind)
     document = F.coalesce(F.nullif(col("document_id", "string"), F.lit("")), F.lit(UNKNOWN))
     parent = col("parent_text", "string")
-    attributes = chunks.select(
+    return chunks.select(
         "chunk_id", document.alias("document_id"), F.coalesce(F.nullif(col("file_name", "string"), F.lit("")), document).alias("file_name"), F.col("content").alias("text"),
         F.nullif(col("context", "string"), F.lit("")).alias("context"), F.when(col("page_number", "int") > 0, col("page_number", "int")).alias("page_number"),
         F.when((parent != "") & (parent != F.col("content")), parent).alias("parent_text"), col("entities", "array<string>").alias("entities"),
     )
-    return hits.join(attributes, "chunk_id")
+
+
+def with_attributes(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    return hits.join(attributes(chunks), "chunk_id")

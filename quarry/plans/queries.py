@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..deploy import shared_folder
+from ..deploy import shared_folder, spread
 from ..functions import completions, lexicon, requests
 from ..functions import text as T
 from ..operators import answer, catalog, chunking, cleaning, index, ingest, manifest, search
@@ -24,12 +24,17 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of ``documents``, for work on each text."""
+    return spread(_t(spark, sf_dir, "documents").select(*columns))
+
+
 def values(spark: SparkSession, name: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM (VALUES {VALUES[name][1]}) AS t({VALUES[name][0]})")
 
 
 def chunks(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.col("text").alias("content"), F.col("n_chars"))
+    docs = _texts(spark, sf_dir, "doc_id", "source", "text", "n_chars").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.col("text").alias("content"), F.col("n_chars"))
     if not vectors:
         return docs
     return docs.join(_t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id", "left")
@@ -45,9 +50,13 @@ def stored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.concat(F.lit("label"), F.col("label").cast("string")).alias("document_id"), "embedding")
 
 
+def kept_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    return index.build_index(chunks(spark, sf_dir), keep=True)
+
+
 def tokenize_terms(spark, sf_dir):
     tokens = T.tokenize(F.col("text"))
-    return _t(spark, sf_dir, "documents").select("doc_id", tokens.alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
+    return _texts(spark, sf_dir, "doc_id", "text").select("doc_id", tokens.alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
 
 
 def tokenize_han(spark, sf_dir):
@@ -68,17 +77,17 @@ def corpus_stats(spark, sf_dir):
 
 
 def bm25_batch(spark, sf_dir):
-    return index.bm25(batch(spark, sf_dir), index.build_index(chunks(spark, sf_dir)), 10)
+    return index.bm25(batch(spark, sf_dir), kept_index(spark, sf_dir), 10)
 
 
 def bm25_topk(spark, sf_dir):
     one = values(spark, "one_query").select("query_id", "text")
-    return index.bm25(one, index.build_index(chunks(spark, sf_dir)), 50)
+    return index.bm25(one, kept_index(spark, sf_dir), 50)
 
 
 def bm25_filtered(spark, sf_dir):
     asked = batch(spark, sf_dir).withColumn("document_id", F.lit("src3"))
-    return index.bm25(asked, index.build_index(chunks(spark, sf_dir)), 10)
+    return index.bm25(asked, kept_index(spark, sf_dir), 10)
 
 
 def vector_batch(spark, sf_dir):
@@ -97,7 +106,7 @@ def vector_filtered(spark, sf_dir):
 def _lists(spark, sf_dir, fetch=20):
     asked = batch(spark, sf_dir)
     near = vector(asked, chunks(spark, sf_dir, True).where("embedding is not null"), fetch)
-    return asked, near, index.bm25(asked, index.build_index(chunks(spark, sf_dir)), fetch)
+    return asked, near, index.bm25(asked, kept_index(spark, sf_dir), fetch)
 
 
 def rrf_hybrid(spark, sf_dir):
@@ -130,7 +139,7 @@ def search_modes(spark, sf_dir):
 
 
 def clean_text(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", T.clean_text(F.col("text")).alias("text"))
+    return _texts(spark, sf_dir, "doc_id", "text").select("doc_id", T.clean_text(F.col("text")).alias("text"))
 
 
 def clean_elements(spark, sf_dir):
@@ -142,11 +151,11 @@ def repeating_lines(spark, sf_dir):
 
 
 def collapse_space(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", T.collapse_space(F.col("text")).alias("text"))
+    return _texts(spark, sf_dir, "doc_id", "text").select("doc_id", T.collapse_space(F.col("text")).alias("text"))
 
 
 def visible_chars(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", T.visible_chars(F.col("text")).alias("n"), T.has_usable_text(F.col("text")).alias("usable"))
+    return _texts(spark, sf_dir, "doc_id", "text").select("doc_id", T.visible_chars(F.col("text")).alias("n"), T.has_usable_text(F.col("text")).alias("usable"))
 
 
 def page_line_filter(spark, sf_dir):
@@ -163,7 +172,7 @@ def ocr_scores(spark, sf_dir):
 
 def _elements(spark, sf_dir):
     """Documents as elements: a section for each, its lines as paragraphs."""
-    docs = _t(spark, sf_dir, "documents")
+    docs = _texts(spark, sf_dir, "doc_id", "text")
     return docs.select(F.col("doc_id").cast("string").alias("document_id"), F.lit(0).alias("section_no"), F.lit(None).cast("int").alias("page_number"), F.posexplode(F.split("text", "\n")).alias("element_no", "text")).withColumn("kind", F.lit("para"))
 
 
@@ -177,7 +186,7 @@ def child_chunks(spark, sf_dir):
 
 def sliding_split(spark, sf_dir):
     pieces = chunking.split_long(F.col("text"), 280, 240)
-    return _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(pieces).alias("no", "piece"))
+    return _texts(spark, sf_dir, "doc_id", "text").select("doc_id", F.posexplode(pieces).alias("no", "piece"))
 
 
 def entity_tag(spark, sf_dir):
@@ -194,7 +203,7 @@ def _files(spark, sf_dir):
 
 
 def content_hash(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", T.content_hash(F.col("text")).alias("sha256"))
+    return _texts(spark, sf_dir, "doc_id", "text").select("doc_id", T.content_hash(F.col("text")).alias("sha256"))
 
 
 def dedup_first(spark, sf_dir):

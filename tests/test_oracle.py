@@ -14,6 +14,16 @@ def test_rows_equal_sql(spark, small, name):
     assert spark_rows(QUERIES[name](spark, small)) == duck_rows(SQL[name], small)
 
 
+@pytest.mark.parametrize("partitions", ["3", "8", "16"])
+def test_search_at_any_partition_count(spark, partitions):
+    large, before = "/root/testdata/sf0.1", spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        assert spark_rows(QUERIES["search_modes"](spark, large)) == duck_rows(SQL["search_modes"], large)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_every_query_without_sql_is_known():
     assert set(QUERIES) - set(SQL) == {"parent_chunks", "child_chunks", "answer_events", "stream_ingest"}
     assert set(SQL) <= set(QUERIES)

@@ -29,6 +29,30 @@ def test_saved_index(spark, tmp_path):
     assert scores(bm25(asked, load_index(spark, str(tmp_path)))) == {(1, "d1"): 0.754913}
 
 
+def test_index_is_built_again_for_a_newer_version(spark, tmp_path):
+    from quarry.operators.index import current_index, saved_version
+
+    path, asked = str(tmp_path), spark.createDataFrame([(1, "b")], "query_id long, text string")
+    assert saved_version(spark, path) is None
+    assert scores(bm25(asked, current_index(corpus(spark), path, 3))) == {(1, "d1"): 0.754913}
+    other = spark.createDataFrame([("d9", "x", "b")], "chunk_id string, document_id string, content string")
+    assert set(scores(bm25(asked, current_index(other, path, 3)))) == {(1, "d1")} and saved_version(spark, path) == 3
+    assert set(scores(bm25(asked, current_index(other, path, 4)))) == {(1, "d9")} and saved_version(spark, path) == 4
+
+
+def test_batches_of_queries_in_several_passes(spark, monkeypatch):
+    from quarry.operators import vector as v
+
+    r = __import__("numpy").random.default_rng(3)
+    chunks = spark.createDataFrame([(i, "d", r.normal(size=4).tolist()) for i in range(50)], "chunk_id long, document_id string, embedding array<float>")
+    asked = spark.createDataFrame([(i, r.normal(size=4).tolist()) for i in range(40)], "query_id long, embedding array<float>")
+    one = sorted(vector(asked, chunks, 3).collect())
+    monkeypatch.setattr(v, "BLOCK", 8)
+    monkeypatch.setattr(v, "PASS_BYTES", 600)
+    assert sorted(vector(asked, chunks, 3).collect()) == one and len(one) == 120
+    assert vector(asked.limit(0), chunks, 3).count() == 0
+
+
 def test_filter_keeps_scores(spark):
     asked = spark.createDataFrame([(1, "a b", "y")], "query_id long, text string, document_id string")
     assert scores(bm25(asked, build_index(corpus(spark)))) == {(1, "d2"): 0.237342}
@@ -59,6 +83,14 @@ def test_rrf_same_list_first_wins(spark):
     assert search.rrf([("s", a), ("s", b)]).first().s_score == 1.0
 
 
+def test_rrf_tells_hits_without_id_apart(spark):
+    kinds = "query_id long, rnk int, chunk_id string, document_id string, text string, score double"
+    a = spark.createDataFrame([(1, 1, None, "d", "t", 0.9), (1, 2, None, "d", "u", 0.8)], kinds)
+    b = spark.createDataFrame([(1, 1, None, "d", "u", 3.0), (1, 2, "c", "e", "v", 2.0)], kinds)
+    rows = search.rrf([("vector", a), ("bm25", b)]).orderBy("rnk").collect()
+    assert [(r.chunk_id, r.document_id, r.text, r.vector_score, r.bm25_score) for r in rows] == [(None, "d", "u", 0.8, 3.0), (None, "d", "t", 0.9, None), ("c", "e", "v", None, 2.0)]
+
+
 def test_rerank(spark):
     chunks = spark.createDataFrame([("p", "a b c"), ("q", "a c")], "chunk_id string, content string")
     hits = spark.createDataFrame([(1, 1, "p", 0.0, 0.5, 2.0), (1, 2, "q", 0.0, 0.2, 1.0)], "query_id long, rnk int, chunk_id string, score double, vector_score double, bm25_score double")
