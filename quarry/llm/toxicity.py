@@ -1,52 +1,58 @@
 """Toxicity (operator 2): the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are words and their beginnings (so that inflected forms meet), as far as their
-presence in examples depends on the label (chi-square).  How much it must depend is
-learned: each fold of the examples is judged by the others, which alone choose and weigh
-the terms, and the loosest of ``CUTS`` is taken whose errors are within one standard
-error of the fewest.  A text without such a term is the zero vector.  Examples with
-equal vectors are one entry that counts its labels.
-
-Entries stand in an inverted index whose order puts like entries together.  Each
-term has, for every block of entries that it occurs in, the largest weight there; the
-sums of those bounds order the blocks, and blocks are scored in full until no bound
-left exceeds the k-th cosine so far.  The neighbours found are exact.
+Terms are words and their beginnings (so that inflected forms meet), and all of them
+count: no term is left out of a vector.  Besides its inverse document frequency a term
+has an emphasis that rises with how much its presence in examples depends on the label
+(chi-square), from ``FLOOR`` to 1 + ``FLOOR``, as in supervised term weighting: a text
+with a telling word is near to the examples that have it, one without meets its
+neighbours by all it has.
+
+Examples stand in an inverted index whose order puts like ones together.  Each term
+has, for every block of examples that it occurs in, the largest weight there and the
+place of its postings; the sums of those bounds order the blocks, and blocks are scored
+in full, from their slices of the postings, until no bound left exceeds the k-th cosine
+so far.  The neighbours found are exact.
 
 Neighbours vote with their labels, weighted by a power of the cosine.  Votes are turned
-into probabilities by isotonic regression over the votes that the other folds gave on
-each example.  The nearest examples are the evidence.
+into probabilities by isotonic regression over the votes that models of the other folds
+gave on each example.  The nearest examples are the evidence.
 
 The examples are about ``EXAMPLES`` labelled documents (a documented bound, which also
 bounds the index that is broadcast); every whole text is scored.
 
-Edge cases: null and empty texts are zero vectors and get the share of toxic examples
-among zero vectors; without any example scores are 0; equal cosines are ordered by the
-entries' place in the index, which follows from the examples alone.
+Edge cases: null and empty texts, and those without a word of any example, are zero
+vectors and get the share of toxic examples among zero vectors; very long texts are
+one vector; without any example scores are 0; equal cosines are ordered by the
+examples' place in the index, which follows from the examples alone.  Repeated rows
+get equal scores; repeated texts with labels are one example with the mean label, an id
+with several labels takes the largest, null labels and ids teach nothing.  An empty
+table gives an empty result; only id, text and the label are read, so further columns
+of any name do no harm.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .samples import fold, labelled
 from .storage import table, written
 
-EXAMPLES, LEAST_TEXTS, FOLDS = 12000, 3, 8
-#: Values of chi-square that a term may be asked for, loosest first.
-CUTS = (6.0, 8.0, 10.0, 14.0, 20.0, 30.0)
-BEGINNINGS = range(4, 9)
-NEIGHBOURS, POWER, BLOCK, FIRST_BLOCKS, SHOWN = 15, 4, 32, 8, 3
+EXAMPLES, FOLDS, BEGINNINGS = 4000, 8, (4, 6)
+#: The least emphasis of a term, and the chi-square at which half of the rest is reached.
+FLOOR, HALF, STEEP = 0.1, 12.0, 4
+NEIGHBOURS, POWER, PRIOR, BLOCK, FIRST_BLOCKS, HEAVY, SHOWN = 15, 4, 0.1, 128, 4, 1 / 8, 3
 #: At this score and above a document is toxic.
 THRESHOLD = 0.5
-#: Words, answers, and the terms of a vector whose answer a worker remembers.
-REMEMBERED, REMEMBERED_ANSWERS, REMEMBERED_TERMS = 50_000, 10_000, 8
+#: Words whose terms a worker remembers.
+REMEMBERED, SEED = 50_000, 31
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -60,73 +66,87 @@ def terms_of(word: str) -> list[str]:
     return [word + "$", *(word[:n] for n in BEGINNINGS if n <= len(word))]
 
 
-def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    seen: dict[tuple[str, int], list[float]] = defaultdict(lambda: [0, 0.0])
-    out = lambda: pd.DataFrame([(t, f, n, p) for (t, f), (n, p) in seen.items()], columns=["term", "fold", "n", "positive"])
-    for pdf in batches:
-        for text, label, part in zip(pdf.text, pdf.label, pdf.fold, strict=True):
-            for term in {t for w in set(words(text)) for t in terms_of(w)}:
-                entry = seen[term, part]
-                entry[0] += 1
-                entry[1] += label
-        if len(seen) > 500_000:
-            yield out()
-            seen.clear()
-    yield out()
+def term_hashes(some: list[str]) -> np.ndarray:
+    """uint64 of each term of some words, in order."""
+    terms = [t for w in some for t in terms_of(w)]
+    return np.fromiter((xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), SEED) for t in terms), np.uint64, len(terms))
 
 
-def _dependence(n, positive, texts: float, share: float):
-    """The two sides of chi-square >= cut: left >= cut * right.  Of columns or arrays."""
-    return (positive - n * share) ** 2, n * (share * (1 - share)) * (texts - n + 0.5) / texts
+def counted_terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct term hashes of a text, rising, and how often each occurs."""
+    seen = Counter(words(text))
+    sizes = np.fromiter((len(terms_of(w)) for w in seen), int, len(seen))
+    found, place = np.unique(term_hashes(list(seen)), return_inverse=True)
+    return found, np.bincount(place.ravel(), np.repeat(np.fromiter(seen.values(), int, len(seen)), sizes), len(found)).astype(np.int64)
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, .. for each of some ranges, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
 class BlockMaxIndex:
-    """Entries of unit vectors with counts of examples and of toxic ones.  Entry 0.. are
-    in lexical order of their terms, which puts entries with like terms into a block."""
-
-    def __init__(self, vectors: list[dict[int, float]], counts: np.ndarray, positives: np.ndarray, ids: np.ndarray) -> None:
-        self.counts, self.positives, self.ids = counts, positives, ids
-        self.n, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
-        sizes = np.array([len(v) for v in vectors], int)
-        of_entry = np.repeat(np.arange(self.n), sizes)
-        terms = np.fromiter((t for v in vectors for t in v), np.int64, int(sizes.sum()))
-        all_weights = np.fromiter((w for v in vectors for w in v.values()), float, int(sizes.sum()))
-        order = np.argsort(terms, kind="stable")
-        names, first = np.unique(terms[order], return_index=True)
-        self.postings = {}
-        for t, at in zip(names.tolist(), np.split(order, first[1:]) if len(names) else [], strict=True):
-            places, weights = of_entry[at], all_weights[at]
-            of_block = places // BLOCK
-            blocks, starts = np.unique(of_block, return_index=True)
-            self.postings[t] = of_block, places % BLOCK, weights, blocks, np.maximum.reduceat(weights, starts)
-
-    def nearest(self, vector: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Postings of unit vectors, by term and block of entries.
+
+    Terms of at least ``HEAVY`` of the entries have their postings filled up with zeros, so
+    that a block's slice of them is a row of a matrix; those of others are slices of one
+    array, a slice for each block that the term occurs in."""
+
+    def __init__(self, terms: np.ndarray, entries: np.ndarray, weights: np.ndarray, n_terms: int, n_entries: int) -> None:
+        """Of each posting the term, the entry and the weight, in any order."""
+        self.n_blocks = n = -(-n_entries // BLOCK)
+        often = np.flatnonzero(np.bincount(terms, minlength=n_terms) >= max(1.0, n_entries * HEAVY))
+        self.row = np.full(n_terms, -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        heavy = self.row[terms] >= 0
+        self.filled = np.zeros((len(often), n * BLOCK), np.float32)
+        self.filled[self.row[terms[heavy]], entries[heavy]] = weights[heavy]
+        self.filled = self.filled.reshape(len(often), n, BLOCK)
+        self.filled_most = self.filled.max(axis=2, initial=0)
+        terms, entries, weights = terms[~heavy], entries[~heavy], weights[~heavy]
+        order = np.lexsort((entries, terms))
+        terms, entries = terms[order], entries[order]
+        self.weights = weights[order].astype(np.float32)
+        self.columns = (entries % BLOCK).astype(np.uint8)
+        first = np.flatnonzero(np.diff(terms.astype(np.int64) * max(1, n) + entries // BLOCK, prepend=-1))
+        self.starts = np.append(first, len(terms)).astype(np.int32)
+        self.blocks = (entries[first] // BLOCK).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0, np.float32)
+        self.of_term = np.searchsorted(terms[first], np.arange(n_terms + 1)).astype(np.int32)
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest entries with a positive cosine."""
-        parts = [(w, *self.postings[t]) for t, w in vector.items() if t in self.postings]
-        bound = np.zeros(self.blocks)
-        for q, _, _, _, blocks, most in parts:
-            bound[blocks] += q * most
+        row = self.row[terms]
+        rows, heavy = row[row >= 0], weights[row >= 0]
+        terms, light = terms[row < 0], weights[row < 0]
+        sizes = self.of_term[terms + 1] - self.of_term[terms]
+        pairs, own = _ranges(self.of_term[terms], sizes), np.repeat(light, sizes)
+        of = self.blocks[pairs]
+        bound = np.bincount(of, own * self.most[pairs], self.n_blocks) + heavy @ self.filled_most[rows]
         order = np.flatnonzero(bound)
         order = order[np.argsort(-bound[order], kind="stable")]
         places, scores, at, step = np.zeros(0, int), np.zeros(0), 0, FIRST_BLOCKS
-        slot = np.full(self.blocks, -1)
-        while at < len(order) and (len(scores) < k or bound[order[at]] >= scores[-1] - 1e-9):
+        slot = np.full(self.n_blocks, -1)
+        while at < len(order) and (len(scores) < k or bound[order[at]] >= scores[-1] - 1e-6):
             chunk = order[at : at + step]
             if len(scores) == k:
-                chunk = chunk[bound[chunk] >= scores[-1] - 1e-9]
+                chunk = chunk[bound[chunk] >= scores[-1] - 1e-6]
             slot[chunk] = np.arange(len(chunk))
-            found = np.zeros((len(chunk), BLOCK))
-            for q, of_block, column, weights, _, _ in parts:
-                row = slot[of_block]
-                mine = row >= 0
-                found[row[mine], column[mine]] += q * weights[mine]
+            mine = np.flatnonzero(slot[of] >= 0)
+            starts = self.starts[pairs[mine]]
+            n = self.starts[pairs[mine] + 1] - starts
+            postings = _ranges(starts, n)
+            cells = np.repeat(slot[of[mine]] * BLOCK, n) + self.columns[postings]
+            found = np.bincount(cells, np.repeat(own[mine], n) * self.weights[postings], len(chunk) * BLOCK).astype(float)
+            found += heavy @ self.filled[rows[:, None], chunk].reshape(len(rows), len(chunk) * BLOCK)
             slot[chunk] = -1
-            row, col = np.nonzero(found)
-            places = np.concatenate([places, chunk[row] * BLOCK + col])
-            scores = np.concatenate([scores, np.round(found[row, col], 12)])
+            found = np.round(found, 9)
+            hit = np.flatnonzero(found)
+            places = np.concatenate([places, chunk[hit // BLOCK] * BLOCK + hit % BLOCK])
+            scores = np.concatenate([scores, found[hit]])
             if len(scores) > k:
-                least = np.partition(scores, -k)[-k]
-                some = scores >= least
+                some = scores >= np.partition(scores, -k)[-k]
                 places, scores = places[some], scores[some]
             best = np.lexsort((places, -scores))[:k]
             places, scores, at, step = places[best], scores[best], at + step, step * 4
@@ -145,90 +165,116 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([p[0] / p[2] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
+class Examples:
+    """Labelled examples as counts of their terms."""
+
+    def __init__(self, rows: pd.DataFrame) -> None:
+        """``rows``: id, label, fold, and the hashes (uint64) and counts (int32) of its terms
+        as bytes."""
+        self.ids, self.labels, self.folds = rows.id.to_numpy(np.int64), rows.label.to_numpy(float), rows.fold.to_numpy(int)
+        self.sizes = rows.terms.map(len).to_numpy(np.int64) // 8
+        self.vocabulary, place = np.unique(np.frombuffer(b"".join(rows.terms), np.uint64), return_inverse=True)
+        self.terms = place.ravel().astype(np.int32)
+        self.times = np.frombuffer(b"".join(rows.times), np.int32)
+
+
+def emphasis(n: np.ndarray, positive: np.ndarray, texts: int, share: float) -> np.ndarray:
+    """How much a term counts that is in n texts, of which ``positive`` are toxic: by its
+    chi-square with the label."""
+    spread = n * (share * (1 - share)) * (texts - n + 0.5) / max(1, texts)
+    chi = np.divide((positive - n * share) ** 2, spread, out=np.zeros(len(n)), where=spread > 0)
+    r = (chi / HALF) ** STEEP
+    return FLOOR + r / (1 + r)
+
+
 class ToxicityModel:
-    def __init__(self, idf: dict[str, tuple[int, float]], examples: pd.DataFrame) -> None:
-        """``examples``: id, label and vector (term number -> weight) of each."""
-        self.idf = idf
-        self._known: dict[str, tuple[tuple[int, float], ...]] = {}
-        self._answers: dict[tuple, tuple[float, list]] = {}
-        entries: dict[tuple, list] = {}
-        for row in examples.sort_values("id").itertuples():
-            e = entries.setdefault(tuple(sorted(row.vector.items())), [0, 0.0, row.id, row.vector])
-            e[0] += 1
-            e[1] += row.label
-        zero = entries.pop((), [0, 0.0, None])
-        keys = sorted(entries)
-        total, positive = len(examples), float(examples.label.sum()) if len(examples) else 0.0
-        self.share = positive / max(1, total)
-        self.zero = (zero[1] + self.share) / (zero[0] + 1)
-        self.vectors = [entries[k][3] for k in keys]
-        self.index = BlockMaxIndex(self.vectors, np.array([entries[k][0] for k in keys], float), np.array([entries[k][1] for k in keys]), np.array([entries[k][2] for k in keys], dtype=np.int64))
-        self.calibrate(pd.DataFrame({"vote": [], "label": [], "weight": []}))
-
-    def left_out(self, place: int) -> list[tuple[float, int, float]]:
-        """(vote, label, weight) of an entry's toxic and other examples, each as if it were
-        not in the index."""
-        vector = self.vectors[place]
-        near = self.index.nearest(vector, NEIGHBOURS)
-        n, p = self.index.counts[place], self.index.positives[place]
-        return [(self._vote(*near, leave=(place, label)), label, float(weight)) for label, weight in ((1, p), (0, n - p)) if weight > 0]
-
-    def calibrate(self, votes: pd.DataFrame) -> None:
+    def __init__(self, examples: Examples, without: int | None = None) -> None:
+        """A model of the examples that aren't in the fold ``without``."""
+        self._known: dict[str, np.ndarray] = {}
+        mine = np.flatnonzero(examples.folds != (-1 if without is None else without))
+        starts = np.cumsum(examples.sizes) - examples.sizes
+        at = _ranges(starts[mine], examples.sizes[mine])
+        terms, owner = examples.terms[at], np.repeat(np.arange(len(mine)), examples.sizes[mine])
+        labels, n_terms = examples.labels[mine], len(examples.vocabulary)
+        total = len(mine)
+        self.share = float(labels.mean()) if total else 0.0
+        n, positive = np.bincount(terms, minlength=n_terms), np.bincount(terms, labels[owner], n_terms)
+        self.vocabulary = examples.vocabulary
+        self.term_weights = (np.log((1 + total) / (1 + n)) + 1) * emphasis(n, positive, total, self.share) * (n > 0)
+        weights = (1 + np.log(examples.times[at])) * self.term_weights[terms]
+        weights = weights / np.maximum(1e-300, np.sqrt(np.bincount(owner, weights**2, total)))[owner]
+        # like examples together: by the heaviest of their terms that many have
+        key = np.full(total, -1)
+        often = np.flatnonzero(n[terms] >= BLOCK)
+        heavy = often[np.lexsort((weights[often], owner[often]))]
+        key[owner[heavy]] = terms[heavy]  # the last one of each owner, its heaviest, stays
+        place = np.empty(total, int)
+        order = np.argsort(key, kind="stable")
+        place[order] = np.arange(total)
+        self.ids, self.labels = examples.ids[mine][order], labels[order]
+        empty = examples.sizes[mine] == 0
+        self.zero = float((labels[empty].sum() + self.share) / (empty.sum() + 1))
+        self.index = BlockMaxIndex(terms, place[owner], weights, n_terms, total)
+        self.calibrate(np.zeros(0), np.zeros(0))
+
+    def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
         """Learns what votes mean; texts without a term are one more point."""
-        x, y, w = (np.append(votes[c].to_numpy(float), v) for c, v in (("vote", self.zero), ("label", self.zero), ("weight", 1.0)))
-        self.steps = isotonic(x, y, w)
-
-    def _vote(self, places: np.ndarray, cosines: np.ndarray, leave: tuple[int, int] | None = None) -> float:
-        n, p = self.index.counts[places].copy(), self.index.positives[places].copy()
-        if leave:
-            own = places == leave[0]
-            n[own] -= 1
-            p[own] -= leave[1]
-        weight = cosines**POWER
-        return float((weight @ p + self.share) / (weight @ n + 1))
-
-    def vector(self, text: str | None) -> dict[int, float]:
-        """The unit TF-IDF vector: (1 + log tf) * idf over the terms of the index."""
-        weights = {t: (1 + np.log(n)) * idf for (t, idf), n in self.counts(text).items()}
-        norm = np.sqrt(sum(w * w for w in weights.values()))
-        return {t: round(float(w / norm), 9) for t, w in weights.items()}
-
-    def counts(self, text: str | None) -> dict[tuple[int, float], int]:
-        """How often each term of the index, (number, idf), is in a text."""
-        known, tf = self._known, defaultdict(int)
-        for word, n in Counter(words(text)).items():
-            hits = known.get(word)
-            if hits is None:
-                hits = tuple(self.idf[t] for t in terms_of(word) if t in self.idf)
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                known[word] = hits
-            for hit in hits:
-                tf[hit] += n
-        return tf
-
-    def vote(self, vector: dict[int, float]) -> float:
-        places, cosines = self.index.nearest(vector, NEIGHBOURS)
-        return self._vote(places, cosines) if len(places) else self.zero
+        self.steps = isotonic(np.append(votes, self.zero), np.append(labels, self.zero), np.ones(len(votes) + 1))
+
+    def _term_places(self, some: list[str]) -> list[np.ndarray]:
+        """The places in the vocabulary of each word's terms that are in it."""
+        known = self._known
+        fresh = [w for w in some if w not in known]
+        if fresh:
+            if len(known) + len(fresh) > REMEMBERED:
+                known.clear()
+                fresh = some
+            sizes = [1 + sum(n <= len(w) for n in BEGINNINGS) for w in fresh]
+            hashes = term_hashes(fresh)
+            at = np.searchsorted(self.vocabulary, hashes)
+            inside = np.zeros(len(at), bool)
+            ok = at < len(self.vocabulary)
+            inside[ok] = self.vocabulary[at[ok]] == hashes[ok]
+            at, kept = at[inside], np.cumsum(inside)
+            ends = kept[np.cumsum(sizes) - 1].tolist()
+            for w, a, b in zip(fresh, [0, *ends[:-1]], ends, strict=True):
+                known[w] = at[a:b]
+        return [known[w] for w in some]
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Places and weights of the unit TF-IDF vector: (1 + log tf) * idf * emphasis over
+        the terms that any example has."""
+        seen = Counter(words(text))
+        if not seen:
+            return np.zeros(0, int), np.zeros(0)
+        found = self._term_places(list(seen))
+        times = np.repeat(np.fromiter(seen.values(), float, len(seen)), [len(x) for x in found])
+        terms, place = np.unique(np.concatenate(found).astype(int), return_inverse=True)
+        return self.unit(terms, np.bincount(place.ravel(), times, len(terms)))
+
+    def unit(self, terms: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        weights = (1 + np.log(times)) * self.term_weights[terms]
+        some = weights > 0
+        terms, weights = terms[some], weights[some]
+        return terms, weights / np.sqrt((weights**2).sum()) if len(weights) else weights
+
+    def neighbours(self, terms: np.ndarray, weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The vote of a vector, the places of its nearest examples, their cosines."""
+        places, cosines = self.index.nearest(terms, weights, NEIGHBOURS)
+        if not len(places):
+            return self.zero, places, cosines
+        w = cosines**POWER
+        return float((w @ self.labels[places] + PRIOR * self.share) / (w.sum() + PRIOR)), places, cosines
 
     def answer(self, text: str | None) -> tuple[float, list]:
-        """Score, and the nearest examples: id, cosine and share of toxic labels."""
-        vector = self.vector(text)
-        key = tuple(sorted(vector.items()))
-        known = self._answers.get(key)
-        if known is not None:
-            return known
-        places, cosines = self.index.nearest(vector, NEIGHBOURS)
-        vote = self._vote(places, cosines) if len(places) else self.zero
+        """Score, and the nearest examples: id, cosine and toxic label."""
+        vote, places, cosines = self.neighbours(*self.vector(text))
         fitted = float(np.interp(vote, *self.steps))
-        shown = [{"doc_id": int(self.index.ids[p]), "cosine": min(1.0, float(c)), "toxic": float(self.index.positives[p] / self.index.counts[p])} for p, c in zip(places[:SHOWN], cosines, strict=False)]
-        answer = min(1.0, max(0.0, 0.98 * fitted + 0.02 * vote)), shown  # the vote orders what the steps make equal
-        if len(key) <= REMEMBERED_TERMS and len(self._answers) < REMEMBERED_ANSWERS:
-            self._answers[key] = answer  # short vectors come again, long ones rarely do
-        return answer
+        shown = [{"doc_id": int(self.ids[p]), "cosine": min(1.0, float(c)), "toxic": float(self.labels[p])} for p, c in zip(places[:SHOWN], cosines, strict=False)]
+        return min(1.0, max(0.0, 0.98 * fitted + 0.02 * vote)), shown  # the vote orders what the steps make equal
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_known": {}, "_answers": {}}
+        return self.__dict__ | {"_known": {}}
 
     def scored(self, spark: SparkSession, text: Column) -> Column:
         """struct<score, evidence> for a text column."""
@@ -242,94 +288,42 @@ class ToxicityModel:
         return score(text)
 
 
-class Examples:
-    """The examples as counts of the terms that some cut may take."""
-
-    def __init__(self, rows: pd.DataFrame, terms: list[str], n: np.ndarray, positive: np.ndarray) -> None:
-        """``rows``: id, label, fold, and the numbers and counts of its terms (int32 bytes);
-        ``n``, ``positive``: texts and toxic texts with a term, by term and fold."""
-        self.ids, self.labels, self.folds = rows.id.to_numpy(np.int64), rows.label.to_numpy(float), rows.fold.to_numpy(int)
-        self.texts = [(np.frombuffer(t, np.int32), np.frombuffer(c, np.int32)) for t, c in zip(rows.terms, rows.times, strict=True)]
-        self.terms, self.n, self.positive = terms, n, positive
-
-    def model(self, cut: float, without: int | None = None) -> tuple[ToxicityModel, Callable[[int], dict[int, float]]]:
-        """A model of the examples that aren't in the fold ``without``, and what gives the
-        vector of any of them."""
-        mine = self.folds != (-1 if without is None else without)
-        others = np.arange(FOLDS) != (-1 if without is None else without)
-        n, positive, texts = self.n[:, others].sum(axis=1), self.positive[:, others].sum(axis=1), max(1, int(mine.sum()))
-        left, right = _dependence(n, positive, texts, float(self.labels[mine].sum()) / texts)
-        telling = (n >= LEAST_TEXTS) & (right > 0) & (left >= cut * right)
-        idf = np.log((1 + texts) / (1 + n)) + 1
-
-        def vector(i: int) -> dict[int, float]:
-            t, c = self.texts[i]
-            some = telling[t]
-            w = (1 + np.log(c[some])) * idf[t[some]]
-            return dict(zip(t[some].tolist(), np.round(w / np.sqrt((w * w).sum()), 9).tolist(), strict=True))
-
-        rows = pd.DataFrame({"id": self.ids[mine], "label": self.labels[mine], "vector": [vector(i) for i in np.flatnonzero(mine)]})
-        return ToxicityModel({self.terms[i]: (int(i), float(idf[i])) for i in np.flatnonzero(telling)}, rows), vector
-
-    def votes(self, cut: float, part: int) -> pd.DataFrame:
-        """The votes of the other folds on the examples of one."""
-        model, vector = self.model(cut, part)
-        own = np.flatnonzero(self.folds == part)
-        return pd.DataFrame({"vote": [model.vote(vector(i)) for i in own], "label": self.labels[own], "weight": 1.0})
-
-
-def loosest(votes: pd.DataFrame) -> float:
-    """The loosest cut whose errors are within one standard error of the fewest."""
-    errors = {}
-    for cut in CUTS:
-        v = votes[votes["cut"] == cut]
-        steps = isotonic(*(v[c].to_numpy(float) for c in ("vote", "label", "weight")))
-        errors[cut] = int(((np.interp(v.vote, *steps) >= THRESHOLD) != (v.label >= THRESHOLD)).sum()) if len(v) else 0
-    fewest = min(errors.values())
-    return next(c for c in CUTS if errors[c] <= fewest + np.sqrt(fewest))
+def fold_votes(examples: Examples, part: int) -> pd.DataFrame:
+    """The votes of the other folds' examples, which alone weigh the terms, on one fold."""
+    model = ToxicityModel(examples, part)
+    starts = np.cumsum(examples.sizes) - examples.sizes
+    out = []
+    for i in np.flatnonzero(examples.folds == part):
+        at = slice(starts[i], starts[i] + examples.sizes[i])
+        order = np.argsort(examples.terms[at])
+        out.append((model.neighbours(*model.unit(examples.terms[at][order], examples.times[at][order]))[0], examples.labels[i]))
+    return pd.DataFrame(out, columns=["vote", "label"], dtype=float)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, examples: int = EXAMPLES) -> ToxicityModel:
     spark = docs.sparkSession
     part = F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(FOLDS)).cast("int")
     sample = written(labelled(docs, labels, "toxic", most=examples).withColumn("fold", part), "toxicity-examples")
-    sizes = {r.fold: (r.n, r.positive) for r in sample.groupBy("fold").agg(F.count("*").alias("n"), F.sum("label").alias("positive")).collect()}
-    counted = sample.select("text", "label", "fold").mapInPandas(_term_counts, "term string, fold int, n long, positive double").groupBy("term")
-    of = lambda c, k: F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0))
-    counts = counted.agg(F.array(*[of("n", k) for k in range(FOLDS)]).alias("n"), F.array(*[of("positive", k) for k in range(FOLDS)]).alias("positive"))
-    some = F.lit(False)  # the loosest cut takes the term, with all folds or without one
-    for without in (None, *range(FOLDS)):
-        folds = [k for k in range(FOLDS) if k != without]
-        texts, toxic = (sum(sizes.get(k, (0, 0))[i] for k in folds) for i in (0, 1))
-        if 0 < toxic < texts:
-            n, positive = (sum((F.col(c)[k] for k in folds), F.lit(0)) for c in ("n", "positive"))
-            left, right = _dependence(n, positive, float(texts), float(toxic / texts))
-            some |= (n >= LEAST_TEXTS) & (left >= (1 - 1e-9) * CUTS[0] * right)
-    telling = counts.where(some).orderBy("term").collect()
-    numbers = {r.term: (i, 1.0) for i, r in enumerate(telling)}
-    shared = spark.sparkContext.broadcast(numbers)
-
-    def term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        maker = ToxicityModel(shared.value, pd.DataFrame({"id": [], "label": [], "vector": []}))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [sorted((t, n) for (t, _), n in maker.counts(x).items()) for x in pdf.text]
-            terms, times = ([np.array([x[i] for x in f], np.int32).tobytes() for f in found] for i in (0, 1))
-            yield pdf[["id", "label", "fold"]].assign(terms=terms, times=times)
+            found = [counted_terms(x) for x in pdf.text]
+            yield pdf[["id", "label", "fold"]].assign(terms=[t.tobytes() for t, _ in found], times=[n.astype(np.int32).tobytes() for _, n in found])
 
-    rows = sample.mapInPandas(term_counts, "id long, label double, fold int, terms binary, times binary").toPandas().sort_values("id", ignore_index=True)
-    of_terms = lambda c: np.array([r[c] for r in telling], float).reshape(-1, FOLDS)
-    known = Examples(rows, [r.term for r in telling], of_terms("n"), of_terms("positive"))
+    rows = sample.mapInPandas(count, "id long, label double, fold int, terms binary, times binary").toPandas().sort_values("id", ignore_index=True)
+    known = Examples(rows)
+    del rows
     judged = spark.sparkContext.broadcast(known)
 
     def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for i in pdf.id:
-                yield judged.value.votes(CUTS[i // FOLDS], i % FOLDS).assign(cut=CUTS[i // FOLDS])
+                yield fold_votes(judged.value, int(i))
 
-    given = spark.range(0, len(CUTS) * FOLDS, numPartitions=len(CUTS) * FOLDS).mapInPandas(votes, "vote double, label double, weight double, cut double").toPandas()
-    cut = loosest(given)
-    model = known.model(cut)[0]
-    model.calibrate(given[given["cut"] == cut])
+    given = spark.range(0, FOLDS, numPartitions=FOLDS).mapInPandas(votes, "vote double, label double").toPandas()
+    judged.destroy()
+    model = ToxicityModel(known)
+    model.calibrate(given.vote.to_numpy(float), given.label.to_numpy(float))
     return model
 
 

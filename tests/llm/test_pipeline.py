@@ -41,11 +41,10 @@ def test_rejected_documents_go(spark, stages):
     assert set(ids(left)) == clean
 
 
-@pytest.mark.xfail(reason="with about 40 toxic examples 13 of 44 toxic documents stay; on sf0.1 op2_toxicity missed 9 of 97 held out", strict=False)
 def test_few_toxic_documents_stay(spark, stages):
     toxic = {r.doc_id for r in table(spark, MIDDLE, "labels").where("toxic = 1").collect()}
     good, clean = (set(ids(df)) for df in stages[1:3])
-    assert np.mean([d in clean for d in good & toxic]) < 0.15
+    assert np.mean([d in clean for d in good & toxic]) <= 0.1
 
 
 def test_one_of_each_group_stays(stages):
