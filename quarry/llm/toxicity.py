@@ -1,8 +1,7 @@
 """Toxicity (operator 2): the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are words and their beginnings (so that inflected forms meet), and all of them
-count: no term is left out of a vector.  Besides its inverse document frequency a term
-has an emphasis that rises with how much its presence in examples depends on the label
+Terms are words, and all of them count: no term is left out of a vector.  Besides its
+inverse document frequency a term has an emphasis that rises with how much its presence in examples depends on the label
 (chi-square), from ``FLOOR`` to 1 + ``FLOOR``, as in supervised term weighting: a text
 with a telling word is near to the examples that have it, one without meets its
 neighbours by all it has.
@@ -38,21 +37,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .samples import fold, labelled
 from .storage import table, written
 
-EXAMPLES, FOLDS, BEGINNINGS = 4000, 8, (4, 6)
+EXAMPLES, FOLDS = 3000, 8
 #: The least emphasis of a term, and the chi-square at which half of the rest is reached.
-FLOOR, HALF, STEEP = 0.1, 12.0, 4
+FLOOR, HALF, STEEP = 0.1, 24.0, 4
 NEIGHBOURS, POWER, PRIOR, BLOCK, FIRST_BLOCKS, HEAVY, SHOWN = 15, 4, 0.1, 128, 4, 1 / 8, 3
 #: At this score and above a document is toxic.
 THRESHOLD = 0.5
-#: Words whose terms a worker remembers.
-REMEMBERED, SEED = 50_000, 31
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -61,25 +57,6 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def terms_of(word: str) -> list[str]:
-    """The whole word, marked by its end, and its beginnings."""
-    return [word + "$", *(word[:n] for n in BEGINNINGS if n <= len(word))]
-
-
-def term_hashes(some: list[str]) -> np.ndarray:
-    """uint64 of each term of some words, in order."""
-    terms = [t for w in some for t in terms_of(w)]
-    return np.fromiter((xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), SEED) for t in terms), np.uint64, len(terms))
-
-
-def counted_terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct term hashes of a text, rising, and how often each occurs."""
-    seen = Counter(words(text))
-    sizes = np.fromiter((len(terms_of(w)) for w in seen), int, len(seen))
-    found, place = np.unique(term_hashes(list(seen)), return_inverse=True)
-    return found, np.bincount(place.ravel(), np.repeat(np.fromiter(seen.values(), int, len(seen)), sizes), len(found)).astype(np.int64)
-
-
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, .. for each of some ranges, one after the other."""
     ends = np.cumsum(sizes)
@@ -166,15 +143,16 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 class Examples:
-    """Labelled examples as counts of their terms."""
+    """Labelled examples as counts of their words."""
 
     def __init__(self, rows: pd.DataFrame) -> None:
-        """``rows``: id, label, fold, and the hashes (uint64) and counts (int32) of its terms
-        as bytes."""
+        """``rows``: id, label, fold, the distinct words, joined by spaces, and their counts
+        (int32, as bytes)."""
         self.ids, self.labels, self.folds = rows.id.to_numpy(np.int64), rows.label.to_numpy(float), rows.fold.to_numpy(int)
-        self.sizes = rows.terms.map(len).to_numpy(np.int64) // 8
-        self.vocabulary, place = np.unique(np.frombuffer(b"".join(rows.terms), np.uint64), return_inverse=True)
-        self.terms = place.ravel().astype(np.int32)
+        self.vocabulary: dict[str, int] = {}
+        places = [np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary)) for w in x.split(" ") if w), np.int32) for x in rows.words]
+        self.sizes = np.array([len(x) for x in places], np.int64)
+        self.terms = np.concatenate(places) if places else np.zeros(0, np.int32)
         self.times = np.frombuffer(b"".join(rows.times), np.int32)
 
 
@@ -190,7 +168,6 @@ def emphasis(n: np.ndarray, positive: np.ndarray, texts: int, share: float) -> n
 class ToxicityModel:
     def __init__(self, examples: Examples, without: int | None = None) -> None:
         """A model of the examples that aren't in the fold ``without``."""
-        self._known: dict[str, np.ndarray] = {}
         mine = np.flatnonzero(examples.folds != (-1 if without is None else without))
         starts = np.cumsum(examples.sizes) - examples.sizes
         at = _ranges(starts[mine], examples.sizes[mine])
@@ -221,36 +198,15 @@ class ToxicityModel:
         """Learns what votes mean; texts without a term are one more point."""
         self.steps = isotonic(np.append(votes, self.zero), np.append(labels, self.zero), np.ones(len(votes) + 1))
 
-    def _term_places(self, some: list[str]) -> list[np.ndarray]:
-        """The places in the vocabulary of each word's terms that are in it."""
-        known = self._known
-        fresh = [w for w in some if w not in known]
-        if fresh:
-            if len(known) + len(fresh) > REMEMBERED:
-                known.clear()
-                fresh = some
-            sizes = [1 + sum(n <= len(w) for n in BEGINNINGS) for w in fresh]
-            hashes = term_hashes(fresh)
-            at = np.searchsorted(self.vocabulary, hashes)
-            inside = np.zeros(len(at), bool)
-            ok = at < len(self.vocabulary)
-            inside[ok] = self.vocabulary[at[ok]] == hashes[ok]
-            at, kept = at[inside], np.cumsum(inside)
-            ends = kept[np.cumsum(sizes) - 1].tolist()
-            for w, a, b in zip(fresh, [0, *ends[:-1]], ends, strict=True):
-                known[w] = at[a:b]
-        return [known[w] for w in some]
-
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Places and weights of the unit TF-IDF vector: (1 + log tf) * idf * emphasis over
         the terms that any example has."""
         seen = Counter(words(text))
-        if not seen:
-            return np.zeros(0, int), np.zeros(0)
-        found = self._term_places(list(seen))
-        times = np.repeat(np.fromiter(seen.values(), float, len(seen)), [len(x) for x in found])
-        terms, place = np.unique(np.concatenate(found).astype(int), return_inverse=True)
-        return self.unit(terms, np.bincount(place.ravel(), times, len(terms)))
+        terms = np.fromiter((self.vocabulary.get(w, -1) for w in seen), np.int64, len(seen))
+        times = np.fromiter(seen.values(), float, len(seen))
+        order = np.argsort(terms, kind="stable")
+        order = order[np.searchsorted(terms[order], 0) :]
+        return self.unit(terms[order], times[order])
 
     def unit(self, terms: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         weights = (1 + np.log(times)) * self.term_weights[terms]
@@ -273,9 +229,6 @@ class ToxicityModel:
         shown = [{"doc_id": int(self.ids[p]), "cosine": min(1.0, float(c)), "toxic": float(self.labels[p])} for p, c in zip(places[:SHOWN], cosines, strict=False)]
         return min(1.0, max(0.0, 0.98 * fitted + 0.02 * vote)), shown  # the vote orders what the steps make equal
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_known": {}}
-
     def scored(self, spark: SparkSession, text: Column) -> Column:
         """struct<score, evidence> for a text column."""
         shared = spark.sparkContext.broadcast(self)
@@ -307,10 +260,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, examples: int = EXAMPLES
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [counted_terms(x) for x in pdf.text]
-            yield pdf[["id", "label", "fold"]].assign(terms=[t.tobytes() for t, _ in found], times=[n.astype(np.int32).tobytes() for _, n in found])
+            seen = [Counter(words(x)) for x in pdf.text]
+            yield pdf[["id", "label", "fold"]].assign(words=[" ".join(x) for x in seen], times=[np.fromiter(x.values(), np.int32, len(x)).tobytes() for x in seen])
 
-    rows = sample.mapInPandas(count, "id long, label double, fold int, terms binary, times binary").toPandas().sort_values("id", ignore_index=True)
+    rows = sample.mapInPandas(count, "id long, label double, fold int, words string, times binary").toPandas().sort_values("id", ignore_index=True)
     known = Examples(rows)
     del rows
     judged = spark.sparkContext.broadcast(known)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import toxicity
 from quarry.llm.samples import labelled
-from quarry.llm.toxicity import BLOCK, BlockMaxIndex, Examples, ToxicityModel, counted_terms, isotonic
+from quarry.llm.toxicity import BLOCK, BlockMaxIndex, Examples, ToxicityModel, isotonic
 
 MIDDLE, LARGE = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
@@ -60,9 +60,9 @@ def test_isotonic():
 
 def examples_of(rows):
     """(id, label, fold, text) as Examples."""
-    found = [counted_terms(t) for *_, t in rows]
+    seen = [Counter(toxicity.words(t)) for *_, t in rows]
     out = pd.DataFrame([r[:3] for r in rows], columns=["id", "label", "fold"])
-    return Examples(out.assign(terms=[t.tobytes() for t, _ in found], times=[n.astype(np.int32).tobytes() for _, n in found]))
+    return Examples(out.assign(words=[" ".join(x) for x in seen], times=[np.fromiter(x.values(), np.int32, len(x)).tobytes() for x in seen]))
 
 
 def test_model_by_hand():
@@ -78,8 +78,8 @@ def test_model_by_hand():
 
 
 def brute_votes(examples, texts):
-    """The vote, and cosines with all examples, by dictionaries over all terms."""
-    terms = lambda text: Counter(t for w, n in Counter(toxicity.words(text)).items() for t in toxicity.terms_of(w) for _ in range(n))
+    """The vote, and cosines with all examples, by dictionaries over all words."""
+    terms = lambda text: Counter(toxicity.words(text))
     bags, labels, total = [terms(t) for _, _, t in examples], [y for _, y, _ in examples], len(examples)
     share = sum(labels) / total
     df, toxic = Counter(t for b in bags for t in b), Counter()
