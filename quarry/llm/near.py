@@ -182,15 +182,18 @@ def jaccard_join(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, r
     )
     dealt = classes.select("sid", F.explode("bands").alias("band"))
     leads = dealt.groupBy("band").agg(F.min("sid").alias("lead"), F.count("*").alias("m")).where("m > 1").drop("m")
+    # each class to the least one of its bands; a band that very many share is a side of known size
+    leads = written(leads, "near-leads")
     groups = components(dealt.join(leads, "band").where("sid <> lead").select(F.col("sid").alias("u"), F.col("lead").alias("v")))
     members = groups.withColumnRenamed("node", "sid").join(classes.select("sid", "rep", "copies", "n_grams", F.col("th").alias("rep_th")), "sid")
-    sizes = members.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n_grams") / TILE_GRAMS)).cast("int").alias("tiles"))
+    # tables by group are written before they are joined, so that a group of very many classes can be split
+    sizes = written(members.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n_grams") / TILE_GRAMS)).cast("int").alias("tiles")), "near-sizes")
     members = written(members.join(sizes, "component").withColumn("tile", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int")), "near-members")
     found = written(_met(source, members, n, threshold), "near-links")
     joined = components(found.select(F.col("sid").alias("u"), F.col("other").alias("v"))).select(F.col("node").alias("sid"), "component")
     links = found.groupBy("sid").agg(F.sum("links").alias("links"))
     placed = classes.select("sid", "rep", "th", "copies").join(joined, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    named = placed.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "th")).alias("k")).select("component", F.col("k.rep").alias("class_id"), F.col("k.th").alias("keep_th"))
+    named = written(placed.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "th")).alias("k")).select("component", F.col("k.rep").alias("class_id"), F.col("k.th").alias("keep_th")), "near-names")
     # written, so that the last join reads both sides as they are dealt and a class with very many copies can be split
     result = written(placed.join(named, "component").join(links, "sid", "left").select("sid", "class_id", "keep_th", "copies", F.coalesce("links", F.lit(0)).alias("links")), "near-classes-named")
     out = signed.select("id", "th", "sid").join(result, "sid", "left")
@@ -210,20 +213,22 @@ def _met(source: DataFrame, members: DataFrame, n: int, threshold: float) -> Dat
     if members.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     texts = source.join(wanted, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("th") == F.col("m_th"))).select("sid", "component", "tile", "tiles", "copies", "text")
+    # rows that repeat an id and a text are one from here on; tasks drop their own before texts move
+    texts = texts.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("component", "tile", "tiles", "copies", "text")])
     grams = texts.mapInPandas(sets, "sid binary, component binary, tile int, tiles int, copies long, grams binary")
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     tiles = grams.select("sid", "component", "tile", "copies", "grams", other.alias("o")).select("sid", "component", "tile", "copies", "grams", F.least("tile", "o").alias("a"), F.greatest("tile", "o").alias("b"))
     return tiles.groupBy("component", "a", "b").applyInPandas(_meet(threshold), "sid binary, links long, other binary")
 
 
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each class, with all columns: the row of the least id and text hash
     (null ids last), once if it is repeated.  Documents with an empty n-gram set are
     similar to nothing, and all stay."""
-    kept = jaccard_join(docs, **options).where("keep_th is not null").select(F.col("class_id").alias("j_id"), F.col("keep_th").alias("j_th")).distinct()
+    kept = jaccard_join(docs, id_col=id_col, text_col=text_col, **options).where("keep_th is not null").select(F.col("class_id").alias("j_id"), F.col("keep_th").alias("j_th")).distinct()
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = packed.withColumn("k_id", F.col("row.doc_id")).withColumn("k_th", F.xxhash64("row.text"))
-    empty = F.coalesce(F.col("row.text"), F.lit("")) == ""
+    rows = packed.withColumn("k_id", F.col("row")[id_col]).withColumn("k_th", F.xxhash64(F.col("row")[text_col]))
+    empty = F.coalesce(F.col("row")[text_col], F.lit("")) == ""
     joined = rows.where(~empty).join(kept, F.col("k_id").eqNullSafe(F.col("j_id")) & (F.col("k_th") == F.col("j_th")))
     return joined.dropDuplicates(["k_id", "k_th"]).select("row.*").unionByName(rows.where(empty).select("row.*"))
 

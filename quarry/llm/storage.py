@@ -7,31 +7,12 @@ taken: the warehouse on a cluster, a temporary folder in local mode.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from ..deploy import shared_folder, ship
-
-
-def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder in the shared one; the JVM removes it when it ends."""
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(at)
-    fs.deleteOnExit(at)
-    return path
-
+from ..deploy import ship
+from ..storage import discard, new_folder, written
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: its lineage ends there,
-    and a lost executor costs no recomputation of what stands before."""
-    spark = df.sparkSession
-    path = new_folder(spark, label)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["discard", "new_folder", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

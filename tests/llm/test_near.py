@@ -134,6 +134,25 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_a_node_with_half_of_the_edges(spark):
+    edges = [(0, i) for i in range(1, 600)] + [(i, i + 1) for i in range(1000, 1600)]
+    got = {(x.node, x.component) for x in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {(i, 0) for i in range(600)} | {(i, 1000) for i in range(1000, 1601)}
+
+
+def test_rows_repeated_very_often(spark):
+    """Half of the rows are one row; its text meets the others once."""
+    base = [f"q{i}" for i in range(40)]
+    rows = [(1, " ".join(base))] * 300 + [(i, " ".join([*base[:38], f"x{i}", f"y{i}"])) for i in range(2, 40)] + [(i, f"other text number {i} of words {i * 7} alone") for i in range(100, 300)]
+    check(spark, rows)
+    assert deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id < 100").count() == 1
+
+
+def test_other_column_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g", 5), (2, "a b c d e f g", 6), (3, "alone here with no other text", 7)], "key long, body string, doc_id int")
+    assert sorted(r.key for r in deduplicated(docs, id_col="key", text_col="body").collect()) == [1, 3]
+
+
 def test_one_of_each_class_stays(spark):
     rows = [(3, "a b c d e f g", "x"), (1, "a b c d e f g", "y"), (1, "a b c d e f g", "z"), (2, "other words entirely in this one", "x"), (4, None, "x"), (None, "z z z", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
