@@ -16,8 +16,7 @@ driver but a histogram of bounded size (``Q`` steps for an octave).  Blocks and
 ranges grow with the square root of the input until they reach a size that a task
 holds in memory, so the lists that blocks and tasks exchange grow in proportion.
 
-Words are hashed to 64 bits; n-grams of several words to ``BITS`` within a hash range,
-where two of them meet with a chance of about one in a million.
+Words and n-grams are hashed to 64 bits.
 """
 
 from __future__ import annotations
@@ -39,7 +38,7 @@ from pyspark.sql import functions as F
 from .samples import fold
 from .storage import table, written
 
-ORDER, DELETED, Q, BITS = 2, 8, 4, 40
+ORDER, DELETED, Q = 2, 8, 4
 BLOCK_CHARS = 500_000, 16_000_000
 REMEMBERED, EM_ROUNDS = 100_000, 100
 START, END, SEED = 0x5BD1E995_9E3779B9, 0x2545F491_4F6CDD1D, 77
@@ -105,17 +104,6 @@ def _range_of(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _short(h: np.ndarray, parts: int, level: int) -> np.ndarray:
-    """Whole hashes of single words; of longer n-grams as many high bits as name the
-    range, and BITS more."""
-    return h if level == 1 else h >> np.uint64(max(0, 64 - BITS - math.ceil(math.log2(max(2, parts)))))
-
-
-def _is_new(rising: np.ndarray) -> np.ndarray:
-    """Whether each of some rising numbers is another than the one before."""
-    return np.diff(rising, prepend=~rising[:1]) != 0
-
-
 def _planes(values: np.ndarray) -> bytes:
     """Rising numbers as differences, their bytes by significance, as many as are used."""
     steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
@@ -193,10 +181,7 @@ def _list(order: int, parts: int):
             counts = np.bincount(place.ravel(), trains, len(found)).astype(np.int64)
             present, starts = np.unique(_range_of(found, parts), return_index=True)
             for part, a, b in zip(present, starts, [*starts[1:], len(found)], strict=True):
-                # hashes that agree when shortened are one entry
-                short = _short(found[a:b], parts, level)
-                first = np.flatnonzero(_is_new(short))
-                rows.append((part, key[0], level, _planes(short[first]), _counts(np.add.reduceat(counts[a:b], first))))
+                rows.append((part, key[0], level, _planes(found[a:b]), _counts(counts[a:b])))
         return pd.DataFrame(rows, columns=["part", "block", "level", "grams", "counts"])
 
     return make
@@ -242,7 +227,7 @@ class _Counted:
             starts, stops = np.searchsorted(part, rows.part.to_numpy()), np.searchsorted(part, rows.part.to_numpy(), "right")
             out = np.zeros(len(found), np.int64)
             for data, a, b in zip(rows[column], starts, stops, strict=True):
-                out[a:b] = _from_counts(data)[np.cumsum(_is_new(_short(found[a:b], parts, level))) - 1]
+                out[a:b] = _from_counts(data)
             self.counts.append(out[place.ravel()])
         self.events = np.flatnonzero(~self.block.is_start)
 
