@@ -36,6 +36,34 @@ def test_targets_match_resharing(spark):
             assert abs(row.target - want[row.source]) < 1e-6, (sizes, rows)
 
 
+def test_places_in_order(spark):
+    names = [f"é{i * 7919 % 500}" for i in range(500)] + [None]
+    rows = mixing.numbered(spark.createDataFrame([(x,) for x in names], "source string").repartition(7), "source").collect()
+    want = sorted(x for x in names if x) + [None]
+    assert [r.source for r in sorted(rows, key=lambda r: r.n)] == want and sorted(r.n for r in rows) == list(range(501))
+
+
+def test_a_source_for_each_host(spark):
+    """Thousands of sources, one with half of the words."""
+    sizes = {f"h{i}": 1 + i % 7 for i in range(3000)} | {"big": 9000}
+    rows = source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), [1, 2, 3], 3).collect()
+    want = shares(sizes, [1, 2, 3], 3)
+    assert all(abs(r.target - want[r.source]) < 1e-6 for r in rows) and len(rows) == 3001
+
+
+def test_texts_of_one_id_and_length_are_cut_alike(spark):
+    rows = [(1, t, "en", "a") for t in ("x y z", "p q r", "l m n")] + [(2, "w " * 100, "en", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    once = sorted(map(tuple, mixed_documents(docs, weights=[1.0, 80.0]).collect()))
+    assert once == sorted(map(tuple, mixed_documents(docs.orderBy("text", ascending=False).repartition(3), weights=[1.0, 80.0]).collect()))
+
+
+def test_other_column_names_of_the_mix(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s", "t"), (2, "d e", "s", "t")], "key long, body string, origin string, text string")
+    got = mixed_documents(docs, id_col="key", text_col="body", source_col="origin")
+    assert got.columns == docs.columns and sorted((r.key, r.body) for r in got.collect()) == [(1, "a b c"), (2, "d e")]
+
+
 def brute(rows, targets, cap=3):
     """rows: (doc_id, source, size, key) -> sorted (doc_id, taken)."""
     by = defaultdict(list)
