@@ -9,11 +9,16 @@ R-(positives)), by Adam on mini-batches, where a batch whose negative risk falls
 zero takes a step back instead.
 
 Features are of form only: how often each kind of byte follows each other kind, how
-much the words repeat, and lengths.  Training takes about ``POSITIVES`` and
-``UNLABELLED`` texts (a documented bound); every whole text is scored.
+much the words repeat, and lengths.  Gradient steps take about ``POSITIVES`` labelled
+and ``UNLABELLED`` unlabelled texts (documented bounds; a hash of the id chooses).  The
+class prior is of all documents: each task counts how many of its texts score above
+each of ``CUTS`` thresholds.  Every whole text is scored.
 
 Edge cases: null texts are scored as empty; very long texts cost one pass over their
 bytes; without positives or unlabelled text the score is the prior assumed, 0.5.
+Repeated rows get equal scores; repeated positive texts teach once; null ids, labels
+and texts teach nothing.  An empty table gives an empty result; only id, text and the
+label are read, so further columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -26,10 +31,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .samples import fold, labelled, unlabelled
+from .samples import fold, labelled, sampled, share_of
 from .storage import table
 
-POSITIVES, UNLABELLED, HIDDEN, STEPS, BATCH, SEED = 6000, 12000, 16, 1200, 1024, 11
+POSITIVES, UNLABELLED, HIDDEN, STEPS, BATCH, SEED, CUTS, MARGIN = 6000, 12000, 16, 1200, 1024, 11, 200, 0.94
 #: At this score and above a document passes.
 THRESHOLD = 0.3
 
@@ -135,14 +140,43 @@ def _train(positives: np.ndarray, other: np.ndarray, prior: float | None, steps:
 
 
 def class_prior(positives: np.ndarray, other: np.ndarray, least: float = 0.2) -> float:
-    """Share of positives among ``other``, from scores of a classifier that tells the two
+    """Share of positives among others, from scores of a classifier that tells the two
     apart: the least ratio of the shares above a threshold, over thresholds that keep
-    ``least`` of the positives.  No margin is added: a prior that is a little too small
-    lowers all scores a little, one too large hides the rarest kind of negative."""
-    cuts = np.quantile(positives, np.linspace(0, 1 - least, 200))
-    above = lambda x: 1 - np.searchsorted(np.sort(x), cuts) / len(x)
-    p, u = above(positives), above(other)
-    return float(np.clip((u / np.maximum(p, 1e-9)).min(), 0.01, 0.99))
+    ``least`` of the positives.  ``MARGIN`` takes a little off: the ratio is never below the
+    share but for noise, and while a prior a little too small lowers all scores a little,
+    one too large hides the rarest kind of negative.
+
+    ``other``: how many of the others lie above each of ``cuts_of(positives)``, after
+    the number of all of them."""
+    cuts = cuts_of(positives, least)
+    p, u = 1 - np.searchsorted(np.sort(positives), cuts) / len(positives), other[1:] / max(1, other[0])
+    return float(np.clip(MARGIN * (u / np.maximum(p, 1e-9)).min(), 0.01, 0.99))
+
+
+def cuts_of(positives: np.ndarray, least: float = 0.2) -> np.ndarray:
+    return np.quantile(positives, np.linspace(0, 1 - least, CUTS))
+
+
+def above(scores: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """The number of scores, and of those at or above each cut."""
+    return np.append(len(scores), len(scores) - np.searchsorted(np.sort(scores), cuts))
+
+
+def counted_above(texts: DataFrame, net: Network, cuts: np.ndarray) -> np.ndarray:
+    """``above`` for the logits of all texts: a row of numbers from each task."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(cuts) + 1, np.int64)
+        for pdf in batches:
+            if len(pdf):
+                total += above(net.logit(np.stack([features(x) for x in pdf.text])), cuts)
+        yield pd.DataFrame({"place": np.arange(len(total)), "n": total})
+
+    rows = texts.mapInPandas(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(len(cuts) + 1, np.int64)
+    for r in rows:
+        out[r.place] = r.n
+    return out
 
 
 class QualityModel:
@@ -157,12 +191,19 @@ class QualityModel:
 def fit_quality(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, others: int = UNLABELLED, steps: int = STEPS) -> QualityModel:
     trusted = labels.where("quality = 1")
     p = feature_rows(labelled(docs, trusted, "quality", most=positives))
-    u = feature_rows(unlabelled(docs, most=others))
-    if len(p) < 10 or len(u) < 10:
+    texts = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), "text")
+    chosen = share_of(texts.count(), others)
+    # the classifier that the prior comes from learns from one half of the sample and is read on all documents but those
+    half = sampled("unlabelled", chosen / 2)
+    rest = sampled("unlabelled", chosen) & ~half
+    first, second = feature_rows(texts.where(half).select("text")), feature_rows(texts.where(rest).select("text"))
+    u = np.concatenate([first, second])
+    if len(p) < 10 or len(first) < 5 or len(second) < 5:
         return QualityModel(None, 0.5)
-    half = np.arange(len(p)) % 2 == 0
-    teller = _train(p[half], u[::2], None, steps // 2)
-    prior = class_prior(teller.logit(p[~half]), teller.logit(u[1::2]))
+    own = np.arange(len(p)) % 2 == 0
+    teller = _train(p[own], first, None, steps // 2)
+    scores = teller.logit(p[~own])
+    prior = class_prior(scores, counted_above(texts.where(~half).select("text"), teller, cuts_of(scores)))
     return QualityModel(_train(p, u, prior, steps), prior)
 
 

@@ -35,7 +35,8 @@ def test_prior_and_risk_on_made_up_points():
         p, u = good(3000), np.concatenate([good(int(6000 * prior)), bad(6000 - int(6000 * prior))])
         r.shuffle(u)
         teller = quality._train(p[::2], u[::2], None, 400)
-        found = quality.class_prior(teller.logit(p[1::2]), teller.logit(u[1::2]))
+        scores = teller.logit(p[1::2])
+        found = quality.class_prior(scores, quality.above(teller.logit(u[1::2]), quality.cuts_of(scores)))
         assert abs(found - prior) < 0.08
         net = quality._train(p, u, found, 800)
         assert (net.score(good(2000)) > 0.5).mean() > 0.95 and (net.score(bad(2000)) < 0.5).mean() > 0.95
@@ -65,7 +66,21 @@ def test_sample_is_bounded_and_odd_labels(spark):
     some = samples.labelled(docs, labels, "quality", most=300).collect()
     assert 200 < len(some) <= 400 and all(r.label == 1 and r.text for r in some)
     assert len({r.text for r in samples.labelled(docs, labels, "quality", most=10_000).collect()}) <= 900
-    assert 200 < samples.unlabelled(docs, most=300).count() < 400
+    ids = docs.select(F.col("doc_id").alias("id"))
+    some, fewer = ({r.id for r in ids.where(samples.sampled("s", share)).collect()} for share in (0.15, 0.05))
+    assert 200 < len(some) < 400 and fewer < some and samples.share_of(0, 9) == samples.share_of(5, 9) == 1
+
+
+def test_prior_is_of_all_documents(spark):
+    """Samples of other sizes move it little; counts above cuts are of every document."""
+    docs, labels = (spark.read.parquet(f"{MIDDLE.replace('0.01', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
+    priors = [quality.fit_quality(docs, labels, others=n, steps=300).prior for n in (2000, 4000, 8000)]
+    assert max(priors) - min(priors) < 0.06
+    net = quality.Network(np.zeros(quality.N_FEATURES), np.ones(quality.N_FEATURES))
+    texts = docs.select("text").limit(300)
+    cuts = np.array([-0.5, 0.0, 0.5])
+    want = quality.above(net.logit(np.stack([quality.features(r.text) for r in texts.collect()])), cuts)
+    assert quality.counted_above(texts.repartition(5), net, cuts).tolist() == want.tolist()
 
 
 @pytest.mark.parametrize("texts", [[], [None, "", "x"]])
@@ -74,3 +89,12 @@ def test_too_little_to_learn(spark, texts):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     model = quality.fit_quality(docs, labels)
     assert [r.s for r in docs.select(model.score(F.col("text")).alias("s")).collect()] == [0.5] * len(texts)
+
+
+def test_query_equals_its_model_on_each_text(spark, small):
+    """The query's scores are those of the fitted network on each whole text by itself."""
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit_quality(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in quality.op5_quality_classifier(spark, small).collect():
+        assert r.score == pytest.approx(float(model.net.score(quality.features(texts[r.doc_id])[None])[0]), abs=1e-6)
