@@ -8,9 +8,11 @@ the bucket gives its leftmost position, and entries that a merge has made stale
 are skipped.  A pre-token of n bytes takes O(n log n) however long it is; a scan
 for the lowest rank after each merge would take O(n^2).
 
-Texts are whole; null is empty; a surrogate alone (which Spark strings don't hold)
-is encoded as U+FFFD.  The vocabulary is read by the driver and broadcast: its
-size is fixed by its file (about 50,000 entries).
+Texts are whole; null is empty and gives no ids; a surrogate alone (which Spark strings
+don't hold) is encoded as ``?``.  Repeated rows are encoded each; an empty table gives
+an empty result; columns other than those named are not read, whatever their names.
+The vocabulary is read by the driver and broadcast: its size is fixed by its file
+(about 50,000 entries).
 """
 
 from __future__ import annotations

@@ -3,7 +3,10 @@ by integral images, written as NPY tiles with difference hashes.
 
 Edge cases: null content gives nulls from ``media_features``; content that is no
 Netpbm or BMP picture, or is cut short, raises ``ValueError`` in the decoders and
-gives a row with ``error`` set in ``media_features`` (nothing is dropped).
+gives a row with ``error`` set in ``media_features`` (nothing is dropped).  Null and
+empty texts are stored as 64 zero bytes, very long ones as one tall picture; repeated
+rows give equal values; an empty table gives an empty result; only the text (and the
+id) is read, so further columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -143,13 +146,14 @@ def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
 
 def npy_bytes(array: np.ndarray) -> bytes:
     out = io.BytesIO()
-    np.save(out, array, allow_pickle=False)
+    np.save(out, np.ascontiguousarray(array), allow_pickle=False)
     return out.getvalue()
 
 
 def tile_of(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """An 8-bit tile; values of pictures with another range are not scaled, but cut to it."""
-    return np.clip(np.rint(area_resize(image, height, width)), 0, 255).astype(np.uint8)
+    """An 8-bit tile; values of pictures with another range are not scaled, but cut to it.
+    Means are rounded to six digits first: halves are not left to the order of sums."""
+    return np.clip(np.rint(np.round(area_resize(image, height, width), 6)), 0, 255).astype(np.uint8)
 
 
 def difference_hash(image: np.ndarray) -> str:
@@ -188,26 +192,39 @@ def padded(payload: bytes, unit: int = PAYLOAD_WIDTH) -> bytes:
     return payload + bytes(unit * max(1, -(-len(payload) // unit)) - len(payload))
 
 
-STORED = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+STORED = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, stored_as string, tile binary"
+
+
+def stored_form(payload: bytes) -> bytes:
+    """A padded payload as a picture of width 64: rows of colour, in a BMP, where its length
+    is a multiple of three rows; else rows of grey, in a binary PGM."""
+    samples = np.frombuffer(payload, np.uint8)
+    if len(payload) % (3 * PAYLOAD_WIDTH) == 0:
+        return encode_bmp(samples.reshape(-1, PAYLOAD_WIDTH, 3))
+    return encode_pgm(samples.reshape(-1, PAYLOAD_WIDTH))
 
 
 def stored_text(text: Column, media: bool = False) -> Column:
     """A struct for a text column (null: empty): its UTF-8 bytes, padded with zeros to a
-    positive multiple of 64, as a grey PGM of width 64; then what the decoder reads
-    back and its difference hash.  ``media``: the stored bytes and NPY tile too."""
+    positive multiple of 64, as a picture (``stored_form``); then what the decoder reads
+    back, its NPY tile, and as feature its difference hash and the tile's SHA-256.
+    ``media``: the stored bytes too."""
+    schema = STORED + (", media binary" if media else "")
 
-    @F.pandas_udf(STORED + (", media binary, tile binary" if media else ""))
+    @F.pandas_udf(schema)
     def store(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for text in batch:
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                kept = encode_pgm(np.frombuffer(padded(raw), np.uint8).reshape(-1, PAYLOAD_WIDTH))
+                kept = stored_form(padded(raw))
                 image = decode(kept)
                 back = image.tobytes()
-                row = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(kept), hashlib.sha256(kept).hexdigest(), difference_hash(image))
-                rows.append((*row, kept, npy_bytes(tile_of(image, *TILE))) if media else row)
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in (STORED + (", media binary, tile binary" if media else "")).split(", ")])
+                tile = npy_bytes(tile_of(image, *TILE))
+                feature = f"{difference_hash(image)}:{hashlib.sha256(tile).hexdigest()}"
+                row = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(kept), hashlib.sha256(kept).hexdigest(), feature, "bmp" if image.ndim == 3 else "pgm", tile)
+                rows.append((*row, kept) if media else row)
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
 
     return store(text)
 

@@ -1,5 +1,6 @@
 import hashlib
 import io
+import struct
 import zlib
 
 import numpy as np
@@ -43,6 +44,8 @@ def test_bmp_of_four_bits():
 
 
 def slow_resize(image, height, width):
+    if image.ndim == 3:
+        return np.stack([slow_resize(image[..., c], height, width) for c in range(image.shape[2])], axis=2)
     h, w = image.shape
     big = np.repeat(np.repeat(image.astype(float), height, 0), width, 1)  # every cell is then whole
     return big.reshape(height, h, width, w).mean(axis=(1, 3))
@@ -76,8 +79,19 @@ def test_features_of_a_column(spark):
 def brute(text):
     raw = (text or "").encode()
     padded = raw + b"\0" * (-len(raw) % 64 if raw else 64)
-    kept = b"P5\n64 %d\n255\n" % (len(padded) // 64) + padded
-    return len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]), len(kept), hashlib.sha256(kept).hexdigest()
+    if len(padded) % 192:
+        kept, kind = b"P5\n64 %d\n255\n" % (len(padded) // 64) + padded, "pgm"
+    else:
+        lines = [padded[i : i + 192] for i in range(0, len(padded), 192)]
+        body = b"".join(bytes(x for j in range(0, 192, 3) for x in line[j : j + 3][::-1]) for line in reversed(lines))
+        kept, kind = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + len(body), 0, 0, 54, 40, 64, len(lines), 1, 24, 0, len(body), 2835, 2835, 0, 0) + body, "bmp"
+    samples = np.frombuffer(padded, np.uint8).reshape(-1, 64, 3) if kind == "bmp" else np.frombuffer(padded, np.uint8).reshape(-1, 64)
+    tile = io.BytesIO()
+    np.save(tile, np.clip(np.rint(np.round(slow_resize(samples, *media.TILE), 6)), 0, 255).astype(np.uint8))
+    grey = np.rint(slow_resize(samples.mean(axis=2) if kind == "bmp" else samples, *media.TILE) * 256)
+    bits = "".join("1" if grey[y, x] < grey[y, x + 1] else "0" for y in range(8) for x in range(8))
+    feature = f"{int(bits, 2):016x}:{hashlib.sha256(tile.getvalue()).hexdigest()}"
+    return len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]), len(kept), hashlib.sha256(kept).hexdigest(), feature, kind, tile.getvalue()
 
 
 def test_texts(spark, small):
@@ -85,10 +99,13 @@ def test_texts(spark, small):
     rows = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "doc_id int, text string, n_bytes int, feature string")
     got = {r.doc_id: r.m for r in rows.select("doc_id", media.stored_text(F.col("text"), media=True).alias("m")).collect()}
     for i, t in enumerate(texts):
-        assert tuple(got[i])[:6] == brute(t)
-        assert np.load(io.BytesIO(got[i].tile)).shape == media.TILE
+        assert tuple(got[i])[:6] == brute(t)[:6]
+        assert media.decode(got[i].media).tobytes()[: got[i].n_bytes] == (t or "").encode()
+        assert np.load(io.BytesIO(got[i].tile)).shape[:2] == media.TILE
     assert got[7] == got[8]
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     out = media.op7_media_columns(spark, small).collect()
-    assert len(out) == len(docs) and all(tuple(r)[1:7] == brute(docs[r.doc_id]) for r in out)
+    assert len(out) == len(docs) and {r.stored_as for r in out} == {"pgm", "bmp"}
+    for r in out:
+        assert tuple(r)[1:] == brute(docs[r.doc_id])
     assert media.op7_media_columns(spark, small).limit(0).count() == 0
