@@ -19,9 +19,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import new_folder, table
+from . import bpe
+from .storage import new_folder, table, written
 
-#: Countable tokenizers: version -> the pattern whose matches are tokens.
+#: Tokenizers that the query counts by: version -> the pattern whose matches are tokens.  A
+#: contribution takes its number of tokens as a column, so any tokenizer can give it
+#: (``bpe_tokens`` does by a trained vocabulary).
 TOKENIZERS = {"words-1": r"[^\x20\x09-\x0D]+", "wordpunct-2": r"[\p{L}\p{N}]+|[^\x20\x09-\x0D\p{L}\p{N}]"}
 KEYS = ["source", "lang", "tokenizer_version"]
 TOTALS = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
@@ -32,6 +35,12 @@ def n_tokens(text: Column, version: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(TOKENIZERS[version])), F.lit(0)).cast("long")
 
 
+def bpe_tokens(spark: SparkSession, text: Column, path: str | None = None) -> Column:
+    """Tokens of a text by byte-level BPE with a public vocabulary; null texts have none."""
+    ranks, pattern = bpe.vocabulary(path)
+    return bpe.round_trip(spark, text, ranks, pattern)["n_tokens"]
+
+
 def contribution(source: Column, lang: Column, version: str, tokens: Column) -> Column:
     return F.struct(source.alias("source"), lang.alias("lang"), F.lit(version).alias("tokenizer_version"), tokens.cast("long").alias("n_tokens"))
 
@@ -72,6 +81,10 @@ class TokenRollup:
         aside = f"{self.path}/aside/{uuid.uuid4().hex}"
         rows.write.parquet(aside)
         self._fs.mkdirs(self._at(f"{self.path}/batches"))
+        return self._move(aside, target)
+
+    def _move(self, aside: str, target: str) -> bool:
+        """Renames a folder to one that doesn't exist; False, and it is removed, if it does."""
         if not self._fs.exists(self._at(target)) and self._fs.rename(self._at(aside), self._at(target)):
             # where another writer was first, a rename into its folder is undone
             inner = self._at(f"{target}/{aside.rpartition('/')[2]}")
@@ -84,34 +97,62 @@ class TokenRollup:
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Adds a batch of (before, after); False, and nothing done, if it is there."""
-        return self._place(signed_sums(changes).coalesce(1), "b" + hashlib.sha256(batch_id.encode()).hexdigest())
+        return self._place(signed_sums(changes), "b" + hashlib.sha256(batch_id.encode()).hexdigest())
+
+    def _base(self) -> tuple[int, str | None]:
+        """Number and folder of the latest compaction; 0 and None without one."""
+        top = self._at(f"{self.path}/bases")
+        numbers = [int(x.getPath().getName()) for x in self._fs.listStatus(top)] if self._fs.exists(top) else []
+        return (n := max(numbers, default=0)), f"{self.path}/bases/{n}" if n else None
+
+    def _rows(self) -> tuple[DataFrame, list[str], int]:
+        """Rows whose sums are the totals, the batches that they hold, the base's number."""
+        number, base = self._base()
+        held = {r.name for r in self.spark.read.schema("name string").parquet(f"{base}/names").collect()} if base else set()
+        batches = [x for x in self._batches() if x.rpartition("/")[2] not in held]
+        places = [f"{base}/totals"] * bool(base) + batches
+        rows = self.spark.read.schema(TOTALS).parquet(*places) if places else self.spark.createDataFrame([], TOTALS)
+        return rows, sorted(held | {x.rpartition("/")[2] for x in batches}), number
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer_version, n_docs, n_tokens of every key that isn't zero."""
-        batches = self._batches()
-        rows = self.spark.read.schema(TOTALS).parquet(*batches) if batches else self.spark.createDataFrame([], TOTALS)
-        sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        sums = self._rows()[0].groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 or n_tokens <> 0")
 
+    def compact(self) -> bool:
+        """Sums all committed batches into one base, so that totals read that and what was
+        committed later; False if another writer made the next base first.  It becomes
+        the base by one rename.  Batches stay known by name (a row each), so that one sent
+        again is still not committed again, and their files stay for readers of before."""
+        rows, names, number = self._rows()
+        aside = f"{self.path}/aside/{uuid.uuid4().hex}"
+        rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0").write.parquet(f"{aside}/totals")
+        self.spark.createDataFrame([(x,) for x in names], "name string").coalesce(1).write.parquet(f"{aside}/names")
+        self._fs.mkdirs(self._at(f"{self.path}/bases"))
+        return self._move(aside, f"{self.path}/bases/{number + 1}")
+
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three batches over all documents: all are inserted; those in other languages than
     English get a newer tokenizer; those that ``labels`` calls toxic are deleted.  The
-    first two are then sent again, as after a failure, and change nothing."""
+    first two are then sent again, as after a failure, and change nothing.
+
+    Counts by document are written once: revisions and deletes take them from there and
+    count no text again.  After the batches the rollup is compacted."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
     none = F.lit(None)
-    of = lambda version: contribution(F.col("source"), F.col("lang"), version, n_tokens(F.col("text"), version))
     newer = ~F.col("lang").eqNullSafe("en")
     old, new = TOKENIZERS
+    counted = written(docs.select("doc_id", "source", "lang", n_tokens(F.col("text"), old).alias(old), F.when(newer, n_tokens(F.col("text"), new)).alias(new)), "token-counts")
+    of = lambda version: contribution(F.col("source"), F.col("lang"), version, F.col(f"`{version}`"))
     rollup = TokenRollup(spark, new_folder(spark, "token-rollup"))
-    load = docs.select(none.alias("before"), of(old).alias("after"))
-    revise = docs.where(newer).select(of(old).alias("before"), of(new).alias("after"))
-    # counted before the join, so that numbers are shuffled and not texts
-    counted = docs.select("doc_id", F.when(newer, of(new)).otherwise(of(old)).alias("before"))
-    remove = counted.join(toxic, "doc_id", "left_semi").select("before", none.alias("after"))
+    load = counted.select(none.alias("before"), of(old).alias("after"))
+    revise = counted.where(newer).select(of(old).alias("before"), of(new).alias("after"))
+    remove = counted.join(toxic, "doc_id", "left_semi").select(F.when(newer, of(new)).otherwise(of(old)).alias("before"), none.alias("after"))
     for batch_id, changes in (("load", load), ("revise", revise), ("remove", remove), ("load", load), ("revise", revise)):
         rollup.commit(batch_id, changes)
+    rollup.compact()
     return rollup.totals()
 
 

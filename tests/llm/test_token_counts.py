@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
 from helpers import duck_rows, spark_rows
-from quarry.llm.token_counts import OP1_SQL, TokenRollup, contribution, n_tokens, op1_token_counts
+from quarry.llm import bpe
+from quarry.llm.token_counts import OP1_SQL, TokenRollup, bpe_tokens, contribution, n_tokens, op1_token_counts
 
 C = "struct<source:string,lang:string,tokenizer_version:string,n_tokens:bigint>"
 
@@ -28,6 +29,32 @@ def test_signed_batches(spark, tmp_path):
     assert totals(rollup) == sorted(want, key=str)
 
 
+def test_compacted_batches(spark, tmp_path):
+    rollup = TokenRollup(spark, f"file://{tmp_path}/r")
+    assert rollup.compact() and totals(rollup) == []
+    rollup.commit("1", changes(spark, [(None, ("a", "en", "v1", 5)), (None, ("b", "en", "v1", 1))]))
+    rollup.commit("2", changes(spark, [(("b", "en", "v1", 1), None)]))
+    assert rollup.compact() and totals(rollup) == [("a", "en", "v1", 1, 5)]
+    # what was summed is still known, what comes later is added
+    assert not rollup.commit("1", changes(spark, [(None, ("a", "en", "v1", 5))]))
+    assert rollup.commit("3", changes(spark, [(None, ("a", "en", "v1", 2))])) and totals(rollup) == [("a", "en", "v1", 2, 7)]
+    assert rollup.compact() and rollup.compact() and totals(TokenRollup(spark, f"file://{tmp_path}/r")) == [("a", "en", "v1", 2, 7)]
+    rows, names, _ = rollup._rows()
+    assert rows.count() == 1 and len(names) == 3
+
+
+def test_counts_by_a_vocabulary(spark, tmp_path):
+    import public_tokenizers
+    import tiktoken
+
+    ranks, pattern = bpe.vocabulary()
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = spark.createDataFrame([("some words, and more", "s"), (None, "s"), ("", "t")], "text string, source string")
+    rollup = TokenRollup(spark, f"file://{tmp_path}/r")
+    rollup.commit("1", rows.select(F.lit(None).alias("before"), contribution(F.col("source"), F.lit("en"), "bpe-50k", bpe_tokens(spark, F.col("text"))).alias("after")))
+    assert totals(rollup) == [("s", "en", "bpe-50k", 2, len(known.encode("some words, and more"))), ("t", "en", "bpe-50k", 1, 0)]
+
+
 def test_failed_batch_leaves_nothing_and_may_be_sent_again(spark, tmp_path):
     import pytest
 
