@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from .storage import table, written
 
-LEAF, BLOCK_ROWS = 64, 4096
+LEAF, BLOCK_ROWS, SHARD_ROWS = 64, 4096, 65536
+#: Bytes of a packed shard or block at most, and of all blocks together that are broadcast at most.
+PACK_BYTES, BROADCAST_BYTES = 64 << 20, 64 << 20
 LONG = (-(2**63), 2**63 - 1)
 
 
@@ -137,7 +139,7 @@ def packed(vectors: DataFrame, parts: int, name: str) -> DataFrame:
     """(id, v) -> one row per dimension and hash part."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = np.array(pdf.v.tolist(), np.int64).reshape(len(pdf), -1)
+        rows = np.stack(pdf.v.to_numpy()).astype(np.int64, copy=False)
         return pd.DataFrame({"dim": [len(pdf.v.iloc[0])], "part": [pdf.part.iloc[0]], "ids": [pdf.id.to_numpy(np.int64).tobytes()], "rows": [rows.tobytes()]})
 
     dealt = vectors.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"))
@@ -185,19 +187,25 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
     columns are not read.  An empty table gives an empty result.
     """
     clean = vectors.select(F.col(id_col).cast("long").alias("id"), quantized(F.col(vector_col), scale).alias("v")).where("id is not null and v is not null")
-    n = clean.count()
-    shard_rows = min(65536, max(512, int(8 * math.sqrt(n))))
+    n, wide = clean.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    most = max(1, PACK_BYTES // (8 * max(1, wide)))
+    shard_rows = min(SHARD_ROWS, most, max(512, int(8 * math.sqrt(n))))
     shards = packed(clean, max(1, -(-n // shard_rows)), "top-k-shards")
-    blocks = packed(clean.where(F.col("id") % every == 0), max(1, -(-n // (every * BLOCK_ROWS))), "top-k-queries")
+    blocks = packed(clean.where(F.col("id") % every == 0), max(1, -(-n // (every * min(BLOCK_ROWS, most)))), "top-k-queries")
     blocks = blocks.select("dim", F.col("part").alias("block"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"))
     pilot = shards.groupBy("dim").agg(F.min("part").alias("part"))
     asked = "dim int, block long, q_ids binary, q_rows binary"
     seen = blocks.join(shards.join(pilot, ["dim", "part"], "left_semi"), "dim").withColumn("floor", F.lit(None).cast("binary"))
     floors = written(seen.mapInPandas(_visits(k, True), asked + ", floor binary"), "top-k-floors")
-    # the stated query set against all rows, in blocks: one row for each block and shard
-    parts = shards.groupBy("dim").agg(F.collect_list("part").alias("parts"))
-    pairs = floors.join(parts, "dim").select("dim", "block", "q_ids", "q_rows", "floor", F.explode("parts").alias("part")).repartition(F.col("dim"), F.col("part")).join(shards, ["dim", "part"])
-    found = pairs.sortWithinPartitions("dim", "part").mapInPandas(_visits(k, False), "dim int, block long, row long, query_id long, vec_id long, score long")
+    # the stated query set against all rows, in blocks: each shard meets each block of its dimension
+    if (floors.agg(F.sum(F.length("q_rows") + F.length("q_ids"))).first()[0] or 0) <= BROADCAST_BYTES:
+        # blocks go to where the shards are, once for each executor
+        met = shards.join(F.broadcast(floors), "dim")
+    else:
+        parts = shards.groupBy("dim").agg(F.collect_list("part").alias("parts"))  # small numbers, one for each shard
+        pairs = floors.join(parts, "dim").select("dim", "block", "q_ids", "q_rows", "floor", F.explode("parts").alias("part")).repartition(F.col("dim"), F.col("part"))
+        met = pairs.join(shards, ["dim", "part"])
+    found = met.sortWithinPartitions("dim", "part").mapInPandas(_visits(k, False), "dim int, block long, row long, query_id long, vec_id long, score long")
     best = Window.partitionBy("dim", "block", "row").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

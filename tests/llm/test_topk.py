@@ -40,6 +40,20 @@ def test_many_ties_and_shards(spark, monkeypatch):
     assert got(top_k(df, k=5, every=50)) == brute(rows, 5, 50)
 
 
+@pytest.mark.parametrize("broadcast", [topk.BROADCAST_BYTES, 0])
+def test_wide_vectors_make_small_shards(spark, monkeypatch, broadcast):
+    """Shards and blocks are bounded by bytes; blocks too large to broadcast are dealt."""
+    r = np.random.default_rng(9)
+    rows = [(i, r.normal(size=40).tolist()) for i in range(700)]
+    monkeypatch.setattr(topk, "PACK_BYTES", 40 * 8 * 100)
+    monkeypatch.setattr(topk, "BROADCAST_BYTES", broadcast)
+    made = []
+    keep = topk.packed
+    monkeypatch.setattr(topk, "packed", lambda v, n, label: made.append(n) or keep(v, n, label))
+    assert got(top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4, every=5)) == brute(rows, 4, 5)
+    assert made[0] == 7 and made[1] == 2
+
+
 def test_huge_components(spark):
     rows = [(0, [1e9, 1.0]), (1, [1e9, -3.0]), (2, [-1e12, 5.0]), (3, [1e30, 0.0])]
     out = {(q, i): s for q, _, i, s in got(top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=4))}
