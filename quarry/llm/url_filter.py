@@ -7,9 +7,10 @@ confirms a match, and of the rules that fit the longest wins.
 Only the suffixes and prefixes that some rule could have are made: suffixes with
 as many labels, prefixes with as many characters as rules have.  Both lists are
 distinct small integers, so the expansion of a url stays small even for a host
-of thousands of labels.  Expressions are made once per distinct (host, path), so
-a frequent url costs one expansion; a rule table above ``BROADCAST_RULES`` rows
-is joined by shuffle, with the hot expressions salted.
+of thousands of labels.  A page's expressions carry its row's number, under which its
+rules meet again: nothing is dealt by url, so neither a frequent url nor null ones are
+a key of many rows.  A rule table above ``BROADCAST_RULES`` rows is joined by shuffle,
+its expressions salted by the row.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ def path_of(url: Column) -> Column:
 
 def _hashed(rows: DataFrame) -> DataFrame:
     """Adds the full digest and its first 32 bits of (r_host, r_path)."""
-    digest = F.sha2(F.concat_ws("\n", "r_host", "r_path"), 256)
+    digest = F.sha2(F.concat("r_host", F.lit("\n"), "r_path"), 256)  # null where a url has no expression
     return rows.withColumn("digest", digest).withColumn("short", F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"))
 
 
@@ -54,7 +55,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", id_
     no rule with a host; rules with a null host or path are left out; repeated
     pages come back as often; no other column of ``pages`` is read.
     """
-    urls = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    urls = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")).withColumn("row_no", F.monotonically_increasing_id())
     usable = rules.where("host is not null and path is not null")
     shape = usable.select(F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("chars"))
     # distinct small integers: no more of them than a host has labels, or a path characters
@@ -66,17 +67,17 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", id_
     ints = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<int>")
     suffixes = F.transform(F.filter(ints(known["labels"]), lambda n: n <= F.size(labels)), lambda n: F.array_join(F.slice(labels, -n, n), "."))
     prefixes = F.transform(F.filter(ints(known["chars"]), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
-    distinct = urls.select("host", "path").distinct()
-    expressions = _hashed(distinct.select("host", "path", F.explode(suffixes).alias("r_host"), F.col("path").alias("whole")).withColumn("r_path", F.explode(prefixes)).drop("whole"))
+    own = ["row_no", "page_id", "host", "path"]
+    expressions = _hashed(urls.select(*own, F.explode_outer(suffixes).alias("r_host")).select(*own, "r_host", F.explode_outer(prefixes).alias("r_path")))
     if known["n"] <= broadcast_rules:
-        pairs = expressions.join(F.broadcast(best_rules), "short")
+        pairs = expressions.join(F.broadcast(best_rules), "short", "left")
     else:
-        salted = expressions.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)))
+        salted = expressions.withColumn("salt", F.pmod("row_no", F.lit(SALTS)))
         spread = best_rules.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        pairs = salted.join(spread, ["short", "salt"])
-    confirmed = pairs.where(F.col("digest") == F.col("r_digest"))
-    won = confirmed.groupBy(F.col("host").alias("w_host"), F.col("path").alias("w_path")).agg(F.max(F.struct(F.length("rule"), F.length("rule_host"), "rule", "verdict")).alias("won"))
-    out = urls.join(won, (F.col("host") == F.col("w_host")) & (F.col("path") == F.col("w_path")), "left")
+        pairs = salted.join(spread, ["short", "salt"], "left")
+    # the full digest confirms; of a row's rules the longest stays, on the map side first
+    fits = F.when(F.col("digest") == F.col("r_digest"), F.struct(F.length("rule"), F.length("rule_host"), "rule", "verdict"))
+    out = pairs.groupBy("row_no").agg(*[F.first(c).alias(c) for c in own[1:]], F.max(fits).alias("won"))
     return out.select("page_id", "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict"))
 
 

@@ -44,5 +44,15 @@ def test_no_python_in_the_plan(spark, small):
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
 
 
+def test_a_popular_url_is_no_key(spark):
+    """Half of the pages have one url, a quarter none: nothing is dealt by url."""
+    urls = ["x://a.example.com/en/1"] * 200 + [None] * 100 + [f"x://h{i}.net/es/{i}" for i in range(100)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    out = filter_urls(pages, rule_table(spark, RULES))
+    assert sorted(map(tuple, out.collect())) == [(i, *brute(u, RULES)) for i, u in enumerate(urls)]
+    plan = out._jdf.queryExecution().toString()
+    assert "hashpartitioning(row_no" in plan and "hashpartitioning(host" not in plan and "hashpartitioning(path" not in plan
+
+
 def test_whole_table(spark, small):
     assert spark_rows(op6_url_filter(spark, small)) == duck_rows(OP6_SQL, small)
