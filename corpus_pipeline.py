@@ -3,6 +3,13 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 Parquet and read again as the next stage's documents.  All but the last return the
 columns of documents.
+
+Edge cases: null and empty texts are judged as empty ones by the classifiers, are
+similar to nothing and have no words, so that the mix takes none of them; with too
+little to learn from, classifiers keep every document.  Repeated rows are judged alike
+and then are one.  Null ids and sources are kept as such.  Further columns of any name
+travel along.  Empty documents or labels give empty results or classifiers that
+learned nothing.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, mixing, near, quality, toxicity
-from quarry.llm.storage import table, written
+from quarry.llm.storage import discard, table, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +64,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES):
-            docs = written(docs, f"pipeline-{i}")
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1], 1):
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{i}")
+        discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -75,3 +75,27 @@ def test_ids_decode_to_the_texts(stages):
 def test_run_gives_the_last_stage(spark, small):
     out = corpus_pipeline.run(spark, small)
     assert out.columns == ["doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256", "ids"] and out.count() > 0
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, score double, row string, th long"
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, None, None, None), (None, "", "en", "s", 0), (2, "a b c", "en", "s", 5), (2, "a b c", "en", "s", 5), (3, "long " * 30_000, "en", None, 1), (4, "a b c", "de", "s", 5)]])
+@pytest.mark.parametrize("labelled", [False, True])
+def test_stages_take_odd_rows(spark, tmp_path, rows, labelled):
+    """Null, empty, long and repeated rows, empty tables, columns that clash."""
+    docs = spark.createDataFrame([(*r, 0.5, "r", 7) for r in rows], COLUMNS)
+    labels = [(1, 1, 0), (2, None, None), (2, 1, 1), (3, 1, 0), (None, 1, 1), (9, 0, 0)] if labelled else []
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = written(stage(spark, docs, str(tmp_path)), f"odd-{i}")
+        if i < 4:
+            assert out.columns == docs.columns
+            docs = out
+    got = out.collect()
+    assert len(got) == docs.count() and all(r.n_tokens == len(r.ids) for r in got)
+    if rows:
+        # one of each class; a text without a word is not part of a mix; copies are whole or cut at a word
+        kept = {(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()}
+        assert {i for i, _ in kept} == ({3} if labelled else {2, 3})
+        assert all("a b c".startswith(t) if i == 2 else ("long " * 30_000).startswith(t) for i, t in kept)
