@@ -92,6 +92,58 @@ reranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 # visible character, with the white space before.
 _PIECES = f"regexp_extract_all(text, '{_S}*(?:[A-Za-z0-9_]+|[^\\t\\n\\x0B\\f\\r \\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}])')"
 
+_BLANK = f"regexp_matches(text, '^{_S}*$')"
+_COUNT = f"greatest(1, len({_PIECES}))"
+
+
+def _packed(source: str) -> str:
+    """Greedy parents of a table of lines (doc_id, i, text): el has them without blank ones,
+    numbered and counted, and par the parent of each."""
+    return f"""
+src AS ({source}),
+el AS (SELECT doc_id, text, {_COUNT} AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM src WHERE NOT {_BLANK}),
+par AS (SELECT doc_id, k, text, n, n AS held, 0 AS p FROM el WHERE k = 1
+        UNION ALL SELECT e.doc_id, e.k, e.text, e.n, CASE WHEN held + e.n > 800 THEN e.n ELSE held + e.n END, p + CAST(held + e.n > 800 AS INTEGER) FROM par JOIN el e ON e.doc_id = par.doc_id AND e.k = par.k + 1)"""
+
+
+_RAW_LINES = "SELECT doc_id, i, l[i] AS text FROM (SELECT doc_id, l, unnest(generate_series(1, len(l))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
+_PARENTS = f"""WITH RECURSIVE {_packed(_RAW_LINES)}
+SELECT CAST(doc_id AS VARCHAR) AS document_id, p AS parent_no, left(arg_min(text, k), 80) AS title, sha256(string_agg(text, chr(10) ORDER BY k)) AS text_sha256 FROM par GROUP BY doc_id, p"""
+
+# Children: at each line (j) of a parent, where the lines held start (s), what was put out
+# before it (f to t); a full child leaves its last lines, from tail on, to the next one.
+_CHILDREN = f"""WITH RECURSIVE {_packed(f"SELECT doc_id, i, {_clean('text')} AS text FROM ({_RAW_LINES})")},
+own AS (SELECT doc_id, p, list(text ORDER BY k) AS lines, list(n ORDER BY k) AS ns FROM par GROUP BY ALL),
+sums AS (SELECT *, list_transform(generate_series(1, len(ns)), lambda x: list_sum(ns[1:x])) AS c FROM own),
+line AS (SELECT *, ns[j] AS n, coalesce(list_max(list_filter(generate_series(1, j - 1), lambda x: c[j - 1] - coalesce(c[x - 1], 0) >= 40)), 1) AS tail
+         FROM (SELECT *, unnest(generate_series(1, len(ns))) AS j FROM sums)),
+kid AS (SELECT doc_id, p, j, CASE WHEN n > 280 THEN j + 1 ELSE j END AS s, CASE WHEN n > 280 THEN 0 ELSE n END AS held, CAST(NULL AS BIGINT) AS f, CAST(NULL AS BIGINT) AS t FROM line WHERE j = 1
+        UNION ALL
+        SELECT e.doc_id, e.p, e.j, CASE WHEN e.n > 280 THEN e.j + 1 WHEN held + e.n > 280 AND s <= kid.j THEN greatest(s, e.tail) ELSE s END,
+               CASE WHEN e.n > 280 THEN 0 WHEN held + e.n > 280 AND s <= kid.j THEN e.c[e.j] - coalesce(e.c[greatest(s, e.tail) - 1], 0) ELSE held + e.n END,
+               CASE WHEN (e.n > 280 OR held + e.n > 280) AND s <= kid.j THEN s END, kid.j
+        FROM kid JOIN line e ON e.doc_id = kid.doc_id AND e.p = kid.p AND e.j = kid.j + 1),
+parts AS (SELECT doc_id, p, kid.j, 0 AS kind, 0 AS no, array_to_string(lines[f:t], chr(10)) AS content FROM kid JOIN own USING (doc_id, p) WHERE f IS NOT NULL
+          UNION ALL SELECT doc_id, p, kid.j + 1, 0, 0, array_to_string(lines[s:kid.j], chr(10)) FROM kid JOIN own USING (doc_id, p) WHERE kid.j = len(lines) AND s <= kid.j
+          UNION ALL SELECT doc_id, p, j, 1, no, {_trim("array_to_string(w[no * 240 + 1 : no * 240 + 280], '')")}
+                    FROM (SELECT *, unnest(generate_series(0, greatest(0, CAST(ceil((len(w) - 280) / 240.0) AS INTEGER)))) AS no FROM (SELECT doc_id, p, j, {_PIECES.replace('(text,', '(lines[j],')} AS w FROM line WHERE n > 280)))
+SELECT CAST(doc_id AS VARCHAR) AS document_id, p AS parent_no, CAST(row_number() OVER (PARTITION BY doc_id, p ORDER BY j, kind, no) - 1 AS INTEGER) AS child_no, content, left(lines[1], 80) AS context
+FROM parts JOIN own USING (doc_id, p) WHERE content <> ''"""
+
+_EVENTS = f"""WITH pieces AS (SELECT conv_id AS query_id, turn AS no, role = 'system' AS thought, text FROM conversations),
+said AS (SELECT query_id, no, text, regexp_replace(string_agg(text, '') OVER (PARTITION BY query_id ORDER BY no), '^{_S}+', '') AS t FROM pieces WHERE NOT thought AND text <> ''),
+settled AS (SELECT query_id, min(no) FILTER (t <> '' AND NOT starts_with('[知识库]', t) AND NOT starts_with('[模型]', t)) AS pos, max(no) AS last FROM said GROUP BY ALL),
+start AS (SELECT q.query_id, coalesce(pos, 1000000) AS pos, coalesce(t, '') AS t FROM (SELECT DISTINCT query_id FROM pieces) q LEFT JOIN settled USING (query_id) LEFT JOIN said ON said.query_id = q.query_id AND said.no = coalesce(pos, last)),
+parsed AS (SELECT query_id, pos, CASE WHEN starts_with(t, '[知识库]') THEN 'knowledge_base' ELSE 'model' END AS mode,
+             CASE WHEN starts_with(t, '[知识库]') THEN ltrim(t[6:], ' ' || chr(9) || chr(10) || chr(13)) WHEN starts_with(t, '[模型]') THEN ltrim(t[5:], ' ' || chr(9) || chr(10) || chr(13)) ELSE t END AS answer FROM start),
+rest AS (SELECT query_id, no, text FROM said JOIN parsed USING (query_id) WHERE no > pos),
+every AS (SELECT query_id, -1 AS no, 0 AS k, 'meta' AS type, CAST(NULL AS VARCHAR) AS text FROM parsed
+  UNION ALL SELECT query_id, no, 0, 'reasoning', text FROM pieces WHERE thought
+  UNION ALL SELECT query_id, pos, 1, 'mode', mode FROM parsed UNION ALL SELECT query_id, pos, 2, 'delta', answer FROM parsed WHERE answer <> ''
+  UNION ALL SELECT query_id, no, 1, 'delta', text FROM rest
+  UNION ALL SELECT query_id, 2000000, 0, 'end', answer || coalesce((SELECT string_agg(text, '' ORDER BY no) FROM rest r WHERE r.query_id = p.query_id), '') FROM parsed p)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY no, k) - 1 AS INTEGER) AS seq, type, text FROM every"""
+
 _FRAME_LIMIT = "CASE WHEN asked <= 0 THEN {d} ELSE least(asked, {m}) END"
 
 SQL = {
@@ -134,6 +186,11 @@ SELECT id, CAST(i - 1 AS INTEGER) AS no, p[i] AS paragraph FROM (SELECT id, p, u
     "sliding_split": f"""WITH t AS (SELECT doc_id, {_PIECES} AS p FROM documents),
 w AS (SELECT doc_id, p, unnest(generate_series(0, greatest(0, CAST(ceil((len(p) - 280) / 240.0) AS INTEGER)))) AS no FROM t WHERE len(p) > 0)
 SELECT doc_id, CAST(no AS INTEGER) AS no, {_trim("array_to_string(p[no * 240 + 1 : no * 240 + 280], '')")} AS piece FROM w""",
+    "parent_chunks": _PARENTS,
+    "child_chunks": _CHILDREN,
+    "answer_events": _EVENTS,
+    # of files with equal bytes the first by path is stored, with its hash; names without content have no chunk
+    "stream_ingest": "SELECT min('f' || doc_id || '.md') AS document_id, sha256(text) AS content_hash FROM documents GROUP BY text",
     "content_hash": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
     "dedup_first": "SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1 THEN 'accepted' ELSE 'skipped' END AS status FROM documents",
     "dedup_anti": "SELECT min(doc_id) AS doc_id FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE lang = 'de') GROUP BY text",
