@@ -25,6 +25,11 @@ GARBAGE_LENGTH = 6
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def named(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` has it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tokenize(text: Column) -> Column:
     """array<string>: runs of ASCII letters, digits, ``_`` and ``-``, lower-cased, and
     every Han character, followed by the pair it makes with a Han character right
@@ -113,6 +118,14 @@ def ocr_score(text: Column, confidence: Column) -> Column:
     return confidence * 100 + han * 2 - latin - garbage * 80
 
 
+def ocr_best(readings: Column) -> Column:
+    """Of an array<struct<text, confidence>> of one picture's readings in several layouts the
+    text of the most plausible; the first of equals, empty without any that isn't blank."""
+    told = F.filter(readings, lambda r: trim_space(r["text"]) != "")
+    scored = F.transform(told, lambda r, i: F.struct(ocr_score(r["text"], r["confidence"]).alias("score"), (-i).alias("place"), r["text"].alias("text")))
+    return F.coalesce(F.array_max(scored)["text"], F.lit(""))
+
+
 def ocr_normalize(text: Column) -> Column:
     """OCR text without garbage lines and without space between Han characters, and with a
     percent sign that was read as 9 put right."""

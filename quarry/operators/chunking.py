@@ -4,8 +4,12 @@ Budgets are greedy and reset, which no window function expresses: they are folds
 a section's ordered elements, and over a parent's lines, by ``aggregate`` in the JVM.
 Folds run within a section or a parent, so tasks never gather more than one of those.
 
-The counter of tokens is pluggable; the one here takes a run of Latin letters or
-digits, one Han character, or one other visible character as a token.
+Folds keep places of lines and elements, not their texts, which are cut out at the end.
+
+The counter of tokens is pluggable: it splits a whole array of texts at once, so it may
+also be a vectorized Python function (as a trained tokenizer is).  The one here takes a
+run of Latin letters or digits, one Han character, or one other visible character as a
+token.
 """
 
 from __future__ import annotations
@@ -18,13 +22,15 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import tag
 from ..functions.requests import is_blank
-from ..functions.text import trim_space
+from ..functions.text import named, trim_space
 from .cleaning import clean
 
 
 class TokenCounter(Protocol):
-    def tokens(self, text: Column) -> Column:
-        """array<string> whose strings, joined, are the text."""
+    def tokens(self, texts: Column) -> Column:
+        """array<array<string>> of an array<string>: for each text strings that, joined, are
+        the text, as many as it has tokens (some may be empty, where a token is a part of
+        a character)."""
 
 
 class RegexTokens:
@@ -32,8 +38,8 @@ class RegexTokens:
 
     PATTERN = r"(?U)\s*(?:[A-Za-z0-9_]+|\S)"
 
-    def tokens(self, text: Column) -> Column:
-        return F.regexp_extract_all(text, F.lit(self.PATTERN), F.lit(0))
+    def tokens(self, texts: Column) -> Column:
+        return F.transform(texts, lambda x: F.regexp_extract_all(x, F.lit(self.PATTERN), F.lit(0)))
 
 
 @dataclass(frozen=True)
@@ -48,74 +54,97 @@ class ChunkOptions:
     counter: TokenCounter = RegexTokens()
 
 
-_LINES = "array<struct<text:string,n:int>>"
-
-
-def split_long(text: Column, size: int, step: int, counter: TokenCounter = RegexTokens()) -> Column:
+def windows(tokens: Column, size: int, step: int) -> Column:
     """Windows of ``size`` tokens every ``step``; the window that reaches the end is last."""
-    tokens = counter.tokens(text)
     n = F.size(tokens)
     last = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(step)).cast("int")) * step
     pieces = F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda i: trim_space(F.array_join(F.slice(tokens, i + 1, size), "")))
     return F.when(n > 0, F.filter(pieces, lambda p: p != "")).otherwise(F.array().cast("array<string>"))
 
 
+def split_long(text: Column, size: int, step: int, counter: TokenCounter = RegexTokens()) -> Column:
+    """The windows of a text."""
+    return named(counter.tokens(F.array(text)), lambda t: windows(t[0], size, step))
+
+
 def split_tokens(text: Column, most: int, counter: TokenCounter = RegexTokens()) -> Column:
     """Pieces of at most ``most`` tokens, without overlap."""
     return split_long(text, most, most, counter)
 
 
-def split_children(parent: Column, options: ChunkOptions = ChunkOptions()) -> Column:
-    """array<string>: the parent's lines packed into children of at most the budget.
+def lines_of(parent: Column) -> Column:
+    """The trimmed lines of a parent that aren't empty."""
+    return F.filter(F.transform(F.split(parent, "\n", -1), trim_space), lambda x: x != "")
+
+
+def pack_children(lines: Column, tokens: Column, options: ChunkOptions = ChunkOptions()) -> Column:
+    """array<string>: lines, each with its tokens, packed into children of at most the budget.
 
     A full child leaves its last lines, up to the overlap, to the next one (which may then
     exceed the budget by them); a line above the budget is cut into windows, without
     overlap before or after it."""
     size, overlap = options.child_tokens, options.overlap_tokens
-    trimmed = F.filter(F.transform(F.split(parent, "\n", -1), trim_space), lambda x: x != "")
-    counted = F.transform(trimmed, lambda x: F.struct(x.alias("text"), F.greatest(F.lit(1), F.size(options.counter.tokens(x))).alias("n")))
-    none = F.array().cast(_LINES)
-    start = F.struct(F.array().cast("array<string>").alias("out"), none.alias("held"), F.lit(0).alias("n"))
-    text_of = lambda held: F.array_join(F.transform(held, lambda x: x["text"]), "\n")
-    put = lambda out, held: F.when(F.size(held) > 0, F.concat(out, F.array(text_of(held)))).otherwise(out)
-
-    def tail(held: Column) -> Column:
-        """The last lines, taken until they have the overlap."""
-        begin = F.struct(none.alias("kept"), F.lit(0).alias("n"))
-        take = lambda s, x: F.when(s["n"] < overlap, F.struct(F.concat(F.array(x), s["kept"]).alias("kept"), (s["n"] + x["n"]).alias("n"))).otherwise(s)
-        return F.aggregate(F.reverse(held), begin, take)
+    cost = lambda i: F.greatest(F.lit(1), F.size(F.get(tokens, i)))
+    # out: runs (first, last) of lines, last -1 for one that is cut by itself; a child holds the lines from start to at - 1
+    state = lambda out, at, start, n: F.struct(out.alias("out"), at.alias("at"), start.alias("start"), n.alias("n"))
+    run = lambda first, last: F.array(F.struct(first.alias("first"), last.alias("last")))
+    begin = state(F.array().cast("array<struct<first:int,last:int>>"), F.lit(0), F.lit(0), F.lit(0))
+    put = lambda s: F.when(s["start"] < s["at"], F.concat(s["out"], run(s["start"], s["at"] - 1))).otherwise(s["out"])
+
+    def tail(s: Column) -> Column:
+        """Where the last lines begin that have the overlap, and their tokens."""
+        take = lambda k, i: F.when(k["n"] < overlap, F.struct(i.alias("first"), (k["n"] + cost(i)).alias("n"))).otherwise(k)
+        return F.aggregate(F.sequence(s["at"] - 1, s["start"], F.lit(-1)), F.struct(s["at"].alias("first"), F.lit(0).alias("n")), take)
+
+    def step(s: Column, i: Column) -> Column:
+        n, after = cost(i), s["at"] + 1
+        lone = state(F.concat(put(s), run(i, F.lit(-1))), after, after, F.lit(0))
+        full = named(tail(s), lambda k: state(put(s), after, k["first"], k["n"] + n))
+        more = state(s["out"], after, s["start"], s["n"] + n)
+        return F.when(n > size, lone).when((s["n"] + n > size) & (s["start"] < s["at"]), full).otherwise(more)
+
+    places = F.when(F.size(lines) > 0, F.sequence(F.lit(0), F.size(lines) - 1)).otherwise(F.array().cast("array<int>"))
+    text = lambda r: F.when(r["last"] < 0, windows(F.get(tokens, r["first"]), size, max(1, size - overlap))).otherwise(F.array(F.array_join(F.slice(lines, r["first"] + 1, r["last"] - r["first"] + 1), "\n")))
+    return F.flatten(F.transform(F.aggregate(places, begin, step, put), text))
 
-    def step(s: Column, x: Column) -> Column:
-        lone = F.struct(F.concat(put(s["out"], s["held"]), split_long(x["text"], size, max(1, size - overlap), options.counter)).alias("out"), none.alias("held"), F.lit(0).alias("n"))
-        kept = tail(s["held"])
-        full = F.struct(put(s["out"], s["held"]).alias("out"), F.concat(kept["kept"], F.array(x)).alias("held"), (kept["n"] + x["n"]).alias("n"))
-        more = F.struct(s["out"].alias("out"), F.concat(s["held"], F.array(x)).alias("held"), (s["n"] + x["n"]).alias("n"))
-        return F.when(x["n"] > size, lone).when((s["n"] + x["n"] > size) & (F.size(s["held"]) > 0), full).otherwise(more)
 
-    return F.aggregate(counted, start, step, lambda s: put(s["out"], s["held"]))
+def split_children(parent: Column, options: ChunkOptions = ChunkOptions()) -> Column:
+    """The children of a parent's text, with a counter of built-in expressions."""
+    return named(lines_of(parent), lambda x: named(options.counter.tokens(x), lambda t: pack_children(x, t, options)))
 
 
-def split_parents(elements: Column, options: ChunkOptions = ChunkOptions()) -> Column:
-    """array<struct<heading, text>> from a section's ordered array<struct<kind, text>>.
+def pack_parents(elements: Column, tokens: Column, options: ChunkOptions = ChunkOptions()) -> Column:
+    """array<struct<heading, text>> from a section's ordered array<struct<kind, text>>, each
+    element with its tokens.
 
     A heading starts a parent and is its first line; so does an element that the budget
     has no room for, under the heading before it but without its line."""
-    counted = F.transform(elements, lambda e: F.struct((e["kind"] == "header").alias("head"), F.coalesce(e["text"], F.lit("")).alias("text"), F.greatest(F.lit(1), F.size(options.counter.tokens(F.coalesce(e["text"], F.lit(""))))).alias("n")))
-    none = F.array().cast("array<string>")
-    out_type = "array<struct<heading:string,text:string>>"
-    start = F.struct(F.array().cast(out_type).alias("out"), none.alias("held"), F.lit(0).alias("n"), F.lit("").alias("heading"))
-    put = lambda s: F.when(F.size(s["held"]) > 0, F.concat(s["out"], F.array(F.struct(s["heading"].alias("heading"), F.array_join(s["held"], "\n").alias("text"))))).otherwise(s["out"])
+    words = lambda i: F.coalesce(F.get(elements, i)["text"], F.lit(""))
+    cost = lambda i: F.greatest(F.lit(1), F.size(F.get(tokens, i)))
+    # out: the place of a parent's heading (-1 without one), of its first element and of its last
+    state = lambda out, head, first, last, n: F.struct(out.alias("out"), head.alias("head"), first.alias("first"), last.alias("last"), n.alias("n"))
+    put = lambda s: F.when(s["n"] > 0, F.concat(s["out"], F.array(F.struct(s["head"].alias("head"), s["first"].alias("first"), s["last"].alias("last"))))).otherwise(s["out"])
+    none = F.lit(-1)
+    begin = state(F.array().cast("array<struct<head:int,first:int,last:int>>"), none, none, none, F.lit(0))
+
+    def step(s: Column, i: Column) -> Column:
+        n, blank = cost(i), is_blank(words(i))
+        head = state(put(s), i, i, i, F.when(blank, F.lit(0)).otherwise(n))
+        full = state(put(s), s["head"], i, i, n)
+        more = state(s["out"], s["head"], F.when(s["n"] > 0, s["first"]).otherwise(i), i, s["n"] + n)
+        over = (s["n"] + n > options.parent_tokens) & (s["n"] > 0)
+        return F.when(F.get(elements, i)["kind"] == "header", head).when(blank, s).when(over, full).otherwise(more)
+
+    places = F.when(F.size(elements) > 0, F.sequence(F.lit(0), F.size(elements) - 1)).otherwise(F.array().cast("array<int>"))
+    held = lambda r: F.filter(F.transform(F.slice(elements, r["first"] + 1, r["last"] - r["first"] + 1), lambda e: F.coalesce(e["text"], F.lit(""))), lambda x: ~is_blank(x))
+    parent = lambda r: F.struct(F.when(r["head"] >= 0, words(r["head"])).otherwise("").alias("heading"), F.array_join(held(r), "\n").alias("text"))
+    return F.transform(F.aggregate(places, begin, step, put), parent)
 
-    def step(s: Column, e: Column) -> Column:
-        state = lambda out, held, n, heading: F.struct(out.alias("out"), held.alias("held"), n.alias("n"), heading.alias("heading"))
-        blank = is_blank(e["text"])
-        head = state(put(s), F.when(blank, none).otherwise(F.array(e["text"])), F.when(blank, F.lit(0)).otherwise(e["n"]), e["text"])
-        full = state(put(s), F.array(e["text"]), e["n"], s["heading"])
-        more = state(s["out"], F.concat(s["held"], F.array(e["text"])), s["n"] + e["n"], s["heading"])
-        over = (s["n"] + e["n"] > options.parent_tokens) & (F.size(s["held"]) > 0)
-        return F.when(e["head"], head).when(blank, s).when(over, full).otherwise(more)
 
-    return F.aggregate(counted, start, step, put)
+def split_parents(elements: Column, options: ChunkOptions = ChunkOptions()) -> Column:
+    """The parents of a section's elements, with a counter of built-in expressions."""
+    texts = F.transform(elements, lambda e: F.coalesce(e["text"], F.lit("")))
+    return named(options.counter.tokens(texts), lambda t: pack_parents(elements, t, options))
 
 
 def title_of(heading: Column, parent: Column, length: int = 80) -> Column:
@@ -126,7 +155,9 @@ def title_of(heading: Column, parent: Column, length: int = 80) -> Column:
 def parent_chunks(elements: DataFrame, options: ChunkOptions = ChunkOptions()) -> DataFrame:
     """document_id, section_no, page_number, parent_no, parent_id, title, text."""
     rows = elements.groupBy("document_id", "section_no").agg(F.min("page_number").alias("page_number"), F.array_sort(F.collect_list(F.struct("element_no", "kind", "text"))).alias("elements"))
-    parents = rows.select("document_id", "section_no", "page_number", F.posexplode(split_parents(F.col("elements"), options)).alias("parent_no", "p"))
+    # tokens are a column of their own, so that a counter may be a Python function
+    counted = rows.withColumn("tokens", options.counter.tokens(F.transform("elements", lambda e: F.coalesce(e["text"], F.lit("")))))
+    parents = counted.select("document_id", "section_no", "page_number", F.posexplode(pack_parents(F.col("elements"), F.col("tokens"), options)).alias("parent_no", "p"))
     key = F.sha2(F.concat_ws("\n", "document_id", F.col("section_no").cast("string"), F.col("parent_no").cast("string")), 256)
     return parents.select("document_id", "section_no", "page_number", "parent_no", key.alias("parent_id"), title_of(F.col("p.heading"), F.col("p.text"), options.title_length).alias("title"), F.col("p.text").alias("text"))
 
@@ -134,8 +165,9 @@ def parent_chunks(elements: DataFrame, options: ChunkOptions = ChunkOptions()) -
 def chunk(elements: DataFrame, options: ChunkOptions = ChunkOptions(), cleaned: bool = False) -> DataFrame:
     """Elements -> chunks: cleaned, packed into parents and children, tagged.  Ids follow
     from document and ordinals, so the same input gives the same chunks."""
-    parents = parent_chunks(elements if cleaned else clean(elements), options)
-    rows = parents.select("*", F.posexplode(split_children(F.col("text"), options)).alias("child_no", "content"))
+    parents = parent_chunks(elements if cleaned else clean(elements), options).withColumn("lines", lines_of(F.col("text")))
+    counted = parents.withColumn("tokens", options.counter.tokens(F.col("lines")))
+    rows = counted.select("*", F.posexplode(pack_children(F.col("lines"), F.col("tokens"), options)).alias("child_no", "content"))
     key = F.sha2(F.concat_ws("\n", "parent_id", F.col("child_no").cast("string")), 256)
     return rows.select(
         key.alias("chunk_id"), "document_id", "section_no", "parent_no", "child_no", "parent_id", F.left("text", F.lit(options.parent_length)).alias("parent_text"), "content",

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from .values import VALUES
+from ..functions.lexicon import ALIASES, CANONICAL, MOST_TAGS, MOST_TERMS
+from ..functions.requests import EXTENSIONS, MEDIA_TYPES
+from .values import duck_input
 
 _WORDS = "regexp_extract_all({}, '[A-Za-z0-9_-]+')"
 
 
 def _values(name: str, alias: str = "v") -> str:
-    return f"{alias}({VALUES[name][0]}) AS (VALUES {VALUES[name][1]})"
+    return f"{alias} AS ({duck_input(name)})"
+
+
+def _list(values: list[str]) -> str:
+    return "[" + ", ".join("'" + x + "'" for x in values) + "]"
 
 
 # Unicode white space as RE2 needs it spelled out.
@@ -144,6 +150,46 @@ every AS (SELECT query_id, -1 AS no, 0 AS k, 'meta' AS type, CAST(NULL AS VARCHA
   UNION ALL SELECT query_id, 2000000, 0, 'end', answer || coalesce((SELECT string_agg(text, '' ORDER BY no) FROM rest r WHERE r.query_id = p.query_id), '') FROM parsed p)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY no, k) - 1 AS INTEGER) AS seq, type, text FROM every"""
 
+_HAN = r"[\x{4e00}-\x{9fff}]"
+
+# Short lines that stand on many pages of a document, but for long ones with a clinical word.
+_REPEATS = f"""{_values('page_elements')},
+ok AS (SELECT document_id FROM v WHERE page_number > 0 GROUP BY ALL HAVING count(DISTINCT section_no) >= 3),
+keys AS (SELECT DISTINCT document_id, section_no, lower({_collapse('line')}) AS key FROM (SELECT document_id, section_no, unnest({_lines('text')}) AS line FROM v WHERE page_number > 0 AND document_id IN (FROM ok))),
+short AS (SELECT * FROM keys WHERE length(key) BETWEEN 2 AND 40),
+pages AS (SELECT document_id, count(DISTINCT section_no) AS n_pages FROM short GROUP BY ALL),
+found AS (SELECT document_id, key FROM short JOIN pages USING (document_id) WHERE NOT (length(key) > 24 AND regexp_matches(key, '治疗|诊断|患者')) GROUP BY document_id, key, n_pages HAVING count(*) >= greatest(3, ceil(n_pages * 0.4)))"""
+
+# Names in a text by length, names by an alias, drug forms; each once, at its first place.
+_TAGS = f"""{_values('questions')},
+t AS (SELECT id, coalesce(txt, '') AS t FROM v),
+names AS (SELECT unnest({_list(sorted(CANONICAL, key=len, reverse=True))}) AS tag, unnest(generate_series(1, {len(CANONICAL)})) AS k),
+known AS (SELECT unnest([{", ".join("{'tag': '" + k + "', 'aliases': " + _list(v) + ", 'k': " + str(1000 + i) + "}" for i, (k, v) in enumerate(ALIASES.items()))}], recursive := true)),
+drugs AS (SELECT id, list_filter(regexp_extract_all(t, '{_HAN}{{2,6}}(?:片|胶囊|注射液|缓释片|控释片)'), lambda x: length(x) BETWEEN 3 AND 10) AS d FROM t),
+every AS (SELECT id, tag, k FROM t JOIN names ON contains(t, tag) UNION ALL SELECT id, tag, k FROM t JOIN known ON len(list_filter(aliases, lambda a: contains(t, a))) > 0
+          UNION ALL SELECT id, d[i], 2000 + i FROM (SELECT id, d, unnest(generate_series(1, len(d))) AS i FROM drugs)),
+tags AS (SELECT * FROM (SELECT id, tag, CAST(row_number() OVER (PARTITION BY id ORDER BY min(k)) - 1 AS INTEGER) AS no FROM every GROUP BY id, tag) WHERE no < {MOST_TAGS})"""
+
+
+def _more() -> str:
+    """What tags add, as list elements: names their aliases, aliases their name and its aliases."""
+    rows = {name: list(aliases) for name, aliases in ALIASES.items()}
+    for name, aliases in ALIASES.items():
+        for a in aliases:
+            rows.setdefault(a, []).extend([name, *aliases])
+    return ", ".join("{'key': '" + k + "', 'list': " + _list(v) + "}" for k, v in rows.items())
+
+
+_EXPANSIONS = _more()
+
+
+def _json_text(x: str) -> str:
+    """Text of a JSON string, of an array's parts, or of an object's text, content and reasoning."""
+    of = lambda e, k: f"coalesce(CASE WHEN json_type({e}->'$.{k}') = 'VARCHAR' THEN {e}->>'$.{k}' WHEN json_type({e}->'$.{k}') = 'ARRAY' THEN array_to_string(list_filter(list_transform(CAST({e}->'$.{k}' AS JSON[]), lambda y: CASE WHEN json_type(y) = 'VARCHAR' THEN y->>'$' END), lambda y: y IS NOT NULL), '') END, '')"
+    part = f"CASE json_type(e) WHEN 'VARCHAR' THEN e->>'$' WHEN 'OBJECT' THEN {of('e', 'text')} || {of('e', 'content')} ELSE '' END"
+    return f"coalesce(CASE json_type({x}) WHEN 'VARCHAR' THEN {x}->>'$' WHEN 'ARRAY' THEN array_to_string(list_transform(CAST({x} AS JSON[]), lambda e: {part}), '') WHEN 'OBJECT' THEN {of(f'({x})', 'text')} || {of(f'({x})', 'content')} || {of(f'({x})', 'reasoning_content')} ELSE '' END, '')"
+
+
 _FRAME_LIMIT = "CASE WHEN asked <= 0 THEN {d} ELSE least(asked, {m}) END"
 
 SQL = {
@@ -158,7 +204,7 @@ SELECT id, token, count(*) AS n FROM every GROUP BY ALL""",
     "doc_freq": f"WITH {_POSTINGS} SELECT term, df FROM freq",
     "corpus_stats": f"WITH {_POSTINGS} SELECT n, round(avgdl, 6) AS avgdl FROM stats",
     "bm25_batch": f"WITH {_BATCH}, {_POSTINGS}, {_bm25(10)} SELECT * FROM words",
-    "bm25_topk": f"WITH one(query_id, text) AS (VALUES {VALUES['one_query'][1]}), q AS (SELECT query_id, text, NULL AS wanted FROM one), {_POSTINGS}, {_bm25(50)} SELECT * FROM words",
+    "bm25_topk": f"WITH {_BATCH}, {_POSTINGS}, {_bm25(50)} SELECT * FROM words",
     "bm25_filtered": f"WITH q AS (SELECT item_id AS query_id, text, 'src3' AS wanted FROM benchmark), {_POSTINGS}, {_bm25(10)} SELECT * FROM words",
     "vector_batch": f"WITH {_BATCH}, {_near(10, _LABELS)} SELECT * FROM near",
     "vector_topk": f"WITH {_BATCH}, {_near(50, _LABELS)} SELECT * FROM near",
@@ -174,12 +220,37 @@ SELECT query_id, mode, rnk, chunk_id, source AS document_id, score FROM hits JOI
     "collapse_space": f"SELECT doc_id, {_collapse('text')} AS text FROM documents",
     "visible_chars": f"SELECT doc_id, CAST(n AS INTEGER) AS n, n >= 40 AS usable FROM (SELECT doc_id, length(regexp_replace(text, '{_S[:-1]}\\x00-\\x1f\\x7f-\\x{{9f}}]', '', 'g')) AS n FROM documents)",
     "page_line_filter": f"WITH {_values('page_lines')} SELECT id, regexp_matches({_collapse('line')}, '{_PAGE}') AS is_page FROM v",
-    "repeating_lines": f"""WITH {_values('page_elements')},
-ok AS (SELECT document_id FROM v WHERE page_number > 0 GROUP BY ALL HAVING count(DISTINCT section_no) >= 3),
-keys AS (SELECT DISTINCT document_id, section_no, lower({_collapse('line')}) AS key FROM (SELECT document_id, section_no, unnest({_lines('text')}) AS line FROM v WHERE page_number > 0 AND document_id IN (FROM ok))),
-short AS (SELECT * FROM keys WHERE length(key) BETWEEN 2 AND 40),
-pages AS (SELECT document_id, count(DISTINCT section_no) AS n_pages FROM short GROUP BY ALL)
-SELECT document_id, key FROM short JOIN pages USING (document_id) GROUP BY document_id, key, n_pages HAVING count(*) >= greatest(3, ceil(n_pages * 0.4))""",
+    "repeating_lines": f"WITH {_REPEATS} SELECT document_id, key FROM found",
+    "clean_elements": f"""WITH {_REPEATS},
+every AS (SELECT document_id, list(key) AS keys FROM found GROUP BY ALL),
+done AS (SELECT document_id, section_no, element_no, {_clean('text', "coalesce(keys, CAST([] AS VARCHAR[]))")} AS text FROM v LEFT JOIN every USING (document_id) WHERE NOT {_BLANK})
+SELECT * FROM done WHERE NOT {_BLANK}""",
+    "entity_tag": f"WITH {_TAGS} SELECT id, no, tag FROM tags",
+    "expand_query": f"""WITH {_TAGS},
+more AS (SELECT unnest([{_EXPANSIONS}], recursive := true)),
+terms AS (SELECT id, no, 0 AS j, tag AS term FROM tags UNION ALL SELECT id, no, j, list[j] FROM (SELECT id, no, list, unnest(generate_series(1, len(list))) AS j FROM tags JOIN more ON key = tag)),
+fresh AS (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY min(no * 100 + j)) AS n FROM terms JOIN v USING (id) WHERE term <> '' AND NOT contains(txt, term) GROUP BY id, term),
+added AS (SELECT id, string_agg(term, ' ' ORDER BY n) AS t FROM fresh WHERE n <= {MOST_TERMS} GROUP BY ALL)
+SELECT id, CASE WHEN t IS NULL THEN txt ELSE txt || ' ' || t END AS expanded FROM v LEFT JOIN added USING (id)""",
+    "accept_files": f"""WITH {_values('uploads')},
+t AS (SELECT file_no, regexp_extract(file_name, '[^/]+$') AS name, lower(regexp_extract(regexp_extract(file_name, '[^/]+$'), '\\.[^./]+$')) AS extension FROM v)
+SELECT file_no, CASE WHEN name <> '' AND NOT starts_with(name, '.') AND list_contains({_list(EXTENSIONS)}, extension) THEN 'accepted' ELSE 'rejected' END AS status, extension,
+  CASE extension {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in MEDIA_TYPES.items())} ELSE '-' END AS media_type FROM t""",
+    "ocr_scores": f"""WITH {_values('ocr_texts')},
+l AS (SELECT id, txt, confidence, list_transform({_lines('txt')}, lambda x: {_trim('x')}) AS lines FROM v),
+g AS (SELECT *, list_filter(lines, lambda x: NOT (length(x) >= 6 AND NOT regexp_matches(x, '{_HAN}') AND len(regexp_extract_all(x, '[A-Za-z]')) >= 6)) AS good FROM l),
+j AS (SELECT *, {_trim("regexp_replace(array_to_string(good, chr(10)), '\\n{3,}', chr(10) || chr(10), 'g')")} AS t FROM g)
+SELECT id, round(confidence * 100 + 2 * len(regexp_extract_all(txt, '{_HAN}')) - len(regexp_extract_all(txt, '[A-Za-z]')) - 80 * (len(lines) - len(good)), 6) AS score,
+  regexp_replace(regexp_replace(regexp_replace(t, '({_HAN}){_S}+({_HAN})', '\\1\\2', 'g'), '({_HAN}){_S}+({_HAN})', '\\1\\2', 'g'), '不超过([1-9]\\d)9([。．]|$)', '不超过\\1%\\2', 'g') AS text FROM j""",
+    "delta_extract": f"""WITH {_values('stream_lines')},
+t AS (SELECT id, regexp_replace({_trim('line')}, '(?i)^data:', '') AS p FROM v),
+j AS (SELECT id, CASE WHEN {_trim('p')} NOT IN ('', '[DONE]') AND json_valid({_trim('p')}) THEN CAST({_trim('p')} AS JSON) END AS j FROM t),
+c AS (SELECT id, j, {_json_text("j->'$.choices[0].delta.content'")} || {_json_text("j->'$.choices[0].delta.text'")} AS a, {_json_text("j->'$.choices[0].message.content'")} || {_json_text("j->'$.choices[0].message.text'")} AS b, {_json_text("j->'$.content'")} || {_json_text("j->'$.output_text'")} AS c,
+       {_json_text("j->'$.choices[0].delta.reasoning_content'")} || {_json_text("j->'$.choices[0].delta.reasoning'")} AS d, {_json_text("j->'$.choices[0].message.reasoning_content'")} || {_json_text("j->'$.choices[0].message.reasoning'")} AS e, {_json_text("j->'$.reasoning_content'")} AS f FROM j)
+SELECT id, CASE WHEN a <> '' THEN a WHEN b <> '' THEN b ELSE c END AS content, CASE WHEN d <> '' THEN d WHEN e <> '' THEN e ELSE f END AS reasoning, j IS NOT NULL AS valid FROM c""",
+    "finish_rewrite": f"""WITH {_values('stream_lines')},
+t AS (SELECT id, CASE WHEN contains(line, 'tool_call') THEN regexp_replace(line, '"type"\\s*:\\s*(""|null)', '"type":"function"', 'g') ELSE line END AS line FROM v)
+SELECT id, CASE WHEN regexp_matches(line, '(?i)"finish_reason"\\s*:\\s*"(stop|length|tool_calls|function_call|content_filter)') THEN line ELSE regexp_replace(line, '"finish_reason"\\s*:\\s*"[^"]*"', '"finish_reason":"stop"', 'g') END AS line FROM t""",
     "paragraphs": f"""WITH {_values('blocks')},
 parts AS (SELECT id, list_filter(list_transform(regexp_split_to_array(array_to_string(list_transform({_lines("coalesce(txt, '')")}, lambda l: {_trim('l')}), chr(10)), '\\n{{2,}}'), lambda p: trim(p, chr(10))), lambda p: p <> '') AS p FROM v)
 SELECT id, CAST(i - 1 AS INTEGER) AS no, p[i] AS paragraph FROM (SELECT id, p, unnest(generate_series(1, len(p))) AS i FROM parts)""",
@@ -230,37 +301,8 @@ SELECT id, CASE WHEN lower(trim(mode)) IN ('vector', 'hybrid') THEN lower(trim(m
 j AS (SELECT request_id, r.platform, channel, origin, s.* EXCLUDE (platform), enabled AND package_url IN (SELECT path FROM p) AS ok FROM r JOIN s ON s.platform = CASE WHEN lower(coalesce(r.platform, '')) = 'win32-x64' THEN 'win32-x64' ELSE 'win-x64' END)
 SELECT request_id, CASE WHEN ok THEN latest_version ELSE '' END AS latest_version, CASE WHEN ok THEN origin || package_url ELSE '' END AS package_url,
   CASE WHEN NOT ok THEN '' WHEN coalesce(platform, '') = '' THEN 'win-x64' ELSE platform END AS platform, CASE WHEN NOT ok THEN '' WHEN coalesce(channel, '') = '' THEN 'stable' ELSE channel END AS channel, ok AND force_update AS force_update FROM j""",
-    "table_markdown": """SELECT id, markdown FROM (VALUES (1, '| h1 | h2 |' || chr(10) || '| --- | --- |' || chr(10) || '| a | b |' || chr(10) || '| c |  |' || chr(10)),
-  (2, '| only | row |' || chr(10) || '| --- | --- |' || chr(10) || '| only | row |' || chr(10))) t(id, markdown)""",
-}
-
-
-def _literal_rows(columns: str, rows: str) -> str:
-    return f"SELECT * FROM (VALUES {rows}) t({columns})"
-
-
-#: Results worked out by hand from the rules, where SQL would only repeat the operator.
-SQL |= {
-    "clean_elements": _literal_rows(
-        "document_id, section_no, element_no, text",
-        """('a', 0, 0, 'first text'), ('a', 0, 1, 'body'), ('a', 1, 0, 'second text'), ('a', 2, 0, 'third text'), ('a', 3, 0, 'x'), ('a', 4, 0, 'only here'),
-('b', 0, 0, 'same'), ('b', 1, 0, 'same'), ('c', 0, 0, 'same'), ('c', 1, 0, 'same'), ('c', 2, 0, 'same')""",
-    ),
-    "entity_tag": _literal_rows("id, no, tag", "(1, 0, '心力衰竭'), (2, 0, '高血压急症'), (2, 1, '高血压'), (3, 0, '硝苯地平'), (3, 1, '呋塞米'), (3, 2, '服用硝苯地平控释片'), (3, 3, '及呋塞米注射液'), (5, 0, 'MRI'), (5, 1, 'CT')"),
-    "expand_query": _literal_rows(
-        "id, expanded",
-        "(1, '心衰怎么治 心力衰竭 慢性心衰 CHF'), (2, '高血压急症 高血压危象 高血压危症 高血压病 原发性高血压'), (3, '服用硝苯地平控释片 及呋塞米注射液 硝苯啶 速尿 呋喃苯胺酸'), (4, 'hello'), (5, 'CT 与 MRI 检查'), (6, '')",
-    ),
-    "accept_files": _literal_rows(
-        "file_no, status, extension, media_type",
-        """(1, 'accepted', '.pdf', '-'), (2, 'accepted', '.docx', 'application/vnd.openxmlformats-officedocument.wordprocessingml.document'), (3, 'rejected', '.md', 'text/markdown'), (4, 'rejected', '.txt', '-'),
-(5, 'accepted', '.tiff', 'image/tiff'), (6, 'rejected', '', '-'), (7, 'accepted', '.md', 'text/markdown'), (8, 'rejected', '', '-')""",
-    ),
-    "ocr_scores": _literal_rows("id, score, text", "(1, 6.0::DOUBLE, '高血压患者' || '不超过25%'), (2, 47.0, 'abc'), (3, 104.0, '用药每日不超过25%。'), (4, 10.0, '')"),
-    "delta_extract": _literal_rows(
-        "id, content, reasoning, valid",
-        "(1, 'ab', '', true), (2, 'm', '', true), (3, '', '', false), (4, '', '', false), (5, 'root!', '', true), (6, '', 'why', true), (7, '', '', false), (8, '', '', true), (9, 't', '', true)",
-    ),
-    "finish_rewrite": f"""WITH {_values('stream_lines')}
-SELECT id, CASE id WHEN 2 THEN replace(line, 'weird', 'stop') WHEN 8 THEN replace(line, '"type":""', '"type":"function"') WHEN 9 THEN replace(line, '"finish_reason": "abort"', '"finish_reason":"stop"') ELSE line END AS line FROM v""",
+    "table_markdown": f"""WITH {_values('cells')},
+c AS (SELECT id, row_no, string_split(cells, ';') AS c, max(len(string_split(cells, ';'))) OVER (PARTITION BY id) AS w, count(*) OVER (PARTITION BY id) AS n FROM v),
+r AS (SELECT id, row_no, w, n, '| ' || array_to_string(list_resize(c, w, ''), ' | ') || ' |' || chr(10) AS line FROM c)
+SELECT id, max(line) FILTER (row_no = 1) || '|' || repeat(' --- |', any_value(w)) || chr(10) || coalesce(string_agg(line, '' ORDER BY row_no) FILTER (row_no > 1 OR n = 1), '') AS markdown FROM r GROUP BY id""",
 }

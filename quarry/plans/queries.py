@@ -17,7 +17,7 @@ from ..functions import text as T
 from ..operators import answer, catalog, chunking, cleaning, index, ingest, manifest, search
 from ..operators.vector import vector
 from ..sources import tables
-from .values import VALUES
+from .values import INPUTS
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,8 +29,10 @@ def _texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spread(_t(spark, sf_dir, "documents").select(*columns))
 
 
-def values(spark: SparkSession, name: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM (VALUES {VALUES[name][1]}) AS t({VALUES[name][0]})")
+def values(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derived input over all rows of its table."""
+    tables = {t: _t(spark, sf_dir, t) for t in ("documents", "conversations") if f"{{{t}}}" in INPUTS[name]}
+    return spark.sql(INPUTS[name], **tables) if tables else spark.sql(INPUTS[name])
 
 
 def chunks(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFrame:
@@ -60,7 +62,7 @@ def tokenize_terms(spark, sf_dir):
 
 
 def tokenize_han(spark, sf_dir):
-    rows = values(spark, "mixed_texts").select("id", F.explode(T.tokenize(F.col("txt"))).alias("token"))
+    rows = values(spark, sf_dir, "mixed_texts").select("id", F.explode(T.tokenize(F.col("txt"))).alias("token"))
     return rows.groupBy("id", "token").agg(F.count("*").alias("n"))
 
 
@@ -81,8 +83,7 @@ def bm25_batch(spark, sf_dir):
 
 
 def bm25_topk(spark, sf_dir):
-    one = values(spark, "one_query").select("query_id", "text")
-    return index.bm25(one, kept_index(spark, sf_dir), 50)
+    return index.bm25(batch(spark, sf_dir), kept_index(spark, sf_dir), 50)
 
 
 def bm25_filtered(spark, sf_dir):
@@ -143,11 +144,11 @@ def clean_text(spark, sf_dir):
 
 
 def clean_elements(spark, sf_dir):
-    return cleaning.clean(values(spark, "page_elements")).select("document_id", "section_no", "element_no", "text")
+    return cleaning.clean(values(spark, sf_dir, "page_elements")).select("document_id", "section_no", "element_no", "text")
 
 
 def repeating_lines(spark, sf_dir):
-    return cleaning.repeating_lines(values(spark, "page_elements"))
+    return cleaning.repeating_lines(values(spark, sf_dir, "page_elements"))
 
 
 def collapse_space(spark, sf_dir):
@@ -159,15 +160,15 @@ def visible_chars(spark, sf_dir):
 
 
 def page_line_filter(spark, sf_dir):
-    return values(spark, "page_lines").select("id", T.is_page_line(T.collapse_space(F.col("line"))).alias("is_page"))
+    return values(spark, sf_dir, "page_lines").select("id", T.is_page_line(T.collapse_space(F.col("line"))).alias("is_page"))
 
 
 def paragraphs(spark, sf_dir):
-    return values(spark, "blocks").select("id", F.posexplode(T.paragraphs(F.col("txt"))).alias("no", "paragraph"))
+    return values(spark, sf_dir, "blocks").select("id", F.posexplode(T.paragraphs(F.col("txt"))).alias("no", "paragraph"))
 
 
 def ocr_scores(spark, sf_dir):
-    return values(spark, "ocr_texts").select("id", F.round(T.ocr_score(F.col("txt"), F.col("confidence").cast("double")), 6).alias("score"), T.ocr_normalize(F.col("txt")).alias("text"))
+    return values(spark, sf_dir, "ocr_texts").select("id", F.round(T.ocr_score(F.col("txt"), F.col("confidence").cast("double")), 6).alias("score"), T.ocr_normalize(F.col("txt")).alias("text"))
 
 
 def _elements(spark, sf_dir):
@@ -190,11 +191,11 @@ def sliding_split(spark, sf_dir):
 
 
 def entity_tag(spark, sf_dir):
-    return values(spark, "questions").select("id", F.posexplode(lexicon.tag(F.col("txt"))).alias("no", "tag"))
+    return values(spark, sf_dir, "questions").select("id", F.posexplode(lexicon.tag(F.col("txt"))).alias("no", "tag"))
 
 
 def expand_query(spark, sf_dir):
-    return values(spark, "questions").select("id", lexicon.expand_query(F.col("txt")).alias("expanded"))
+    return values(spark, sf_dir, "questions").select("id", lexicon.expand_query(F.col("txt")).alias("expanded"))
 
 
 def _files(spark, sf_dir):
@@ -239,17 +240,17 @@ def catalog_delete(spark, sf_dir):
 
 
 def task_rollup(spark, sf_dir):
-    log = values(spark, "log").withColumn("event_ts", F.to_timestamp("event_ts"))
+    log = values(spark, sf_dir, "log").withColumn("event_ts", F.to_timestamp("event_ts"))
     return ingest.tasks(log).select("task_id", "total_files", "processed_files", "status")
 
 
 def accept_files(spark, sf_dir):
-    rows = values(spark, "uploads").withColumn("content", F.encode("file_name", "UTF-8"))
+    rows = values(spark, sf_dir, "uploads").withColumn("content", F.encode("file_name", "UTF-8"))
     return ingest.accept(rows).select("file_no", "status", requests.extension(F.col("file_name")).alias("extension"), F.coalesce(requests.media_type(F.col("file_name")), F.lit("-")).alias("media_type"))
 
 
 def citations(spark, sf_dir):
-    hits = values(spark, "hits").select(F.col("query_id"), F.col("rnk"), F.concat(F.lit("src"), F.col("doc").cast("string")).alias("document_id"), F.col("vs").cast("double").alias("vector_score"), F.col("s").cast("double").alias("score"), F.col("page").cast("int").alias("page_number")).withColumn("file_name", F.col("document_id"))
+    hits = values(spark, sf_dir, "hits").select(F.col("query_id"), F.col("rnk"), F.concat(F.lit("src"), F.col("doc").cast("string")).alias("document_id"), F.col("vs").cast("double").alias("vector_score"), F.col("s").cast("double").alias("score"), F.col("page").cast("int").alias("page_number")).withColumn("file_name", F.col("document_id"))
     return answer.cite(hits).select("query_id", F.col("source_no").cast("long").alias("source_no"), "document_id", F.array_join("page_numbers", ",").alias("pages"))
 
 
@@ -271,7 +272,7 @@ def prompt_context(spark, sf_dir):
 
 
 def mode_parse(spark, sf_dir):
-    rows = values(spark, "answers").select("id", answer.parse_mode(F.col("raw"), F.col("best").cast("double")).alias("p"))
+    rows = values(spark, sf_dir, "answers").select("id", answer.parse_mode(F.col("raw"), F.col("best").cast("double")).alias("p"))
     return rows.select("id", "p.mode", "p.answer")
 
 
@@ -282,33 +283,33 @@ def sse_frames(spark, sf_dir):
 
 def delta_extract(spark, sf_dir):
     p = completions.event_payload(F.col("line"))
-    return values(spark, "stream_lines").select("id", p.alias("payload")).select("id", completions.content_text(F.col("payload")).alias("content"), completions.reasoning_text(F.col("payload")).alias("reasoning"), F.col("payload").isNotNull().alias("valid"))
+    return values(spark, sf_dir, "stream_lines").select("id", p.alias("payload")).select("id", completions.content_text(F.col("payload")).alias("content"), completions.reasoning_text(F.col("payload")).alias("reasoning"), F.col("payload").isNotNull().alias("valid"))
 
 
 def finish_rewrite(spark, sf_dir):
-    return values(spark, "stream_lines").select("id", completions.rewrite_line(F.col("line")).alias("line"))
+    return values(spark, sf_dir, "stream_lines").select("id", completions.rewrite_line(F.col("line")).alias("line"))
 
 
 def image_urls(spark, sf_dir):
-    return values(spark, "images").select("id", requests.image_url(F.col("raw")).alias("url"))
+    return values(spark, sf_dir, "images").select("id", requests.image_url(F.col("raw")).alias("url"))
 
 
 def size_clamps(spark, sf_dir):
     k = F.col("asked")
-    return values(spark, "sizes").select("asked", requests.search_top_k(k).alias("search_k"), requests.chat_top_k(k).alias("chat_k"), requests.fetch_size(requests.search_top_k(k), F.lit(4)).alias("fetch"))
+    return values(spark, sf_dir, "sizes").select("asked", requests.search_top_k(k).alias("search_k"), requests.chat_top_k(k).alias("chat_k"), requests.fetch_size(requests.search_top_k(k), F.lit(4)).alias("fetch"))
 
 
 def request_fields(spark, sf_dir):
-    return values(spark, "fields").select("id", requests.mode(F.col("mode")).alias("mode"), requests.reasoning_effort(F.col("effort"), F.col("thinking")).alias("effort"), requests.completions_url(F.col("base"), "https://llm.example/v1/chat/completions").alias("url"), requests.is_blank(F.col("base")).alias("blank"))
+    return values(spark, sf_dir, "fields").select("id", requests.mode(F.col("mode")).alias("mode"), requests.reasoning_effort(F.col("effort"), F.col("thinking")).alias("effort"), requests.completions_url(F.col("base"), "https://llm.example/v1/chat/completions").alias("url"), requests.is_blank(F.col("base")).alias("blank"))
 
 
 def update_manifest(spark, sf_dir):
-    files = values(spark, "packages")
-    return manifest.manifest(values(spark, "settings"), values(spark, "manifest_requests"), files).select("request_id", "latest_version", "package_url", "platform", "channel", "force_update")
+    files = values(spark, sf_dir, "packages")
+    return manifest.manifest(values(spark, sf_dir, "settings"), values(spark, sf_dir, "manifest_requests"), files).select("request_id", "latest_version", "package_url", "platform", "channel", "force_update")
 
 
 def table_markdown(spark, sf_dir):
-    rows = values(spark, "cells").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("row_no", F.split("cells", ";").alias("c")))).alias("r"))
+    rows = values(spark, sf_dir, "cells").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("row_no", F.split("cells", ";").alias("c")))).alias("r"))
     only = F.transform("r", lambda x: x["c"])
     return rows.select("id", tables.table_markdown(only, F.array_max(F.transform(only, lambda c: F.size(c)))).alias("markdown"))
 

@@ -1,77 +1,79 @@
-"""Inline rows that the tables have no example of: name -> (columns, SQL VALUES).
+"""Rows that queries are run over, derived from the test tables by SQL that both engines read.
 
-The same text is read by both engines, so it has no backslashes."""
+The tables have no Han characters, page headers, stream lines or uploads of their own;
+each input here makes such a column of all rows of a table.  ``{documents}`` and
+``{conversations}`` stand for the tables; other braces are doubled.
+"""
 
-VALUES = {
-    "mixed_texts": ("id, txt", "(1, '高血压'), (2, 'CHF-2 用药 x_y'), (3, 'Été naïve'), (4, 'a高b血 压'), (5, ''), (6, CAST(NULL AS STRING)), (7, 'CHF chf 高血压高血压')"),
-    "one_query": ("query_id, text", "(0, 'the and of is that worthless'), (1, 'le la de des'), (2, '')"),
-    "page_elements": (
-        "document_id, section_no, page_number, element_no, kind, text",
-        """('a', 0, 1, 0, 'para', 'Header  LINE
-first text'), ('a', 0, 1, 1, 'para', 'body
- 3 / 9 '), ('a', 1, 2, 0, 'para', 'header line
-second text
-第 2 页'), ('a', 2, 3, 0, 'para', 'HEADER line
+from __future__ import annotations
 
-third   text'), ('a', 3, 4, 0, 'para', 'x'), ('a', 4, 5, 0, 'para', 'only here'), ('a', 4, 5, 1, 'para', '   '), ('b', 0, 1, 0, 'para', 'same'), ('b', 1, 2, 0, 'para', 'same'), ('c', 0, NULL, 0, 'para', 'same'), ('c', 1, NULL, 0, 'para', 'same'), ('c', 2, NULL, 0, 'para', 'same')""",
-    ),
-    "page_lines": (
-        "id, line",
-        "(1, '第 3 页'), (2, '第3页 共 9 页'), (3, '第3页/9页'), (4, '-12-'), (5, '— 4 —'), (6, '1/20'), (7, 'page 3 of 9'), (8, '12'), (9, '[7]'), (10, '〔12〕'), (11, '2024'), (12, '第3页，续'), (13, '  7  '), (14, 'page three')",
-    ),
-    "blocks": (
-        "id, txt",
-        """(1, 'one
-two
+from ..functions.lexicon import ALIASES, CANONICAL
 
-three'), (2, '
 
- a 
+def pick(number: str, values: list[str]) -> str:
+    """One of some strings (None: null) by a number."""
+    literal = lambda x: "CAST(NULL AS STRING)" if x is None else "'" + x + "'"
+    return f"CASE {number} % {len(values)} " + " ".join(f"WHEN {i} THEN {literal(x)}" for i, x in enumerate(values)) + " END"
 
 
- b 
-c
-'), (3, ''), (4, '   '), (5, CAST(NULL AS STRING))""",
-    ),
-    "ocr_texts": (
-        "id, txt, confidence",
-        """(1, '高 血压 患者
-HAUSA NOISE
-不超过259', 0.8), (2, 'abc', 0.5), (3, '用药 每日 不超过259。', 0.9), (4, '', 0.1)""",
-    ),
-    "questions": ("id, txt", "(1, '心衰怎么治'), (2, '高血压急症'), (3, '服用硝苯地平控释片 及呋塞米注射液'), (4, 'hello'), (5, 'CT 与 MRI 检查'), (6, '')"),
-    "log": (
-        "task_id, trigger, file_no, file_name, status, error, event_ts",
-        """('t1', 'upload', 1, 'a', 'pending', NULL, '2024-01-01 00:00:00'), ('t1', 'upload', 1, 'a', 'imported', NULL, '2024-01-01 00:01:00'), ('t1', 'upload', 2, 'b', 'failed', 'bad', '2024-01-01 00:02:00'),
-('t2', 'upload', 1, 'c', 'failed', 'bad', '2024-01-02 00:00:00'), ('t3', 'startup', 1, 'd', 'skipped', NULL, '2024-01-03 00:00:00'), ('t3', 'startup', 2, 'e', 'imported', NULL, '2024-01-03 00:00:01'),
-('t4', 'upload', 1, 'f', 'processing', NULL, '2024-01-04 00:00:00'), ('t4', 'upload', 2, 'g', 'imported', NULL, '2024-01-04 00:00:05'), ('t5', 'upload', 1, 'h', 'pending', NULL, '2024-01-05 00:00:00')""",
-    ),
-    "uploads": ("file_no, file_name", "(1, 'a.PDF'), (2, 'x/y/b.docx'), (3, '.hidden.md'), (4, 'c.txt'), (5, 'd.TIFF'), (6, 'noext'), (7, 'e.md'), (8, '')"),
-    "hits": (
-        "query_id, rnk, doc, vs, s, page",
-        "(1, 1, 3, 0.80, 0.02, 4), (1, 2, 5, 0.70, 0.02, 0), (1, 3, 3, 0.66, 0.02, 2), (1, 4, 7, 0.64, 0.02, 1), (2, 1, 3, 0.55, 0.1, 1), (2, 2, 4, 0.48, 0.1, 1), (3, 1, 3, 0.4, 0.1, 1), (4, 1, 9, NULL, 0.9, 3), (4, 2, 8, NULL, 0.8, 3), (4, 3, 9, NULL, 0.75, 1)",
-    ),
-    "answers": (
-        "id, raw, best",
-        """(1, '[知识库]
-答案', 0.1), (2, ' [模型] 甲乙', 0.9), (3, '甲', 0.45), (4, '甲', 0.44), (5, '', NULL), (6, CAST(NULL AS STRING), 0.5), (7, '[知识', 0.2)""",
-    ),
-    "stream_lines": (
-        "id, line",
-        """(1, 'data: {"choices":[{"delta":{"content":"ab"},"finish_reason":null}]}'), (2, 'data: {"choices":[{"message":{"content":"m"},"finish_reason":"weird"}]}'), (3, 'data: [DONE]'), (4, ''), (5, 'DATA:{"content":"root","output_text":"!"}'),
-(6, 'data: {"choices":[{"delta":{"reasoning_content":"why"},"finish_reason":"stop"}]}'), (7, '{broken'), (8, 'data: {"choices":[{"delta":{"tool_calls":[{"type":"","id":1}]},"finish_reason":"TOOL_CALLS"}]}'), (9, 'data: {"choices":[{"delta":{"content":"","text":"t"},"finish_reason": "abort"}]}')""",
-    ),
-    "images": ("id, raw", "(1, ' data:image/png;base64,xx '), (2, 'HTTPS://x/y.png'), (3, 'iVBORw0KGgoAAA'), (4, '/9j/4AAQ'), (5, '  '), (6, CAST(NULL AS STRING)), (7, 'http://x')"),
-    "sizes": ("asked", "(0), (-1), (1), (5), (8), (12), (13), (20), (50), (99)"),
-    "fields": (
-        "id, mode, effort, thinking, base",
-        "(1, ' Vector ', 'HIGH', true, ''), (2, '', 'low', false, 'https://a/v1'), (3, 'foo', 'max', true, 'https://a/v1/'), (4, CAST(NULL AS STRING), NULL, true, 'https://a/v1/chat/completions'), (5, 'hybrid', 'medium', NULL, NULL)",
-    ),
-    "settings": (
-        "platform, enabled, latest_version, min_supported_version, package_url, sha256, force_update, release_notes",
-        "('win-x64', true, '1.2.0', '1.0.0', '/updates/a.zip', 'AA', true, 'n'), ('win32-x64', true, '2.0.0', '1.0.0', '/updates/b.zip', 'BB', false, 'n')",
-    ),
-    "manifest_requests": ("request_id, platform, channel, origin", "(1, '', '', 'https://h'), (2, 'WIN32-X64', 'beta', 'https://h'), (3, 'win-x64', 'beta', 'https://h'), (4, CAST(NULL AS STRING), CAST(NULL AS STRING), 'https://h')"),
-    "packages": ("path", "('/updates/a.zip'), ('/updates/c.zip')"),
-    "cells": ("id, row_no, cells", "(1, 1, 'h1;h2'), (1, 2, 'a;b'), (1, 3, 'c'), (2, 1, 'only;row')"),
-}
+_PHRASES = [*CANONICAL, *[a for names in ALIASES.values() for a in names], "服用硝苯地平控释片", "及呋塞米注射液 ", "美托洛尔缓释片，", "CHF-2 用药 x_y", "hello", "", "Été naïve ", "a高b血 压"]
+_PHRASE, _OTHER = pick("doc_id", _PHRASES), pick("(doc_id * 31 + 7)", _PHRASES)
+_SAID = "substr(md5(text), 1, 12)"
+_LINES = [
+    """'data: {{"choices":[{{"delta":{{"content":"' || m || '"}},"finish_reason":null}}]}}'""",
+    """'data: {{"choices":[{{"message":{{"content":"' || m || '"}},"finish_reason":"weird"}}]}}'""",
+    """'data: [DONE]'""",
+    """''""",
+    """' DATA:{{"content":"' || m || '","output_text":"!"}} '""",
+    """'data: {{"choices":[{{"delta":{{"reasoning_content":"' || m || '"}},"finish_reason":"stop"}}]}}'""",
+    """'{{broken ' || m""",
+    """'data: {{"choices":[{{"delta":{{"tool_calls":[{{"type":"","id":1}}]}},"finish_reason":"TOOL_CALLS"}}]}}'""",
+    """'data: {{"choices":[{{"delta":{{"content":"","text":"' || m || '"}},"finish_reason": "abort"}}]}}'""",
+    """'data: {{"choices":[{{"delta":{{"content":[{{"text":"' || m || '"}},"-",{{"content":"c"}},7,{{"text":["deep","er"]}}]}}}}]}}'""",
+    """'{{"choices":[{{"message":{{"content":{{"text":"' || m || '"}},"reasoning":"r"}},"finish_reason":"length"}}]}}'""",
+]
+
+INPUTS = {
+    "mixed_texts": f"SELECT doc_id AS id, {_PHRASE} || substr(text, 1, 60) || {_OTHER} AS txt FROM {{documents}}",
+    "questions": f"SELECT doc_id AS id, {_PHRASE} || ' ' || substr(text, 1, 20) || {_OTHER} AS txt FROM {{documents}}",
+    "page_elements": """SELECT source AS document_id, doc_id AS section_no, CASE WHEN source LIKE '%3' THEN NULL ELSE doc_id + 1 END AS page_number, 0 AS element_no, 'para' AS kind,
+  'Header  of ' || upper(source) || chr(10) || substr(text, 1, 300) || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'Draft  copy' ELSE 'final copy' END || chr(10) || '本院患者治疗须知请在医生指导下使用本手册内容并遵守医嘱谢谢配合' || chr(10) || '第 ' || doc_id || ' 页' AS text FROM {documents}
+  UNION ALL SELECT source, doc_id, CASE WHEN source LIKE '%3' THEN NULL ELSE doc_id + 1 END, 1, 'para', CASE WHEN doc_id % 2 = 0 THEN '   ' ELSE ' header OF ' || source END FROM {documents}""",
+    "page_lines": "SELECT doc_id AS id, "
+    + "CASE doc_id % 14 "
+    + " ".join(
+        f"WHEN {i} THEN {x}"
+        for i, x in enumerate(
+            [
+                "'第 ' || doc_id || ' 页'", "'第' || doc_id || '页 共 9 页'", "'第3页/' || doc_id || '页'", "'-' || doc_id || '-'", "'— ' || doc_id || ' —'", "doc_id || '/20'", "'page ' || doc_id || ' of 9'", "'' || doc_id", "'[' || doc_id || ']'", "'〔' || doc_id || '〕'",
+                "'20' || doc_id || '4'", "'第' || doc_id || '页，续'", "'  ' || doc_id || '  '", "'page ' || substr(text, 1, 9)",
+            ]
+        )
+    )
+    + " END AS line FROM {documents}",
+    "blocks": "SELECT doc_id AS id, substr(text, 1, 500) || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '  ' || chr(10) ELSE '' END || ' ' || lang || ' ' || chr(10) || chr(10) || chr(10) || source AS txt FROM {documents} UNION ALL SELECT -1, CAST(NULL AS STRING) FROM {documents} WHERE doc_id = 0",
+    "ocr_texts": f"SELECT doc_id AS id, {_PHRASE} || ' ' || {_OTHER} || chr(10) || substr(text, 1, 50) || chr(10) || chr(10) || chr(10) || '用药 每日 不超过' || (10 + doc_id % 80) || '9' || CASE WHEN doc_id % 2 = 0 THEN '。' ELSE '' END AS txt, CAST(doc_id % 100 AS DOUBLE) / 128 AS confidence FROM {{documents}}",
+    "log": """SELECT 't' || (doc_id % 40) AS task_id, 'upload' AS trigger, doc_id AS file_no, 'f' || doc_id AS file_name, 'pending' AS status, CAST(NULL AS STRING) AS error, '2024-01-01 00:00:00' AS event_ts FROM {documents}
+  UNION ALL SELECT 't' || (doc_id % 40), 'upload', doc_id, 'f' || doc_id, CASE WHEN doc_id % 40 < 8 THEN 'imported' WHEN doc_id % 40 < 12 THEN 'failed' WHEN doc_id % 3 = 0 THEN 'failed' WHEN doc_id % 3 = 1 THEN 'skipped' ELSE 'imported' END, 'bad', '2024-01-01 00:01:00' FROM {documents} WHERE doc_id % 40 < 38 OR (doc_id % 40 = 38 AND doc_id % 3 = 0)""",
+    "uploads": "SELECT doc_id AS file_no, CASE doc_id % 11 WHEN 0 THEN '' WHEN 1 THEN '.hidden' ELSE CASE WHEN doc_id % 3 = 0 THEN 'in/side/' ELSE '' END || lang || doc_id END || "
+    + pick("(doc_id * 7)", [".PDF", ".docx", ".md", ".txt", ".TIFF", "", ".doc", ".jpeg", ".tar.gz", ".bmp"])
+    + " AS file_name FROM {documents}",
+    "hits": "SELECT doc_id - doc_id % 20 AS query_id, doc_id % 20 + 1 AS rnk, doc_id % 7 AS doc, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE 0.9 - 0.03 * (doc_id % 20) - 0.01 * (n_chars % 30) END AS vs, 0.7 AS s, n_chars % 5 AS page FROM {documents}",
+    "answers": "SELECT conv_id * 1000 + turn AS id, " + pick("(conv_id + turn)", ["", "[知识库]", " [模型] ", "[知识", "", None]) + " || CASE WHEN turn % 2 = 0 THEN chr(10) ELSE '' END || text AS raw, CAST(turn % 10 AS DOUBLE) / 10 AS best FROM {conversations}",
+    "stream_lines": "SELECT conv_id * 1000 + turn AS id, CASE (conv_id * 3 + turn) % " + str(len(_LINES)) + " " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_LINES)) + f" END AS line FROM (SELECT conv_id, turn, {_SAID} AS m FROM {{conversations}}) AS t",
+    "images": "SELECT conv_id * 1000 + turn AS id, " + pick("(conv_id + turn)", [" data:image/png;base64,", "HTTPS://x/", "iVBORw0KGgo", "/9j/", "  ", None, "http://"]) + f" || CASE WHEN (conv_id + turn) % 7 = 4 THEN '' ELSE {_SAID} END AS raw FROM {{conversations}}",
+    "sizes": "SELECT DISTINCT CAST(doc_id % 130 - 5 AS INT) AS asked FROM {documents}",
+    "fields": "SELECT conv_id * 1000 + turn AS id, "
+    + pick("turn", [" Vector ", "", "foo", None, "hybrid", "RERANK"]) + " AS mode, "
+    + pick("conv_id", ["HIGH", "low", "max", None, "medium"]) + " AS effort, CASE (conv_id + turn) % 3 WHEN 0 THEN true WHEN 1 THEN false END AS thinking, "
+    + pick("(conv_id + 2 * turn)", ["", "https://a/v1", "https://a/v1/", "https://a/v1/chat/completions", None, "https://b/V1/Chat/Completions/"]) + " AS base FROM {conversations}",
+    "settings": "SELECT 'win-x64' AS platform, true AS enabled, '1.2.0' AS latest_version, '1.0.0' AS min_supported_version, '/updates/a.zip' AS package_url, 'AA' AS sha256, true AS force_update, 'n' AS release_notes UNION ALL SELECT 'win32-x64', true, '2.0.0', '1.0.0', '/updates/b.zip', 'BB', false, 'n'",
+    "manifest_requests": "SELECT conv_id * 1000 + turn AS request_id, " + pick("(conv_id + turn)", ["", "WIN32-X64", "win-x64", None, "other"]) + " AS platform, " + pick("turn", ["", "beta", None]) + " AS channel, 'https://h' || conv_id AS origin FROM {conversations}",
+    "packages": "SELECT '/updates/a.zip' AS path UNION ALL SELECT '/updates/c.zip'",
+    "cells": "SELECT doc_id AS id, 1 AS row_no, lang || ';' || source AS cells FROM {documents} UNION ALL SELECT doc_id, 2, source || ';' || n_chars || ';' || lang FROM {documents} WHERE doc_id % 3 > 0 UNION ALL SELECT doc_id, 3, lang FROM {documents} WHERE doc_id % 3 > 1",
+}
+
+
+def duck_input(name: str) -> str:
+    """An input as DuckDB reads it."""
+    return INPUTS[name].format(documents="documents", conversations="conversations")

@@ -6,5 +6,5 @@ CHUNKS = (
     "section_no int, parent_no int, child_no int, parent_id string, parent_text string, content string, context string, "
     "page_number int, entities array<string>, embedding array<float>"
 )
-INGEST_LOG = "task_id string, trigger string, file_no int, file_name string, document_id string, content_hash string, status string, chunk_count int, error string, event_ts timestamp"
+INGEST_LOG = "task_id string, trigger string, file_no long, file_name string, document_id string, content_hash string, status string, chunk_count int, error string, event_ts timestamp"
 UNKNOWN = "(未知)"

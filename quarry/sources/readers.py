@@ -1,8 +1,8 @@
 """Readers of document bytes, one for each format, and their registry.
 
 A reader takes bytes and gives (section_no, page_number, kind, level, text) in order.
-PDF parsing and OCR need software that is not part of this package: they are plugged in
-with ``register``.
+OCR needs software that is not part of this package: readers with it
+(``pdf.pdf_reader``, ``pdf.image_reader``) are plugged in with ``register``.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
+from .pdf import pdf_reader
 from .tables import ELEMENT_TOKENS, group_rows, markdown
 
 Element = tuple[int, int | None, str, int | None, str]
@@ -189,11 +190,11 @@ def read_doc(data: bytes) -> list[Element]:
     return out
 
 
-READERS: dict[str, Reader] = {".md": read_markdown, ".docx": read_docx, ".doc": read_doc}
+READERS: dict[str, Reader] = {".md": read_markdown, ".docx": read_docx, ".doc": read_doc, ".pdf": pdf_reader()}
 
 
 def register(extension: str, reader: Reader) -> None:
-    """Plugs in a reader, as for ``.pdf`` and for images (OCR)."""
+    """Plugs in a reader, as for pictures (OCR)."""
     READERS[extension] = reader
 
 

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.ingest import Store, ingest
@@ -21,13 +20,13 @@ def ingest_stream(files: DataFrame, store: Store, to_chunks: Callable[[DataFrame
     """Ingests each micro-batch of files (path, content) into the store.
 
     Contents are known by their hash, so files that a restart reads again are skipped,
-    as are copies under another name.  Runs until what is there has been read."""
+    as are copies under another name; of equal files of a batch the first by path is
+    taken.  A batch adds its own chunks to the store and rewrites none.  Runs until what
+    is there has been read."""
 
     def batch(rows: DataFrame, batch_id: int) -> None:
         if rows.isEmpty():
             return
-        # a micro-batch has at most the stream's number of files; their order is by path
-        numbered = rows.withColumn("file_no", F.row_number().over(Window.orderBy("path")))
-        ingest(numbered, store, to_chunks, task_id=f"stream-{batch_id}", trigger="stream")
+        ingest(rows, store, to_chunks, task_id=f"stream-{batch_id}", trigger="stream")
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -97,3 +97,38 @@ def test_newest_package(spark):
     files = spark.createDataFrame([("a.zip", "2024-01-01"), ("b.ZIP", "2024-02-01"), ("c.txt", "2024-03-01")], "path string, modificationTime string")
     assert newest(files).first().path == "b.ZIP"
     assert newest(files.limit(0)).first().path is None
+
+
+def test_generation_with_fallback(spark):
+    from quarry.operators.generation import generate
+
+    class Scripted:
+        """A generator that answers by what it is asked."""
+
+        def stream(self, messages, effort):
+            from quarry.operators.generation import UpstreamError
+
+            said = messages[-1]["content"]
+            if "busy" in said:
+                yield 'data: {"choices":[{"delta":{"content":"begun"}}]}'
+                raise UpstreamError(429, "later")
+            if "silent" in said:
+                yield from ("data: [DONE]", ": ping", "")
+                return
+            yield 'data: {"choices":[{"delta":{"reasoning_content":"why ' + effort + '"}}]}'
+            for word in ("a", "b"):
+                yield f'data: {{"choices":[{{"delta":{{"content":"{word}"}}}}]}}'
+
+        def complete(self, messages, effort):
+            return '{"choices":[{"message":{"content":"whole"},"finish_reason":"odd"}]}'
+
+    kind = "query_id long, messages array<struct<role:string,content:string>>, effort string"
+    asked = spark.createDataFrame([(1, [("user", "hi")], "low"), (2, [("user", "silent")], "low"), (3, [("user", "busy")], "low")], kind)
+    got = generate(asked, Scripted())
+    pieces = {}
+    for r in got.orderBy("query_id", "piece_no").collect():
+        pieces.setdefault(r.query_id, []).append((r.kind, r.text))
+    assert pieces == {1: [("reasoning", "why low"), ("content", "a"), ("content", "b")], 2: [("content", "whole")], 3: [("content", "begun"), ("error", "429: busy or rate-limited")]}
+    events = answer.answer_events(asked.select("query_id"), got.where("kind <> 'error'"), spark.createDataFrame([], "query_id long, vector_score double, score double"))
+    assert [r.text for r in events.where("type = 'end'").orderBy("query_id").collect()] == ["ab", "whole", "begun"]
+    assert generate(asked.limit(0), Scripted()).count() == 0

@@ -38,6 +38,45 @@ def test_ingest_is_idempotent_and_replaces(spark, tmp_path):
     assert ingest.tasks(log.unionByName(again)).where("task_id = 't1'").first().status == "completed"
 
 
+def test_versions_add_up(spark, tmp_path, monkeypatch):
+    store = ingest.Store(spark, str(tmp_path), "chunk_id string, document_id string, content string")
+    rows = lambda *xs: spark.createDataFrame(xs, "chunk_id string, document_id string, content string")
+    now = lambda: sorted(tuple(r) for r in store.read().select("chunk_id", "document_id", "content").collect())
+    store.upsert(rows(("1", "a", "x"), ("2", "a", "y"), ("3", "b", "z"), ("4", None, "n")))
+    store.upsert(rows(("5", "a", "new")))
+    store.upsert(rows(("6", "c", "w")), spark.createDataFrame([("b",)], "document_id string"))
+    want = [("4", None, "n"), ("5", "a", "new"), ("6", "c", "w")]
+    assert sorted(map(str, now())) == sorted(map(str, want)) and store.part(3).count() == 1
+    assert store.read(1).count() == 4
+    assert store.compact() == 4 == store.compact() and sorted(map(str, now())) == sorted(map(str, want))
+    store.vacuum()
+    assert store._pointers() == [4] and sorted(map(str, now())) == sorted(map(str, want))
+    monkeypatch.setattr(ingest, "MOST_DELTAS", 1)
+    for i in range(3):
+        store.upsert(rows((str(i), "d", str(i))))
+    assert ("2", "d", "2") in now() and len(now()) == 4
+    # types are those of the schema
+    store.write(spark.createDataFrame([(1, "a", 5)], "chunk_id long, document_id string, content int"))
+    assert store.read().schema["chunk_id"].dataType.simpleString() == "string"
+
+
+def test_files_that_fail(spark, tmp_path):
+    """A row with an error fails its file; a fault that breaks the job fails the file that has it."""
+    store = ingest.Store(spark, f"{tmp_path}/a")
+    told = lambda f: to_chunks(f).withColumn("error", F.when(F.col("content") == "bad", "cannot be read"))
+    log = ingest.ingest(files(spark, [("a.md", "one"), ("b.md", "bad"), ("c.md", "two")]), store, told, task_id="t")
+    assert state(log) == [(0, "imported", 1), (1, "failed", 0), (2, "imported", 1)]
+    assert log.where("status = 'failed'").first().error == "cannot be read" and store.read().count() == 2
+    assert ingest.tasks(log).first().status == "partial_failed"
+    other = ingest.Store(spark, f"{tmp_path}/b")
+    broken = lambda f: to_chunks(f).withColumn("content", F.when(F.col("content") == "bad", F.raise_error(F.lit("broken file"))).otherwise(F.col("content")))
+    batch = files(spark, [("a.md", "one"), ("b.md", "bad"), ("c.md", "two"), ("a.md", "three"), ("d.md", "two")])
+    log = ingest.ingest_each(batch, other, broken, task_id="t", attempts=2, delay=0)
+    assert [s for _, s, _ in state(log)] == ["imported", "failed", "imported", "imported", "skipped"]
+    assert "broken file" in log.where("status = 'failed'").first().error
+    assert {(r.document_id, r.content) for r in other.read().collect()} == {("a.md", "three"), ("c.md", "two")}
+
+
 def test_failed_version_is_never_seen(spark, tmp_path):
     store = ingest.Store(spark, str(tmp_path))
     with pytest.raises(Exception, match=r"(?i)division|divide"):
@@ -146,13 +185,65 @@ def test_doc():
 def test_files_of_a_folder(spark, tmp_path):
     (tmp_path / "a.md").write_text("# h\nbody")
     (tmp_path / "b.DOCX").write_bytes(docx(para("x")))
-    (tmp_path / "c.pdf").write_bytes(b"%PDF")
+    (tmp_path / "c.pdf").write_bytes(b"none")
+    (tmp_path / "e.png").write_bytes(b"?")
     (tmp_path / "d.bin").write_bytes(b"?")
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "e.md").write_text("not listed")
     got = read_elements(read_files(spark, str(tmp_path))).orderBy("document_id", "element_no").collect()
-    assert [(r.document_id, r.kind, r.text) for r in got] == [("a.md", "header", "h"), ("a.md", "para", "body"), ("b.DOCX", "para", "x"), ("c.pdf", None, None)]
-    assert "no reader for .pdf" in got[3].error
+    assert [(r.document_id, r.kind, r.text) for r in got] == [("a.md", "header", "h"), ("a.md", "para", "body"), ("b.DOCX", "para", "x"), ("c.pdf", None, None), ("e.png", None, None)]
+    assert "PDF" in got[3].error and "no reader for .png" in got[4].error
+
+
+def pdf(pages, pack=False):
+    """A PDF of (content, resources) pages."""
+    import zlib
+
+    def stream(data, head=b""):
+        data = zlib.compress(data) if pack else data
+        return b"<< %s%s /Length %d >>\nstream\n%s\nendstream" % (head, b"/Filter /FlateDecode" if pack else b"", len(data), data)
+
+    kids = b" ".join(b"%d 0 R" % (10 + 2 * i) for i in range(len(pages)))
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /MediaBox [0 0 100 1000] /Kids [%s] >>" % kids}
+    cmap = b"1 begincodespacerange <0000><ffff> endcodespacerange 2 beginbfchar <0001> <9ad8> <0002> <8840> endbfchar 1 beginbfrange <0003> <0004> <538b> endbfrange"
+    objects |= {3: b"<< /Type /Font /Subtype /Type0 /ToUnicode 4 0 R >>", 4: stream(cmap), 5: b"<< /Subtype /Image /Width 90 /Height 90 /Filter /DCTDecode /Length 4 >>\nstream\nJPEG\nendstream"}
+    for i, content in enumerate(pages):
+        objects[10 + 2 * i] = b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R /Resources << /Font << /F1 6 0 R /F2 3 0 R >> /XObject << /I 5 0 R >> >> >>" % (11 + 2 * i)
+        objects[11 + 2 * i] = stream(content)
+    objects[6] = b"<< /Type /Font /Subtype /Type1 >>"
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in objects.items()) + b"trailer << /Root 1 0 R >>"
+
+
+@pytest.mark.parametrize("pack", [False, True])
+def test_pdf(pack):
+    from quarry.sources.pdf import pdf_reader
+
+    one = rb"""BT /F1 10 Tf 1 0 0 1 10 980 Tm (header) Tj 1 0 0 1 10 500 Tm (First \(line\)\041) Tj 0 -12 Td [(sec) -50 (ond) -400 (line)] TJ
+0 -40 Td (other block) Tj 1 0 0 1 10 20 Tm (footer) Tj ET % comment"""
+    two = b"q 1 0 0 1 0 100 cm BT /F2 10 Tf 14 TL 10 300 Td <000100020003> Tj T* <0004> Tj ET Q"
+    data = pdf([one, two, b""], pack)
+    want = [(0, 1, "para", None, "First (line)!\nsecond line"), (0, 1, "para", None, "other block"), (1, 2, "para", None, "高血压\n厌".replace("厌", chr(0x538C)))]
+    assert pdf_reader()(data) == want
+    long = "recognised text of a page that has no letters of its own"
+    read = pdf_reader(lambda picture: f"{long}\n\n next " if picture == b"JPEG" else "")
+    assert [x[4] for x in read(data)] == [long, "next"] * 3
+    drawn = pdf_reader(lambda picture: f"page {picture!r} {long}" if picture != b"JPEG" else "", lambda data, page: str(page).encode())
+    assert [x[4] for x in drawn(data)] == [f"page b'{i}' {long}" for i in (1, 2, 3)]
+    with pytest.raises(ValueError, match="not a PDF"):
+        pdf_reader()(b"text")
+
+
+def test_readings(spark):
+    from quarry.functions import text as T
+    from quarry.sources.pdf import best_reading, image_reader, reading_score
+
+    readings = [("abc noise words", 0.9), ("高血压 患者", 0.5), ("高血压 患者", 0.4), (" ", 1.0)]
+    assert best_reading(readings) == "高血压 患者" and best_reading([]) == ""
+    df = spark.createDataFrame(readings, "t string, c double")
+    assert [r[0] for r in df.select(T.ocr_score(F.col("t"), F.col("c"))).collect()] == pytest.approx([reading_score(*r) for r in readings])
+    best = df.agg(F.array_agg(F.struct(F.col("t").alias("text"), F.col("c").alias("confidence"))).alias("r")).select(T.ocr_best(F.col("r"))).first()[0]
+    assert best == "高血压 患者"
+    assert image_reader(lambda data: data.decode())(b"a\n\n b ") == [(0, 1, "para", None, "a"), (0, 1, "para", None, "b")]
 
 
 def test_geometry(spark):
