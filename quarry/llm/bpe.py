@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import table
+from .storage import table, trim
 
 #: Bits of a bitmap word (as a power of two); pre-tokens whose ids a worker remembers, and their greatest length.
 WORD_SHIFT, REMEMBERED, REMEMBERED_LENGTH = 8, 250_000, 64
@@ -124,16 +124,16 @@ class Remembered(dict):
     """Ids of short pre-tokens, packed as little-endian unsigned 32-bit integers.  Two
     generations bound its size: what is not asked for while the newer one fills goes."""
 
-    def __init__(self, rank_of) -> None:
+    def __init__(self, rank_of, most: int = REMEMBERED) -> None:
         super().__init__()
-        self.rank_of, self.older = rank_of, {}
+        self.rank_of, self.most, self.older = rank_of, most, {}
 
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
             ids = array("I", merge(word.encode("utf-8", "replace"), self.rank_of)).tobytes()
         if len(word) <= REMEMBERED_LENGTH:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[word] = ids
@@ -143,10 +143,10 @@ class Remembered(dict):
 class ByteBPE:
     """Encoder and decoder of one vocabulary and pre-token pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED) -> None:
         self.words = regex.compile(pattern).findall
         self.pieces = {i: piece for piece, i in ranks.items()}
-        self.known = Remembered(ranks.get)
+        self.known = Remembered(ranks.get, remembered)
 
     def packed(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -155,6 +155,20 @@ class ByteBPE:
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), "<u4").tolist()
 
+    def strings(self, text: str) -> list[str]:
+        """The text of each token; what is left of a character goes to the token that ends it."""
+        out, held = [], b""
+        for i in self.encode(text):
+            held += self.pieces[i]
+            try:
+                out.append(held.decode("utf-8"))
+                held = b""
+            except UnicodeDecodeError as e:
+                # a whole part before the last, unended character belongs to this token
+                out.append(held[: e.start].decode("utf-8"))
+                held = held[e.start :]
+        return out
+
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
 
@@ -162,12 +176,12 @@ class ByteBPE:
 _coders: dict[tuple, ByteBPE] = {}
 
 
-def _coder(ranks: dict[bytes, int], pattern: str) -> ByteBPE:
+def _coder(ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED) -> ByteBPE:
     """The coder of this worker, so that remembered pre-tokens outlive a batch and a task."""
-    at = (len(ranks), pattern, zlib.crc32(b"".join(ranks)))
+    at = (len(ranks), pattern, zlib.crc32(b"".join(ranks)), remembered)
     if at not in _coders:
         _coders.clear()
-        _coders[at] = ByteBPE(ranks, pattern)
+        _coders[at] = ByteBPE(ranks, pattern, remembered)
     return _coders[at]
 
 
@@ -197,6 +211,25 @@ def decoded(spark: SparkSession, ids: Column, ranks: dict[bytes, int]) -> Column
     return decode(ids)
 
 
+class BpeTokens:
+    """A token counter for ``operators.chunking`` by a vocabulary of this package.  A token
+    that ends inside a character is an empty string, and the one that ends it has it."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
+        self.spark, (self.ranks, self.pattern) = spark, vocabulary(path)
+
+    def tokens(self, texts: Column) -> Column:
+        shared, pattern = self.spark.sparkContext.broadcast(self.ranks), self.pattern
+
+        @F.pandas_udf("array<array<string>>")
+        def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            coder = _coder(shared.value, pattern)
+            for batch in batches:
+                yield pd.Series([None if row is None else [coder.strings(x or "") for x in row] for row in batch], dtype=object)
+
+        return split(texts)
+
+
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -224,13 +257,15 @@ ENCODED = DIGESTS + ", ids array<int>"
 ROWS_BACK = 256
 
 
-def encoded_rows(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text_col: str = "text", keep: list[str]) -> DataFrame:
+def encoded_rows(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text_col: str = "text", keep: list[str], remembered: int = REMEMBERED // 4) -> DataFrame:
     """The columns ``keep``, and those of ``round_trip`` with the ids.  Rows go back in
-    small batches, so that neither side holds the ids of a whole Arrow batch."""
+    small batches, so that neither side holds the ids of a whole Arrow batch; a worker,
+    which may have served other stages, remembers fewer pre-tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = _coder(shared.value, pattern)
+        trim()
+        coder = _coder(shared.value, pattern, remembered)
         for pdf in batches:
             for start in range(0, len(pdf), ROWS_BACK):
                 part = pdf.iloc[start : start + ROWS_BACK]

@@ -21,8 +21,6 @@ Words and n-grams are hashed to 64 bits.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import io
 import math
 from collections.abc import Iterator
@@ -36,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .samples import fold
-from .storage import table, written
+from .storage import table, trim, written
 
 ORDER, DELETED, Q = 2, 8, 4
 BLOCK_CHARS = 500_000, 16_000_000
@@ -136,13 +134,6 @@ def _from_counts(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{chr(data[0])}", offset=1).astype(np.int64)
 
 
-def _trim() -> None:
-    """Gives freed memory back, so that workers that wait for a task are small."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, id, trains, text) -> a compressed Arrow table for each block and batch."""
     squeeze = zstandard.ZstdCompressor(level=1)
@@ -158,7 +149,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 stream.write_batch(rows.slice(a, b - a))
             blobs.append(squeeze.compress(out.getvalue()))
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(blobs, pa.binary())], ["block", "docs"])
-    _trim()
+    trim()
 
 
 def _documents(blobs: pd.Series) -> pa.Table:

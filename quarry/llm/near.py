@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import table, written
+from .storage import table, trim, written
 
 N, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 5
 #: Classes and n-grams of a tile; ids that are broadcast at most; columns multiplied at once.
@@ -112,6 +112,7 @@ def signatures(rows: DataFrame, n: int, bands: int, per_band: int) -> DataFrame:
                 sids.append(set_digest(grams) if len(grams) else None)
                 found.append(hasher.band_hashes(grams) if len(grams) else [])
             yield pdf[["id", "th"]].assign(sid=sids, n_grams=sizes, bands=found)
+        trim()
 
     return rows.mapInPandas(sign, f"id {rows.schema['id'].dataType.simpleString()}, th long, sid binary, n_grams long, bands array<long>")
 

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .samples import fold, labelled
-from .storage import table, written
+from .storage import table, trim, written
 
 EXAMPLES, FOLDS = 3000, 8
 #: The least emphasis of a term, and the chi-square at which half of the rest is reached.
@@ -237,6 +237,7 @@ class ToxicityModel:
         def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 yield pd.DataFrame([shared.value.answer(x) for x in batch], columns=["score", "evidence"])
+            trim()
 
         return score(text)
 

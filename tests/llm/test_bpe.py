@@ -79,3 +79,23 @@ def test_whole_table(spark, small):
     for r in out:
         ids = REFERENCE.encode_ordinary(docs[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(docs[r.doc_id].encode()).hexdigest())
+
+
+def test_chunks_by_a_vocabulary(spark):
+    """Budgets count the vocabulary's tokens; strings of tokens give the text back."""
+    from quarry.operators.chunking import ChunkOptions, chunk
+
+    counter = bpe.BpeTokens(spark)
+    texts = ["高血压急症 héllo wörld 👩‍⚕️ " * 3, "plain words here", "", "x" * 50]
+    df = spark.createDataFrame([(texts,), (None,), ([],)], "t array<string>")
+    coder = bpe.ByteBPE(counter.ranks, counter.pattern)
+    got = [r[0] for r in df.select(counter.tokens(F.col("t"))).collect()]
+    assert ["".join(x) for x in got[0]] == texts and [len(x) for x in got[0]] == [len(coder.encode(t)) for t in texts]
+    assert got[1] is None and got[2] == []
+    lines = [f"line {i} of 高血压 text with some words" for i in range(60)] + ["long " * 90]
+    elements = spark.createDataFrame([("d", 0, None, i, "para", x) for i, x in enumerate(lines)], "document_id string, section_no int, page_number int, element_no int, kind string, text string")
+    options = ChunkOptions(parent_tokens=200, child_tokens=60, overlap_tokens=10, counter=counter)
+    out = chunk(elements, options, cleaned=True).orderBy("parent_no", "child_no").collect()
+    n = lambda text: sum(len(coder.encode(x)) for x in text.split("\n"))
+    assert all(n(c.content) <= 60 + 20 for c in out) and len(out) > 10
+    assert {x for c in out for x in c.content.split("\n")} >= set(lines[:-1])
