@@ -150,6 +150,16 @@ every AS (SELECT query_id, -1 AS no, 0 AS k, 'meta' AS type, CAST(NULL AS VARCHA
   UNION ALL SELECT query_id, 2000000, 0, 'end', answer || coalesce((SELECT string_agg(text, '' ORDER BY no) FROM rest r WHERE r.query_id = p.query_id), '') FROM parsed p)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY no, k) - 1 AS INTEGER) AS seq, type, text FROM every"""
 
+_IMAGE_URL = """s AS (SELECT id, trim(coalesce(raw, '')) AS s FROM v),
+u AS (SELECT id, CASE WHEN s = '' OR lower(s) LIKE 'data:image%' OR lower(s) LIKE 'http://%' OR lower(s) LIKE 'https://%' THEN s WHEN starts_with(s, 'iVBORw0KGgo') THEN 'data:image/png;base64,' || s ELSE 'data:image/jpeg;base64,' || s END AS url FROM s)"""
+
+_CONTEXTS = """ctx AS (SELECT doc_id - doc_id % 20 AS query_id, string_agg('[' || doc_id || '] 【' || source || ' | ' || lang || '】' || CASE WHEN doc_id % 3 > 0 THEN '（第 ' || doc_id % 3 || ' 页）' ELSE '' END
+  || CASE WHEN lang = 'de' THEN ' 实体:de、' || source ELSE '' END || chr(10) || text || CASE WHEN lang = 'fr' THEN chr(10) || '（所属小节）' || chr(10) || source ELSE '' END || chr(10) || chr(10), '' ORDER BY doc_id) AS context FROM documents GROUP BY ALL)"""
+
+_INGESTED = """first AS (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents),
+again AS (SELECT doc_id, CASE WHEN lang = 'de' THEN text || ' revised' ELSE text END AS text FROM documents),
+second AS (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1 AND (text NOT IN (SELECT text FROM documents WHERE text <> '')) AS fresh FROM again)"""
+
 _HAN = r"[\x{4e00}-\x{9fff}]"
 
 # Short lines that stand on many pages of a document, but for long ones with a clinical word.
@@ -215,7 +225,8 @@ SELECT id, token, count(*) AS n FROM every GROUP BY ALL""",
     "rerank_topk": f"{_HYBRID}, {_features()} SELECT query_id, rnk, chunk_id, score FROM reranked WHERE rnk <= 5",
     "search_modes": f"""{_HYBRID}, {_features()},
 hits AS (SELECT query_id * 10 AS query_id, 'vector' AS mode, rnk, chunk_id, score FROM near UNION ALL SELECT query_id * 10 + 1, 'hybrid', rnk, chunk_id, score FROM fused UNION ALL SELECT query_id * 10 + 2, 'rerank', rnk, chunk_id, score FROM reranked)
-SELECT query_id, mode, rnk, chunk_id, source AS document_id, score FROM hits JOIN documents ON doc_id = chunk_id WHERE rnk <= 5""",
+SELECT query_id, mode, rnk, chunk_id, source AS document_id, score, CASE WHEN n_chars % 2 = 0 THEN source END AS context, CAST(nullif(n_chars % 3, 0) AS INTEGER) AS page_number,
+  CASE WHEN doc_id % 3 = 1 AND source <> text THEN source END AS parent_text, CAST(length(text) AS INTEGER) AS n_text FROM hits JOIN documents ON doc_id = chunk_id WHERE rnk <= 5""",
     "clean_text": f"SELECT doc_id, {_clean('text')} AS text FROM documents",
     "collapse_space": f"SELECT doc_id, {_collapse('text')} AS text FROM documents",
     "visible_chars": f"SELECT doc_id, CAST(n AS INTEGER) AS n, n >= 40 AS usable FROM (SELECT doc_id, length(regexp_replace(text, '{_S[:-1]}\\x00-\\x1f\\x7f-\\x{{9f}}]', '', 'g')) AS n FROM documents)",
@@ -268,7 +279,7 @@ SELECT doc_id, CAST(no AS INTEGER) AS no, {_trim("array_to_string(p[no * 240 + 1
     "replace_by_name": """WITH new AS (SELECT source AS document_id, min(doc_id) AS chunk_id FROM documents WHERE lang = 'de' GROUP BY ALL),
 every AS (SELECT source AS document_id, doc_id AS chunk_id FROM documents WHERE source NOT IN (SELECT document_id FROM new) UNION ALL SELECT * FROM new)
 SELECT document_id, count(*) AS n, min(chunk_id) AS first_chunk FROM every GROUP BY ALL""",
-    "catalog_list": "SELECT source AS document_id, source AS file_name, arg_min(n_chars, doc_id) AS file_size, count(*) AS chunk_count FROM documents GROUP BY ALL",
+    "catalog_list": "SELECT source AS document_id, source AS file_name, arg_min(n_chars, doc_id) AS file_size, min(doc_id) * 1000 AS uploaded_s, count(*) AS chunk_count FROM documents GROUP BY ALL",
     "detail": """WITH p AS (SELECT source, array_to_string(list_sort(list_distinct(list(n_chars % 7) FILTER (n_chars % 7 > 0))), ',') AS pages, count(*) AS chunk_count FROM documents GROUP BY ALL),
 f AS (SELECT source, CASE WHEN length(text) > 300 THEN text[:300] || '…' ELSE text END AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)
 SELECT source AS document_id, chunk_count, pages, (SELECT string_agg(t, '|' ORDER BY n) FROM f WHERE f.source = p.source AND n <= 5) AS previews FROM p""",
@@ -284,15 +295,31 @@ g AS (SELECT query_id, document_id, min(rnk) AS first, list_sort(list_distinct(l
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY first) AS source_no, document_id, coalesce(array_to_string(p, ','), '') AS pages FROM g""",
     "history_last6": "SELECT conv_id, turn, CASE WHEN lower(role) = 'assistant' THEN 'assistant' ELSE 'user' END AS role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 6",
     "last_user": "SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations WHERE lower(role) = 'user' GROUP BY ALL",
-    "prompt_context": """SELECT source AS query_id, sha256(string_agg('[' || doc_id || '] 【' || source || ' | ' || lang || '】' || CASE WHEN doc_id % 3 > 0 THEN '（第 ' || doc_id % 3 || ' 页）' ELSE '' END
-  || CASE WHEN lang = 'de' THEN ' 实体:de、' || source ELSE '' END || chr(10) || text || CASE WHEN lang = 'fr' THEN chr(10) || '（所属小节）' || chr(10) || source ELSE '' END || chr(10) || chr(10), '' ORDER BY doc_id)) AS context_sha256
-FROM documents GROUP BY ALL""",
+    "prompt_context": f"WITH {_CONTEXTS} SELECT query_id, sha256(context) AS context_sha256 FROM ctx",
+    "chat_prompts": f"""WITH {_CONTEXTS},
+asked AS (SELECT conv_id AS query_id, arg_max(text, turn) AS text FROM conversations WHERE lower(role) = 'user' GROUP BY ALL),
+past AS (SELECT conv_id AS query_id, count(*) AS n, string_agg(CASE WHEN lower(role) = 'assistant' THEN 'assistant' ELSE 'user' END || ':' || CAST(to_json(text) AS VARCHAR), chr(10) ORDER BY turn) AS said
+         FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 6 GROUP BY ALL),
+user_said AS (SELECT query_id, to_json('【知识库上下文】' || chr(10) || coalesce(context, '（知识库为空或没有检索到任何内容）' || chr(10)) || chr(10) || chr(10) || '【用户问题】' || chr(10) || {_trim('text')}) AS q FROM asked LEFT JOIN ctx USING (query_id))
+SELECT query_id, CAST(n + 2 AS INTEGER) AS n_messages, sha256('system:"Answer from the context."' || chr(10) || said || chr(10) || 'user:' || CAST(q AS VARCHAR)) AS prompt_sha256 FROM user_said JOIN past USING (query_id)""",
+    "message_parts": f"""WITH {_values('images')}, {_IMAGE_URL}
+SELECT id, CASE WHEN id % 3 = 0 THEN '"see ' || id || '"' ELSE '[{{"type":"text","text":"see ' || id || '"}}' || CASE WHEN url <> '' THEN ',{{"type":"image_url","image_url":{{"url":' || CAST(to_json(url) AS VARCHAR) || '}}}}' ELSE '' END || ',{{"type":"image_url","image_url":{{"url":"http://second"}}}}]' END AS content FROM u""",
+    "upstream_errors": f"WITH {_values('refusals')} SELECT id, CASE status WHEN 429 THEN '429: busy or rate-limited' WHEN 401 THEN '401: key not valid' ELSE status || ': ' || left({_trim("coalesce(body, '')")}, 240) END AS error FROM v",
+    "newest_build": f"WITH {_values('builds')} SELECT path FROM v WHERE lower(path) LIKE '%.zip' ORDER BY modificationTime DESC, path DESC LIMIT 1",
+    "embedded": "SELECT doc_id AS chunk_id, CAST(length(text) AS DOUBLE) AS length, CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) AS blanks, 1.0::DOUBLE AS small_call FROM documents",
+    # of equal contents the first is stored; the German ones have new contents the second time, the others none
+    "ingest_twice": f"""WITH {_INGESTED}
+SELECT 't0' AS task_id, doc_id AS file_no, CASE WHEN n = 1 THEN 'imported' ELSE 'skipped' END AS status, CAST(n = 1 AND text <> '' AS INTEGER) AS chunk_count FROM first
+UNION ALL SELECT 't1', doc_id, CASE WHEN fresh THEN 'imported' ELSE 'skipped' END, CAST(fresh AND text <> '' AS INTEGER) FROM second""",
+    "stored_chunks": f"""WITH {_INGESTED},
+gone AS (SELECT doc_id FROM second WHERE fresh AND text <> '')
+SELECT 'f' || doc_id || '.md' AS document_id, sha256(text) AS content_hash, octet_length(encode(text)) AS file_size FROM first WHERE n = 1 AND text <> '' AND doc_id NOT IN (FROM gone)
+UNION ALL SELECT 'f' || doc_id || '.md', sha256(text), octet_length(encode(text)) FROM second WHERE fresh AND text <> ''""",
     "mode_parse": f"""WITH {_values('answers')}, t AS (SELECT id, best, ltrim(coalesce(raw, ''), ' ' || chr(9) || chr(10) || chr(13)) AS t FROM v)
 SELECT id, CASE WHEN starts_with(t, '[知识库]') THEN 'knowledge_base' WHEN starts_with(t, '[模型]') THEN 'model' WHEN coalesce(best, 0) >= 0.45 THEN 'knowledge_base' ELSE 'model' END AS mode,
   CASE WHEN starts_with(t, '[知识库]') THEN ltrim(t[6:], ' ' || chr(9) || chr(10) || chr(13)) WHEN starts_with(t, '[模型]') THEN ltrim(t[5:], ' ' || chr(9) || chr(10) || chr(13)) ELSE t END AS answer FROM t""",
     "sse_frames": """SELECT conv_id, turn, 'event: delta' || chr(10) || 'data: {"type":"' || role || '","seq":' || turn || '}' || chr(10) || chr(10) AS frame FROM conversations""",
-    "image_urls": f"""WITH {_values('images')}, t AS (SELECT id, trim(coalesce(raw, '')) AS s FROM v)
-SELECT id, CASE WHEN s = '' OR lower(s) LIKE 'data:image%' OR lower(s) LIKE 'http://%' OR lower(s) LIKE 'https://%' THEN s WHEN starts_with(s, 'iVBORw0KGgo') THEN 'data:image/png;base64,' || s ELSE 'data:image/jpeg;base64,' || s END AS url FROM t""",
+    "image_urls": f"WITH {_values('images')}, {_IMAGE_URL} SELECT id, url FROM u",
     "size_clamps": f"WITH {_values('sizes')} SELECT asked, {_FRAME_LIMIT.format(d=5, m=50)} AS search_k, {_FRAME_LIMIT.format(d=8, m=20)} AS chat_k, least(4 * {_FRAME_LIMIT.format(d=5, m=50)}, 50) AS fetch FROM v",
     "request_fields": f"""WITH {_values('fields')}, t AS (SELECT *, rtrim(trim(coalesce(base, '')), '/') AS b FROM v)
 SELECT id, CASE WHEN lower(trim(mode)) IN ('vector', 'hybrid') THEN lower(trim(mode)) ELSE 'rerank' END AS mode, CASE WHEN NOT coalesce(thinking, false) THEN 'none' WHEN lower(effort) IN ('low', 'medium', 'high') THEN lower(effort) ELSE 'medium' END AS effort,

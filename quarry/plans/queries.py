@@ -6,17 +6,16 @@ of ``benchmark`` for a batch of queries, and ``embeddings`` for the vectors of b
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..deploy import shared_folder, spread
+from ..deploy import spread
 from ..functions import completions, lexicon, requests
 from ..functions import text as T
-from ..operators import answer, catalog, chunking, cleaning, index, ingest, manifest, search
+from ..operators import answer, catalog, chunking, cleaning, embedding, index, ingest, manifest, search
 from ..operators.vector import vector
 from ..sources import tables
+from ..storage import new_folder
 from .values import INPUTS
 
 
@@ -31,7 +30,7 @@ def _texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 def values(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived input over all rows of its table."""
-    tables = {t: _t(spark, sf_dir, t) for t in ("documents", "conversations") if f"{{{t}}}" in INPUTS[name]}
+    tables = {t: _t(spark, sf_dir, t) for t in ("documents", "conversations", "pages") if f"{{{t}}}" in INPUTS[name]}
     return spark.sql(INPUTS[name], **tables) if tables else spark.sql(INPUTS[name])
 
 
@@ -39,6 +38,9 @@ def chunks(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFrame
     docs = _texts(spark, sf_dir, "doc_id", "source", "text", "n_chars").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.col("text").alias("content"), F.col("n_chars"))
     if not vectors:
         return docs
+    # what results show of a chunk: empty contexts, pages from 0, parents that are the chunk itself or empty
+    parent = F.when(F.col("chunk_id") % 3 == 0, F.col("content")).when(F.col("chunk_id") % 3 == 1, F.col("document_id")).otherwise("")
+    docs = docs.withColumns({"context": F.when(F.col("n_chars") % 2 == 0, F.col("document_id")).otherwise(""), "page_number": (F.col("n_chars") % 3).cast("int"), "parent_text": parent})
     return docs.join(_t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id", "left")
 
 
@@ -136,7 +138,7 @@ def search_modes(spark, sf_dir):
     modes = F.explode(F.array(*[F.struct(F.lit(i).alias("no"), F.lit(m).alias("mode")) for i, m in enumerate(requests.MODES)]))
     asked = batch(spark, sf_dir).select("query_id", "text", "embedding", modes.alias("m")).select((F.col("query_id") * 10 + F.col("m.no")).alias("query_id"), "text", "embedding", "m.mode", F.lit(5).alias("top_k"))
     hits = search.search(asked, chunks(spark, sf_dir, True))
-    return hits.select("query_id", "mode", "rnk", "chunk_id", "document_id", "score")
+    return hits.select("query_id", "mode", "rnk", "chunk_id", "document_id", "score", "context", "page_number", "parent_text", F.length("text").alias("n_text"))
 
 
 def clean_text(spark, sf_dir):
@@ -226,7 +228,8 @@ def replace_by_name(spark, sf_dir):
 
 
 def catalog_list(spark, sf_dir):
-    return catalog.catalog(chunks(spark, sf_dir).withColumn("file_size", F.col("n_chars"))).select("document_id", "file_name", "file_size", "chunk_count")
+    rows = chunks(spark, sf_dir).withColumns({"file_size": F.col("n_chars"), "uploaded_at": F.timestamp_seconds(F.col("chunk_id") * 1000)})
+    return catalog.catalog(rows).select("document_id", "file_name", "file_size", F.unix_timestamp("uploaded_at").alias("uploaded_s"), "chunk_count")
 
 
 def detail(spark, sf_dir):
@@ -262,13 +265,74 @@ def last_user(spark, sf_dir):
     return answer.last_user(_t(spark, sf_dir, "conversations")).select("conv_id", "turn", "text")
 
 
-def prompt_context(spark, sf_dir):
-    """Every source's documents, by id, as the context of one prompt."""
-    docs = _t(spark, sf_dir, "documents").select(
-        F.col("source").alias("query_id"), F.col("doc_id").alias("rnk"), F.col("source").alias("file_name"), F.col("lang").alias("context"), (F.col("doc_id") % 3).cast("int").alias("page_number"),
+def _results(spark, sf_dir):
+    """Documents as the results of requests, twenty of each."""
+    return _t(spark, sf_dir, "documents").select(
+        (F.col("doc_id") - F.col("doc_id") % 20).alias("query_id"), F.col("doc_id").alias("rnk"), F.col("source").alias("file_name"), F.col("lang").alias("context"), (F.col("doc_id") % 3).cast("int").alias("page_number"),
         F.when(F.col("lang") == "de", F.array("lang", "source")).alias("entities"), "text", F.when(F.col("lang") == "fr", F.col("source")).alias("parent_text"),
     )
-    return answer.prompt_context(docs).select("query_id", F.sha2("context", 256).alias("context_sha256"))
+
+
+def prompt_context(spark, sf_dir):
+    return answer.prompt_context(_results(spark, sf_dir)).select("query_id", F.sha2("context", 256).alias("context_sha256"))
+
+
+def chat_prompts(spark, sf_dir):
+    """The whole prompt of each conversation: its last question with what was found, after its history."""
+    talk = _t(spark, sf_dir, "conversations")
+    asked = answer.last_user(talk).select(F.col("conv_id").alias("query_id"), "text", "conv_id")
+    rows = answer.build_prompt(asked, _results(spark, sf_dir), "Answer from the context.", answer.history(talk))
+    said = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n")
+    return rows.select("query_id", F.size("messages").alias("n_messages"), F.sha2(said, 256).alias("prompt_sha256"))
+
+
+def message_parts(spark, sf_dir):
+    rows = values(spark, sf_dir, "images").select("id", F.array("raw", F.lit("http://second")).alias("images"))
+    return rows.select("id", requests.message_content(F.concat(F.lit("see "), F.col("id").cast("string")), F.when(F.col("id") % 3 > 0, F.col("images"))).alias("content"))
+
+
+def upstream_errors(spark, sf_dir):
+    return values(spark, sf_dir, "refusals").select("id", requests.upstream_error(F.col("status"), F.col("body")).alias("error"))
+
+
+def newest_build(spark, sf_dir):
+    return manifest.newest(values(spark, sf_dir, "builds"))
+
+
+class _Sizes:
+    """An embedder that needs no model: the length of a text, its blanks, how many texts a call has."""
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [[float(len(x)), float(x.count(" ")), float(len(texts) <= embedding.CALL)] for x in texts]
+
+
+def embedded(spark, sf_dir):
+    rows = embedding.embed(chunks(spark, sf_dir).select("chunk_id", "content"), _Sizes())
+    return rows.select("chunk_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(("length", "blanks", "small_call"))])
+
+
+def ingest_twice(spark, sf_dir):
+    """Log of all documents as uploads, then of the German ones again with other contents
+    and of the others as they were; what is stored at the end is read by ``stored_chunks``."""
+    logs, _ = _ingested(spark, sf_dir)
+    return logs[0].unionByName(logs[1]).select("task_id", "file_no", "status", "chunk_count")
+
+
+def stored_chunks(spark, sf_dir):
+    _, store = _ingested(spark, sf_dir)
+    return store.read().select("document_id", "content_hash", "file_size")
+
+
+def _ingested(spark, sf_dir):
+    store = ingest.Store(spark, new_folder(spark, "ingest-twice"))
+    to_chunks = lambda f: f.select(F.col("document_id").alias("chunk_id"), "document_id", F.decode("content", "UTF-8").alias("content")).where("content <> ''")
+    files = _files(spark, sf_dir)
+    german = _t(spark, sf_dir, "documents").where("lang = 'de'").select(F.col("doc_id").alias("file_no"), F.lit(True).alias("german"))
+    revised = files.join(german, "file_no", "left").withColumn("content", F.when(F.col("german"), F.encode(F.concat(F.decode("content", "UTF-8"), F.lit(" revised")), "UTF-8")).otherwise(F.col("content"))).drop("german")
+    logs = [ingest.ingest(batch, store, to_chunks, task_id=f"t{i}") for i, batch in enumerate((files, revised))]
+    store.compact()
+    store.vacuum()
+    return logs, store
 
 
 def mode_parse(spark, sf_dir):
@@ -326,7 +390,7 @@ def stream_ingest(spark, sf_dir):
     """All documents as files that arrive in a folder, ingested by a stream; the chunks."""
     from ..streaming.ingestion import ingest_stream
 
-    work = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    work = new_folder(spark, "stream-ingest")
     incoming = f"{work}/incoming"
     _files(spark, sf_dir).withColumn("path", F.col("file_name")).write.mode("overwrite").parquet(incoming)
     store = ingest.Store(spark, f"{work}/store")
@@ -344,5 +408,6 @@ QUERIES = {
         rerank_features, rerank_topk, search_modes, clean_text, clean_elements, repeating_lines, collapse_space, visible_chars, page_line_filter, paragraphs, ocr_scores, parent_chunks, child_chunks,
         sliding_split, entity_tag, expand_query, content_hash, dedup_first, dedup_anti, replace_by_name, catalog_list, detail, catalog_delete, task_rollup, accept_files, citations, history_last6,
         last_user, prompt_context, mode_parse, sse_frames, delta_extract, finish_rewrite, image_urls, size_clamps, request_fields, update_manifest, table_markdown, answer_events, stream_ingest,
+        chat_prompts, message_parts, upstream_errors, newest_build, embedded, ingest_twice, stored_chunks,
     )
 }

@@ -1,8 +1,8 @@
 """Rows that queries are run over, derived from the test tables by SQL that both engines read.
 
 The tables have no Han characters, page headers, stream lines or uploads of their own;
-each input here makes such a column of all rows of a table.  ``{documents}`` and
-``{conversations}`` stand for the tables; other braces are doubled.
+each input here makes such a column of all rows of a table.  ``{documents}``,
+``{conversations}`` and ``{pages}`` stand for the tables; other braces are doubled.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ _LINES = [
 
 INPUTS = {
     "mixed_texts": f"SELECT doc_id AS id, {_PHRASE} || substr(text, 1, 60) || {_OTHER} AS txt FROM {{documents}}",
-    "questions": f"SELECT doc_id AS id, {_PHRASE} || ' ' || substr(text, 1, 20) || {_OTHER} AS txt FROM {{documents}}",
+    "questions": f"SELECT doc_id AS id, {_PHRASE} || ' ' || substr(text, 1, 20) || {_OTHER} || CASE WHEN doc_id % 10 = 0 THEN ' {" ".join(_PHRASES)}' ELSE '' END AS txt FROM {{documents}}",  # so many names that limits are reached
     "page_elements": """SELECT source AS document_id, doc_id AS section_no, CASE WHEN source LIKE '%3' THEN NULL ELSE doc_id + 1 END AS page_number, 0 AS element_no, 'para' AS kind,
   'Header  of ' || upper(source) || chr(10) || substr(text, 1, 300) || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'Draft  copy' ELSE 'final copy' END || chr(10) || '本院患者治疗须知请在医生指导下使用本手册内容并遵守医嘱谢谢配合' || chr(10) || '第 ' || doc_id || ' 页' AS text FROM {documents}
   UNION ALL SELECT source, doc_id, CASE WHEN source LIKE '%3' THEN NULL ELSE doc_id + 1 END, 1, 'para', CASE WHEN doc_id % 2 = 0 THEN '   ' ELSE ' header OF ' || source END FROM {documents}""",
@@ -69,6 +69,8 @@ INPUTS = {
     + pick("(conv_id + 2 * turn)", ["", "https://a/v1", "https://a/v1/", "https://a/v1/chat/completions", None, "https://b/V1/Chat/Completions/"]) + " AS base FROM {conversations}",
     "settings": "SELECT 'win-x64' AS platform, true AS enabled, '1.2.0' AS latest_version, '1.0.0' AS min_supported_version, '/updates/a.zip' AS package_url, 'AA' AS sha256, true AS force_update, 'n' AS release_notes UNION ALL SELECT 'win32-x64', true, '2.0.0', '1.0.0', '/updates/b.zip', 'BB', false, 'n'",
     "manifest_requests": "SELECT conv_id * 1000 + turn AS request_id, " + pick("(conv_id + turn)", ["", "WIN32-X64", "win-x64", None, "other"]) + " AS platform, " + pick("turn", ["", "beta", None]) + " AS channel, 'https://h' || conv_id AS origin FROM {conversations}",
+    "builds": "SELECT url || CASE page_id % 3 WHEN 0 THEN '.zip' WHEN 1 THEN '.ZIP' ELSE '.txt' END AS path, page_id % 50 AS modificationTime FROM {pages}",
+    "refusals": "SELECT conv_id * 1000 + turn AS id, CASE (conv_id + turn) % 4 WHEN 0 THEN 429 WHEN 1 THEN 401 WHEN 2 THEN 500 ELSE 404 END AS status, CASE WHEN turn = 3 THEN NULL ELSE ' ' || text || ' ' || text || ' ' || text END AS body FROM {conversations}",
     "packages": "SELECT '/updates/a.zip' AS path UNION ALL SELECT '/updates/c.zip'",
     "cells": "SELECT doc_id AS id, 1 AS row_no, lang || ';' || source AS cells FROM {documents} UNION ALL SELECT doc_id, 2, source || ';' || n_chars || ';' || lang FROM {documents} WHERE doc_id % 3 > 0 UNION ALL SELECT doc_id, 3, lang FROM {documents} WHERE doc_id % 3 > 1",
 }
@@ -76,4 +78,4 @@ INPUTS = {
 
 def duck_input(name: str) -> str:
     """An input as DuckDB reads it."""
-    return INPUTS[name].format(documents="documents", conversations="conversations")
+    return INPUTS[name].format(documents="documents", conversations="conversations", pages="pages")
