@@ -57,9 +57,8 @@ def test_queue_order():
     assert out == sorted(items)
 
 
-def test_remembered_is_bounded(monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 10)
-    coder = bpe.ByteBPE(RANKS, PATTERN)
+def test_remembered_is_bounded():
+    coder = bpe.ByteBPE(RANKS, PATTERN, 10)
     text = " ".join(f"w{i}q" for i in range(200))
     assert coder.encode(text) == REFERENCE.encode_ordinary(text) and len(coder.known) <= 10 and len(coder.known.older) <= 10
 
