@@ -2,7 +2,8 @@
 
 Files of a batch are in the order of ``file_no``; a batch without one, as of a stream,
 is in the order of its paths, and its log numbers files by a hash of the path.  No
-order is made over the whole batch.
+order is made over the whole batch.  What happens to a file is decided on its hash and
+names; its content meets no shuffle unless too many files are taken and too many left.
 """
 
 from __future__ import annotations
@@ -19,14 +20,18 @@ from pyspark.sql.types import StructType
 from ..functions import requests
 from ..functions.text import content_hash
 from ..schema import CHUNKS, INGEST_LOG
-from ..storage import discard, written
+from ..storage import FEW, discard, few, written
 
 #: Tasks that are listed; versions that a read puts together before they are compacted.
 RECENT, MOST_DELTAS = 50, 16
 
 
+def _key(files: DataFrame) -> str:
+    return "file_no" if "file_no" in files.columns else "path"
+
+
 def _order(files: DataFrame) -> Column:
-    return F.col("file_no" if "file_no" in files.columns else "path")
+    return F.col(_key(files))
 
 
 def accept(files: DataFrame) -> DataFrame:
@@ -112,7 +117,7 @@ class Store:
         if base == v:
             return rows.drop("store_version")
         gone = self.spark.read.schema("document_id string, gone_version int").parquet(*[f"{self.path}/v{i}/gone" for i in range(base + 1, v + 1)])
-        last = gone.groupBy(F.col("document_id").alias("gone_id")).agg(F.max("gone_version").alias("gone_version"))
+        last = few(gone.groupBy(F.col("document_id").alias("gone_id")).agg(F.max("gone_version").alias("gone_version")), gone.count())
         joined = rows.join(last, F.col("document_id") == F.col("gone_id"), "left")
         return joined.where(F.coalesce("gone_version", F.lit(0)) <= F.col("store_version")).drop("gone_id", "gone_version", "store_version")
 
@@ -176,16 +181,19 @@ def ingest(files: DataFrame, store: Store, to_chunks: Callable[[DataFrame], Data
     Rejected files stay rejected; contents that are stored, or that came earlier in the
     batch, are skipped; of one name the last file stays, and replaces what is stored
     under it.  ``to_chunks`` takes the imported files (document_id, file_name, content,
-    ...) and returns chunks with document_id; a file of which it gives a row with an
-    ``error`` is failed, and what is stored of it stays.  A file without chunks is
-    imported with a count of 0, stores no hash, and leaves the document's old chunks."""
-    order = _order(files)
-    marked = mark_known(first_of_each(accept(files)), store.read())
-    last = F.max(F.when(F.col("status") == "accepted", order)).over(Window.partitionBy("document_id"))
-    marked = marked.withColumn("status", F.when((F.col("status") == "accepted") & (order < last), "replaced").otherwise(F.col("status")))
-    wanted = marked.where("status = 'accepted'")
+    ..., stamp) and returns chunks with document_id; a file of which it gives a row with
+    an ``error`` is failed, and what is stored of it stays.  A file without chunks is
+    imported with a count of 0, stores no hash, and leaves the document's old chunks.
+    Chunks that carry on the ``stamp`` of their file need no join to get what it has."""
+    order, key = _order(files), _key(files)
     size = F.length("content").cast("long") if "length" not in files.columns else F.col("length").cast("long")
-    made = to_chunks(wanted)
+    accepted = accept(files).withColumn("stamp", F.struct("file_name", size.alias("file_size"), "content_hash"))
+    # written without contents: these are read once for their hashes and once for their chunks
+    told = accepted.select(key, "document_id", "content_hash", "status", "error", "file_name", "stamp.file_size")
+    marked = mark_known(first_of_each(told), store.read())
+    last = F.max(F.when(F.col("status") == "accepted", order)).over(Window.partitionBy("document_id"))
+    marked = written(marked.withColumn("status", F.when((F.col("status") == "accepted") & (order < last), "replaced").otherwise(F.col("status"))), "ingest-files")
+    made = to_chunks(_taken(accepted, marked, key))
     errors = None
     if "error" in made.columns:
         # written, so that no file is read again for its faults
@@ -194,11 +202,16 @@ def ingest(files: DataFrame, store: Store, to_chunks: Callable[[DataFrame], Data
         good = made.where("error is null").drop("error").join(errors, F.col("document_id") == F.col("failed_id"), "left_anti")
     else:
         good = made
-    good = good.drop("file_name", "file_size", "content_hash", "uploaded_at").join(wanted.select("document_id", "file_name", size.alias("file_size"), "content_hash", F.current_timestamp().alias("uploaded_at")), "document_id")
+    good = good.drop("file_name", "file_size", "content_hash", "uploaded_at")
+    if "stamp" in good.columns:
+        good = good.select("*", "stamp.*").drop("stamp")
+    else:
+        good = good.join(marked.where("status = 'accepted'").select("document_id", "file_name", "file_size", "content_hash"), "document_id")
+    good = good.withColumn("uploaded_at", F.current_timestamp())
     # what is new is written beside what is stored: the batch is compared with one version throughout
     version = store.upsert(good)
     counts = store.part(version).groupBy("document_id", "content_hash").agg(F.count("*").cast("int").alias("chunk_count"))
-    out = marked.drop("content").join(counts, ["document_id", "content_hash"], "left")
+    out = marked.join(counts, ["document_id", "content_hash"], "left")
     failed, why = F.lit(False), F.col("error")
     if errors is not None:
         out = out.join(errors, F.col("document_id") == F.col("failed_id"), "left")
@@ -210,11 +223,31 @@ def ingest(files: DataFrame, store: Store, to_chunks: Callable[[DataFrame], Data
     now = F.current_timestamp().alias("event_ts")
     rows = out.select(F.lit(task_id).alias("task_id"), F.lit(trigger).alias("trigger"), number.alias("file_no"), "file_name", "document_id", "content_hash", status.alias("status"), own.alias("chunk_count"), why.alias("error"), now)
     log = _logged(store, rows, task_id)
+    discard(marked)
     if errors is not None:
         discard(made)
     return log
 
 
+def _taken(accepted: DataFrame, marked: DataFrame, key: str) -> DataFrame:
+    """Of the accepted files those that ``marked`` has as accepted still.
+
+    The keys of the files that are taken, or else of those that are not, meet the contents
+    by a broadcast if either are few, and by a shuffle otherwise.  Where files have no key
+    or one that others have too, they are told apart by name and hash, copies by number."""
+    is_taken = F.col("status") == "accepted"
+    n, distinct, taken = marked.agg(F.count("*"), F.count_distinct(key), F.count_if(is_taken)).first()
+    if n != distinct:
+        same = [key, "document_id", "content_hash"]
+        chosen = marked.where(is_taken).select(*[F.col(c).alias(f"taken_{c}") for c in same])
+        on = [F.col(c).eqNullSafe(F.col(f"taken_{c}")) for c in same]
+        copies = F.row_number().over(Window.partitionBy(*same).orderBy(key))
+        return accepted.join(chosen, on).drop(*chosen.columns).withColumn("copy_no", copies).where("copy_no = 1").drop("copy_no")
+    if n - taken <= min(taken, FEW):
+        return accepted.join(few(marked.where(~is_taken).select(key), n - taken), key, "left_anti")
+    return accepted.join(few(marked.where(is_taken).select(key), taken), key, "left_semi")
+
+
 def _logged(store: Store, rows: DataFrame, task_id: str) -> DataFrame:
     """The rows as a table of their own: the log doesn't change when the store does."""
     path = f"{store.path}/log/{task_id}-{uuid.uuid4().hex}"

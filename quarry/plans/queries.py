@@ -200,9 +200,9 @@ def expand_query(spark, sf_dir):
     return values(spark, sf_dir, "questions").select("id", lexicon.expand_query(F.col("txt")).alias("expanded"))
 
 
-def _files(spark, sf_dir):
+def _files(spark, sf_dir, *more):
     """Documents as uploads: each is a file of its own."""
-    return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_no"), F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file_name"), F.encode("text", "UTF-8").alias("content"))
+    return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_no"), F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file_name"), F.encode("text", "UTF-8").alias("content"), *more)
 
 
 def content_hash(spark, sf_dir):
@@ -325,10 +325,9 @@ def stored_chunks(spark, sf_dir):
 
 def _ingested(spark, sf_dir):
     store = ingest.Store(spark, new_folder(spark, "ingest-twice"))
-    to_chunks = lambda f: f.select(F.col("document_id").alias("chunk_id"), "document_id", F.decode("content", "UTF-8").alias("content")).where("content <> ''")
-    files = _files(spark, sf_dir)
-    german = _t(spark, sf_dir, "documents").where("lang = 'de'").select(F.col("doc_id").alias("file_no"), F.lit(True).alias("german"))
-    revised = files.join(german, "file_no", "left").withColumn("content", F.when(F.col("german"), F.encode(F.concat(F.decode("content", "UTF-8"), F.lit(" revised")), "UTF-8")).otherwise(F.col("content"))).drop("german")
+    to_chunks = lambda f: f.select(F.col("document_id").alias("chunk_id"), "document_id", F.decode("content", "UTF-8").alias("content"), "stamp").where("content <> ''")
+    files, again = _files(spark, sf_dir), _files(spark, sf_dir, "lang")
+    revised = again.withColumn("content", F.when(F.col("lang") == "de", F.encode(F.concat(F.decode("content", "UTF-8"), F.lit(" revised")), "UTF-8")).otherwise(F.col("content"))).drop("lang")
     logs = [ingest.ingest(batch, store, to_chunks, task_id=f"t{i}") for i, batch in enumerate((files, revised))]
     store.compact()
     store.vacuum()
@@ -395,7 +394,7 @@ def stream_ingest(spark, sf_dir):
     _files(spark, sf_dir).withColumn("path", F.col("file_name")).write.mode("overwrite").parquet(incoming)
     store = ingest.Store(spark, f"{work}/store")
     made = spark.readStream.schema("file_no long, file_name string, content binary, path string").parquet(incoming)
-    to_chunks = lambda f: f.select(F.col("file_name").alias("chunk_id"), "document_id", F.decode("content", "UTF-8").alias("content"))
+    to_chunks = lambda f: f.select(F.col("file_name").alias("chunk_id"), "document_id", F.decode("content", "UTF-8").alias("content"), "stamp")
     query = ingest_stream(made.drop("file_no", "file_name"), store, to_chunks, f"{work}/checkpoint")
     query.awaitTermination()
     return store.read().select("document_id", "content_hash")

@@ -9,9 +9,19 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .deploy import shared_folder
 
+#: Rows of ids or names that are sent to every executor.
+FEW = 1 << 20
+
+
+def few(ids: DataFrame, n: int) -> DataFrame:
+    """A table of ids or names of which there are ``n`` at most: broadcast if these are few,
+    left to Spark otherwise."""
+    return F.broadcast(ids) if n <= FEW else ids
+
 
 def _place(spark: SparkSession, path: str) -> tuple:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

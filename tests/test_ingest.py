@@ -262,3 +262,53 @@ def test_embedding_in_calls(spark):
     got = embed(spark.createDataFrame([("a",), ("bbb",), (None,)], "content string").coalesce(1), Lengths(), call=2)
     assert sorted(r.embedding[0] for r in got.collect()) == [0.0, 1.0, 3.0]
     assert (batch_size(0), batch_size(500), batch_size()) == (1, 128, 32)
+
+
+def shuffled(spark, run):
+    """Bytes that the stages of a run wrote to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    total = lambda: sum(x.shuffleWriteBytes() for x in map(stages.apply, range(stages.size())))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    before = total()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return total() - before
+
+
+def test_contents_are_not_shuffled(spark, tmp_path):
+    """Deciding on files, storing and compacting them moves hashes and names only."""
+    import random
+
+    r = random.Random(5)
+    content = lambda: "".join(chr(33 + r.randrange(90)) for _ in range(100_000))
+    batch = files(spark, [(f"{i}.md", content()) for i in range(20)]).repartition(4).localCheckpoint()
+    store = ingest.Store(spark, str(tmp_path))
+    stamped = lambda f: to_chunks(f.withColumn("content", F.col("content"))) if "stamp" not in f.columns else f.select(F.col("document_id").alias("chunk_id"), "document_id", F.decode("content", "UTF-8").alias("content"), "stamp")
+
+    def run():
+        ingest.ingest(batch, store, stamped, task_id="a")
+        ingest.ingest(batch.withColumn("content", F.when(F.col("file_no") < 5, F.encode(F.lit("new"), "UTF-8")).otherwise(F.col("content"))), store, stamped, task_id="b")
+        store.compact()
+
+    assert shuffled(spark, run) < 200_000
+    assert store.read().count() == 20 and {r.file_size for r in store.read().where("content = 'new'").collect()} == {3}
+
+
+@pytest.mark.parametrize("bound", [1 << 20, 0])
+def test_files_of_one_number(spark, tmp_path, monkeypatch, bound):
+    """Repeated rows, and files without a number, are taken once; also where keys are too many to be broadcast."""
+    from quarry import storage
+
+    monkeypatch.setattr(storage, "FEW", bound)
+    monkeypatch.setattr(ingest, "FEW", bound)
+    store = ingest.Store(spark, f"{tmp_path}/a")
+    rows = spark.createDataFrame([(1, "a.md", b"one"), (1, "a.md", b"one"), (None, "b.md", b"two"), (None, "b.md", b"two"), (2, "c.md", b"one")], "file_no int, file_name string, content binary")
+    log = ingest.ingest(rows, store, to_chunks, task_id="t")
+    assert sorted((r.document_id, r.status, r.chunk_count) for r in log.collect()) == [("a.md", "imported", 1), ("a.md", "skipped", 0), ("b.md", "imported", 1), ("b.md", "skipped", 0), ("c.md", "skipped", 0)]
+    assert sorted((r.document_id, r.content, r.file_size) for r in store.read().collect()) == [("a.md", "one", 3), ("b.md", "two", 3)]
+    other = ingest.Store(spark, f"{tmp_path}/b")
+    log = ingest.ingest(files(spark, [("a.md", "one"), ("b.md", "one"), ("c.md", "x"), ("d.txt", "y")]), other, to_chunks, task_id="t")
+    assert state(log) == [(0, "imported", 1), (1, "skipped", 0), (2, "imported", 1), (3, "rejected", 0)]
+    assert sorted(r.document_id for r in other.read().collect()) == ["a.md", "c.md"]
