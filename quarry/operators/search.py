@@ -11,7 +11,7 @@ from ..functions import requests
 from ..functions.lexicon import expand_query
 from ..functions.text import tokenize, trim_space
 from ..schema import UNKNOWN
-from ..storage import written
+from ..storage import few, written
 from .index import Index, bm25, build_index, index_text, ranked
 from .vector import vector
 
@@ -92,11 +92,17 @@ def rerank_features(queries: DataFrame, hits: DataFrame, chunks: DataFrame) -> D
 
     The hits are written first: they are the small side of the join with the corpus, and
     Spark then sees that they are."""
-    few = written(hits.drop("score", "rnk").join(queries.select("query_id", F.col("text").alias("query_text")), "query_id"), "rerank-hits")
-    pairs = few.join(chunks.select("chunk_id", F.col("content").alias("passage")), "chunk_id")
+    asked = written(hits.drop("score", "rnk").join(queries.select("query_id", F.col("text").alias("query_text")), "query_id"), "rerank-hits")
+    pairs = asked.join(only(chunks, asked).select("chunk_id", F.col("content").alias("passage")), "chunk_id")
     return _features(pairs).withColumnRenamed("rerank_score", "score").drop("query_text", "passage")
 
 
+def only(chunks: DataFrame, hits: DataFrame) -> DataFrame:
+    """The chunks of written hits.  Their ids meet the corpus before anything else does, so
+    no other text is moved."""
+    return chunks.join(few(hits.select("chunk_id").distinct(), hits.count()), "chunk_id", "left_semi")
+
+
 def rerank(queries: DataFrame, hits: DataFrame, chunks: DataFrame, k: int = 50) -> DataFrame:
     scored = rerank_features(queries, hits, chunks)
     return ranked(scored, F.lit(k)).select("query_id", "rnk", "chunk_id", "score", "vector_score", "bm25_score")
@@ -127,11 +133,11 @@ def search(queries: DataFrame, chunks: DataFrame, index: Index | None = None, op
     score of the query's mode."""
     asked = written(prepared(queries, options), "search-queries")
     cut = lambda hits: hits.join(asked.select("query_id", "fetch"), "query_id").where(F.col("rnk") <= F.col("fetch")).drop("fetch")
-    index = index or build_index(chunks, text=index_text(F.col("content"), F.col("entities") if "entities" in chunks.columns else None), keep=True)
+    index = index or build_index(chunks, text=index_text(F.col("content"), F.col("entities") if "entities" in chunks.columns else None))
     worded = asked.where("mode <> 'vector'").select("query_id", "document_id", F.col("expanded").alias("text"))
     fused = cut(rrf([("vector", cut(vector(asked, chunks))), ("bm25", cut(bm25(worded, index)))], options.rrf_k))
     candidates = written(fused.withColumnRenamed("score", "rrf_score").drop("rnk").join(asked.select("query_id", "mode", "top_k", F.col("text").alias("query_text")), "query_id"), "search-candidates")
-    found = _features(candidates.join(attributes(chunks), "chunk_id").withColumn("passage", F.col("text")))
+    found = _features(candidates.join(attributes(only(chunks, candidates)), "chunk_id").withColumn("passage", F.col("text")))
     score = F.when(F.col("mode") == "vector", F.col("vector_score")).when(F.col("mode") == "hybrid", F.col("rrf_score")).otherwise(F.col("rerank_score"))
     hits = ranked(found.withColumn("score", score), F.col("top_k"))
     own = [c for c in attributes(chunks).columns if c != "chunk_id"]

@@ -54,8 +54,8 @@ def stored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.concat(F.lit("label"), F.col("label").cast("string")).alias("document_id"), "embedding")
 
 
-def kept_index(spark: SparkSession, sf_dir: str) -> index.Index:
-    return index.build_index(chunks(spark, sf_dir), keep=True)
+def _index(spark: SparkSession, sf_dir: str) -> index.Index:
+    return index.build_index(chunks(spark, sf_dir))
 
 
 def tokenize_terms(spark, sf_dir):
@@ -81,16 +81,16 @@ def corpus_stats(spark, sf_dir):
 
 
 def bm25_batch(spark, sf_dir):
-    return index.bm25(batch(spark, sf_dir), kept_index(spark, sf_dir), 10)
+    return index.bm25(batch(spark, sf_dir), _index(spark, sf_dir), 10)
 
 
 def bm25_topk(spark, sf_dir):
-    return index.bm25(batch(spark, sf_dir), kept_index(spark, sf_dir), 50)
+    return index.bm25(batch(spark, sf_dir), _index(spark, sf_dir), 50)
 
 
 def bm25_filtered(spark, sf_dir):
     asked = batch(spark, sf_dir).withColumn("document_id", F.lit("src3"))
-    return index.bm25(asked, kept_index(spark, sf_dir), 10)
+    return index.bm25(asked, _index(spark, sf_dir), 10)
 
 
 def vector_batch(spark, sf_dir):
@@ -109,7 +109,7 @@ def vector_filtered(spark, sf_dir):
 def _lists(spark, sf_dir, fetch=20):
     asked = batch(spark, sf_dir)
     near = vector(asked, chunks(spark, sf_dir, True).where("embedding is not null"), fetch)
-    return asked, near, index.bm25(asked, kept_index(spark, sf_dir), fetch)
+    return asked, near, index.bm25(asked, _index(spark, sf_dir), fetch)
 
 
 def rrf_hybrid(spark, sf_dir):

@@ -119,3 +119,44 @@ def test_search_modes_and_attributes(spark):
     assert (first[1].chunk_id, first[1].bm25_score is not None, first[1].document_id, first[1].page_number, first[1].parent_text) == ("c1", True, "(未知)", None, None)
     assert (first[2].chunk_id, first[2].score, first[2].context, first[2].page_number, first[2].parent_text, first[2].file_name) == ("c2", 1.0, None, 3, "parent", "d")
     assert first[4].mode == "rerank" and first[4].chunk_id == "c2"
+
+
+def shuffled_rows(spark, run):
+    """Records that the stages of a run wrote to shuffles."""
+    context, double = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm.double
+
+    def total():
+        context.listenerBus().waitUntilEmpty(30_000)
+        stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = total()
+    run()
+    return total() - before
+
+
+def test_bm25_makes_no_row_for_a_query_and_a_chunk(spark):
+    chunks = spark.range(2000).select(F.col("id").alias("chunk_id"), F.lit("d").alias("document_id"), F.concat(F.lit("the same words and "), F.repeat(F.lit("more "), (F.col("id") % 7).cast("int"))).alias("content"))
+    asked = spark.range(50).select(F.col("id").alias("query_id"), F.lit("the words and more").alias("text"))
+    moved = shuffled_rows(spark, lambda: bm25(asked, build_index(chunks), 3).collect())
+    assert moved < 5000
+
+
+def test_bm25_in_blocks_and_slices(spark, tmp_path, monkeypatch):
+    """Any size of blocks, passes and slices gives the same hits, of a saved index too; ties go to smaller ids."""
+    from quarry.operators import index as i
+
+    r = __import__("random").Random(4)
+    words = [f"w{x}" for x in range(30)]
+    chunks = spark.createDataFrame([(x, f"d{x % 3}" if x % 5 else None, " ".join(r.choice(words) for _ in range(x % 6))) for x in range(120)], "chunk_id int, document_id string, content string").repartition(3).cache()
+    asked = spark.createDataFrame([(f"q{x}", " ".join(r.sample(words, 5)), [None, "", "d1"][x % 3]) for x in range(40)], "query_id string, text string, document_id string")
+    one = sorted(map(tuple, bm25(asked, build_index(chunks), 7).collect()))
+    i.save_index(build_index(chunks, keep=True), str(tmp_path))
+    assert sorted(map(tuple, bm25(asked, i.load_index(spark, str(tmp_path)), 7).collect())) == one
+    monkeypatch.setattr(i, "BLOCK", 8)
+    monkeypatch.setattr(i, "PASS_BYTES", 600)
+    monkeypatch.setattr(i, "AT_ONCE", 40)
+    assert sorted(map(tuple, bm25(asked, build_index(chunks), 7).collect())) == one and len(one) > 200
+    ties = [(a[0], -a[3], a[2]) for a in one]
+    assert ties == sorted(ties)
+    assert all(chunk % 5 and chunk % 3 == 1 for q, _, chunk, _ in one if int(q[1:]) % 3 == 2)
