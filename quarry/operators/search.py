@@ -72,15 +72,17 @@ def has_phrase(query: Column, passage: Column) -> Column:
 
 
 def _features(rows: DataFrame) -> DataFrame:
-    """Adds vec, kw, coverage, phrase and the weighted ``rerank_score`` to candidates with
-    query_text, passage, vector_score and bm25_score."""
+    """Puts vec, kw, coverage, phrase and the weighted ``rerank_score`` in place of query_text
+    and passage of candidates that have these, vector_score and bm25_score.  The two texts
+    are read where they were joined and go no further."""
     best = F.max("bm25_score").over(Window.partitionBy("query_id"))
     most = F.when(best > 0, best).otherwise(1.0)
     out = (
-        rows.withColumn("vec", F.coalesce("vector_score", F.lit(0.0)))
-        .withColumn("kw", F.least(F.lit(1.0), F.coalesce("bm25_score", F.lit(0.0)) / most))
-        .withColumn("coverage", coverage(F.col("query_text"), F.col("passage")))
+        rows.withColumn("coverage", coverage(F.col("query_text"), F.col("passage")))
         .withColumn("phrase", F.when(has_phrase(F.col("query_text"), F.col("passage")), 1.0).otherwise(0.0))
+        .drop("query_text", "passage")
+        .withColumn("vec", F.coalesce("vector_score", F.lit(0.0)))
+        .withColumn("kw", F.least(F.lit(1.0), F.coalesce("bm25_score", F.lit(0.0)) / most))
     )
     score = F.lit(W_VECTOR) * F.col("vec") + F.lit(W_BM25) * F.col("kw") + F.lit(W_COVERAGE) * F.col("coverage") + F.lit(W_PHRASE) * F.col("phrase")
     return out.withColumn("rerank_score", F.round(score, 6))
@@ -94,7 +96,7 @@ def rerank_features(queries: DataFrame, hits: DataFrame, chunks: DataFrame) -> D
     Spark then sees that they are."""
     asked = written(hits.drop("score", "rnk").join(queries.select("query_id", F.col("text").alias("query_text")), "query_id"), "rerank-hits")
     pairs = asked.join(only(chunks, asked).select("chunk_id", F.col("content").alias("passage")), "chunk_id")
-    return _features(pairs).withColumnRenamed("rerank_score", "score").drop("query_text", "passage")
+    return _features(pairs).withColumnRenamed("rerank_score", "score")
 
 
 def only(chunks: DataFrame, hits: DataFrame) -> DataFrame:

@@ -137,7 +137,7 @@ def search_modes(spark, sf_dir):
     """Every query in each of the three modes: query_id * 10 + mode."""
     modes = F.explode(F.array(*[F.struct(F.lit(i).alias("no"), F.lit(m).alias("mode")) for i, m in enumerate(requests.MODES)]))
     asked = batch(spark, sf_dir).select("query_id", "text", "embedding", modes.alias("m")).select((F.col("query_id") * 10 + F.col("m.no")).alias("query_id"), "text", "embedding", "m.mode", F.lit(5).alias("top_k"))
-    hits = search.search(asked, chunks(spark, sf_dir, True))
+    hits = search.search(asked, chunks(spark, sf_dir, True), _index(spark, sf_dir))  # indexed without vectors: else their join would deal all texts anew
     return hits.select("query_id", "mode", "rnk", "chunk_id", "document_id", "score", "context", "page_number", "parent_text", F.length("text").alias("n_text"))
 
 

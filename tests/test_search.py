@@ -160,3 +160,29 @@ def test_bm25_in_blocks_and_slices(spark, tmp_path, monkeypatch):
     ties = [(a[0], -a[3], a[2]) for a in one]
     assert ties == sorted(ties)
     assert all(chunk % 5 and chunk % 3 == 1 for q, _, chunk, _ in one if int(q[1:]) % 3 == 2)
+
+
+def test_search_moves_texts_of_candidates_only(spark):
+    """Chunks joined with their vectors: other texts than those of hits meet no shuffle."""
+    import random
+
+    r = random.Random(6)
+    text = lambda: "".join(chr(33 + r.randrange(90)) for _ in range(20_000))
+    plain = spark.createDataFrame([(i, "d", ("needle " if i < 2 else "") + text()) for i in range(200)], "chunk_id long, document_id string, content string").repartition(4).localCheckpoint()
+    vectors = spark.createDataFrame([(0, [1.0, 0.0])], "chunk_id long, embedding array<float>")
+    asked = spark.createDataFrame([(1, "needle", [1.0, 0.0])], "query_id long, text string, embedding array<float>")
+    context, double = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm.double
+    before, bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), 500_000
+
+    def total():
+        context.listenerBus().waitUntilEmpty(30_000)
+        stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        start = total()
+        assert {x.chunk_id for x in search.search(asked, plain.join(vectors, "chunk_id", "left"), build_index(plain)).collect()} == {0, 1}
+        assert total() - start < bound
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
